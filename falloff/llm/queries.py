@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from falloff.llm import lines, mixing
+from falloff.llm import lines, mixing, sharding
 from falloff.llm.common import table
 
 
@@ -20,9 +20,14 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
+def op9_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+
+
 QUERIES = {
     "op4_source_mix": op4_source_mix,
     "op6_line_dedup": op6_line_dedup,
+    "op9_hilbert_shards": op9_hilbert_shards,
 }
 
 ORACLE_SQL = {
