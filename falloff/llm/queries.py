@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from falloff.llm import lines, mixing, sharding
+from falloff.llm import html_text, lines, mixing, sharding
 from falloff.llm.common import table
 
 
@@ -24,10 +24,16 @@ def op9_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 QUERIES = {
     "op4_source_mix": op4_source_mix,
     "op6_line_dedup": op6_line_dedup,
     "op9_hilbert_shards": op9_hilbert_shards,
+    "op10_html_text": op10_html_text,
 }
 
 ORACLE_SQL = {
