@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from falloff.llm import html_text, lines, mixing, sharding
+from falloff.llm import html_text, langid, lines, mixing, sharding
 from falloff.llm.common import table
 
 
@@ -20,6 +20,13 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.select("doc_id", "text", "lang"))
+    out = langid.predict(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op9_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
 
@@ -32,6 +39,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op4_source_mix": op4_source_mix,
     "op6_line_dedup": op6_line_dedup,
+    "op8_language_id": op8_language_id,
     "op9_hilbert_shards": op9_hilbert_shards,
     "op10_html_text": op10_html_text,
 }
