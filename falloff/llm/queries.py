@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from falloff.llm import html_text, langid, lines, mixing, sharding
+from falloff.llm import html_text, langid, lines, mixing, privacy, sharding
 from falloff.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return privacy.detect(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     out = lines.drop_boilerplate(docs)
@@ -38,6 +42,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op4_source_mix": op4_source_mix,
+    "op5_privacy": op5_privacy,
     "op6_line_dedup": op6_line_dedup,
     "op8_language_id": op8_language_id,
     "op9_hilbert_shards": op9_hilbert_shards,
