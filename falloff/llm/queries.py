@@ -5,10 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from falloff.llm import html_text, langid, lines, mixing, privacy, sharding
+from falloff.llm import html_text, langid, lines, mixing, pieces, privacy, sharding
 from falloff.llm.common import table
 
 
+def vocabulary() -> pieces.Pieces:
+    """The installed public vocabulary; any SentencePiece model file's path will do."""
+    import public_tokenizers
+
+    return pieces.Pieces.load(public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary()))
+
+
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
@@ -41,6 +52,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_pieces": op3_pieces,
     "op4_source_mix": op4_source_mix,
     "op5_privacy": op5_privacy,
     "op6_line_dedup": op6_line_dedup,
