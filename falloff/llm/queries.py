@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from falloff.llm import html_text, langid, lines, mixing, pieces, privacy, sharding
+from falloff.llm import hamming, html_text, langid, lines, mixing, pieces, privacy, sharding
 from falloff.llm.common import table
 
 
+def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector whose id is divisible by 20 asks for its 10 nearest among all, by the signs of 64 dimensions."""
+    codes = table(spark, sf_dir, "embeddings").select("vec_id", hamming.sign_code(F.col("embedding"), 64).alias("code"))
+    return hamming.search(codes, codes.where(F.col("vec_id") % 20 == 0), k=10)
+
+
 def vocabulary() -> pieces.Pieces:
     """The installed public vocabulary; any SentencePiece model file's path will do."""
     import public_tokenizers
@@ -52,6 +58,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_topk_search": op1_topk_search,
     "op3_pieces": op3_pieces,
     "op4_source_mix": op4_source_mix,
     "op5_privacy": op5_privacy,
@@ -62,6 +69,17 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_topk_search": r"""
+WITH dims AS (
+  SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE len(embedding) = 64),
+codes AS (
+  SELECT vec_id, sum(CASE WHEN x > 0 THEN 1::UBIGINT << (i - 1)::UBIGINT ELSE 0::UBIGINT END)::UBIGINT AS code
+  FROM dims GROUP BY vec_id HAVING count(x) = 64 AND bool_and(isfinite(x))),
+pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id, bit_count(xor(q.code, c.code))::INTEGER AS distance
+  FROM codes q JOIN codes c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id)::INTEGER AS rank, vec_id, distance
+FROM pairs QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) <= 10""",
     "op6_line_dedup": r"""
 WITH ln AS (
   SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line,
