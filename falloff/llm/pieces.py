@@ -302,10 +302,10 @@ def scan(steps: DataFrame, states: int, block: int = 64) -> DataFrame:
 
 
 def encode(docs: DataFrame, vocabulary: Pieces, id: str = "doc_id", text: str = "text", giant: int = 1 << 16, chunk: int = 1 << 14) -> DataFrame:
-    """(id, part, ids, n_chars, exact): the ids of every document, a giant one in parts that follow each other.
+    """(id, part, ids, n_chars, exact, n_ids, sum_ids, dot_ids): the ids of every document, a giant one in parts in order.
 
     Parts of a document put one after the other are the ids of the whole text, whatever the chunks. exact tells
-    that the ids decode to what was encoded. Null texts and empty ones have one part; null has null ids, an
+    that the ids decode to what was encoded; dot_ids is the sum of (place in the part + 1) * id. Null texts and empty ones have one part; null has null ids, an
     empty text the ids of the space before it. Texts of up to ``giant`` characters are encoded where they are read.
     Longer ones are cut into chunks; each yields a matrix of best scores between its boundary states, the
     matrices are combined by an associative scan, each chunk then traces its own path back from its exit states,
@@ -320,11 +320,13 @@ def encode(docs: DataFrame, vocabulary: Pieces, id: str = "doc_id", text: str =
     def small(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = shared.value
         for batch in batches:
-            ids = [None if t is None else known.encode(t) for t in batch["text"]]
-            exact = [t is None or known.decode(x) == t for t, x in zip(batch["text"], ids, strict=True)]
-            yield pd.DataFrame({"doc": batch["doc"], "part": np.int64(0), "ids": ids, "n_chars": [0 if t is None else len(t) for t in batch["text"]], "exact": exact})
+            for at in range(0, len(batch), 128):  # small frames, as ids take more room than their text
+                rows = batch.iloc[at : at + 128]
+                ids = [None if t is None else known.encode(t) for t in rows["text"]]
+                exact = [t is None or known.decode(x) == t for t, x in zip(rows["text"], ids, strict=True)]
+                yield _sums(pd.DataFrame({"doc": rows["doc"].array, "part": np.int64(0), "ids": ids, "n_chars": [0 if t is None else len(t) for t in rows["text"]], "exact": exact}))
 
-    schema = f"doc {kind}, part long, ids array<int>, n_chars long, exact boolean"
+    schema = f"doc {kind}, part long, ids array<int>, n_chars long, exact boolean, n_ids long, sum_ids long, dot_ids long"
     plain = rows.where(~large).mapInPandas(small, schema)
     giants = rows.where(large)
     if giants.select("doc").isEmpty():
@@ -352,7 +354,7 @@ def encode(docs: DataFrame, vocabulary: Pieces, id: str = "doc_id", text: str =
             for r in batch.itertuples():
                 found = known.paths(r.text, r.size, np.frombuffer(r.v, dtype=np.int64))
                 exact = [known.decode_plain(ids).decode("utf-8", "surrogatepass") == r.text[s : r.size + e] for e, s, ids in found]
-                yield pd.DataFrame({"doc": r.doc, "page": r.page, "k": r.k, "last": r.last, "size": r.size, "exit": [np.int32(f[0]) for f in found], "entry": [np.int32(f[1]) for f in found], "ids": [f[2] for f in found], "exact": exact}).astype({"doc": batch["doc"].dtype})
+                yield pd.DataFrame({"doc": r.doc, "page": r.page, "k": r.k, "last": r.last, "size": r.size, "exit": [np.int32(f[0]) for f in found], "entry": [np.int32(f[1]) for f in found], "ids": [f[2] for f in found], "exact": exact}).astype({"doc": batch["doc"].dtype}).pipe(_sums)
 
     def maps(rows: pd.DataFrame) -> pd.DataFrame:
         m = np.full((states, states), NEVER)
@@ -363,7 +365,7 @@ def encode(docs: DataFrame, vocabulary: Pieces, id: str = "doc_id", text: str =
     times = chunks.where("k = 0").groupBy("doc", "page").agg(F.count("*").cast("int").alias("times"))
     chunks = chunks.dropDuplicates(["doc", "page", "k"])
     before = scan(cut(chunks.mapInPandas(matrices, f"doc {kind}, page long, k long, m binary"), "pieces-matrices"), states)
-    traced = cut(chunks.join(before, ["doc", "page", "k"]).mapInPandas(traces, f"doc {kind}, page long, k long, last boolean, size int, exit int, entry int, ids array<int>, exact boolean"), "pieces-traces")
+    traced = cut(chunks.join(before, ["doc", "page", "k"]).mapInPandas(traces, f"doc {kind}, page long, k long, last boolean, size int, exit int, entry int, ids array<int>, exact boolean, n_ids long, sum_ids long, dot_ids long"), "pieces-traces")
     ends = traced.where("last").groupBy("doc", "page").agg(F.max("k").alias("end"))
     turned = traced.select("doc", "page", "k", "exit", "entry").join(ends, ["doc", "page"]).select("doc", "page", (F.col("end") - F.col("k")).alias("k"), "exit", "entry")
     turned = cut(turned.groupBy("doc", "page", "k").applyInPandas(maps, f"doc {kind}, page long, k long, m binary"), "pieces-exits")
@@ -375,26 +377,24 @@ def encode(docs: DataFrame, vocabulary: Pieces, id: str = "doc_id", text: str =
     exits = scan(turned, states).join(ends, ["doc", "page"]).select("doc", "page", (F.col("end") - F.col("k")).alias("k"), state("v").alias("exit"))
     parts = traced.join(exits, ["doc", "page", "k", "exit"]).join(times, ["doc", "page"])
     n = F.col("size") - F.when(F.col("k") == 0, 1).otherwise(0)
-    parts = parts.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select("doc", F.col("k").alias("part"), "ids", n.cast("long").alias("n_chars"), "exact", "page", "copy")
+    parts = parts.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select("doc", F.col("k").alias("part"), "ids", n.cast("long").alias("n_chars"), "exact", "n_ids", "sum_ids", "dot_ids", "page", "copy")
     return plain.withColumns({"page": F.lit(0).cast("long"), "copy": F.lit(1)}).unionByName(parts).withColumnRenamed("doc", id)
 
 
 def digests(encoded: DataFrame, id: str = "doc_id") -> DataFrame:
-    """One row for each document: (id, n_chars, n_ids, sum_ids, dot_ids, exact); dot_ids is the sum of (place + 1) * id.
+    """One row for each document: (id, n_chars, n_ids, sum_ids, dot_ids, exact), places counted over the whole text.
 
-    Only the parts of giant documents meet; each part first becomes four numbers.
+    Only the parts of giant documents meet, as four numbers each.
     """
     if "page" not in encoded.columns:
         encoded = encoded.withColumns({"page": F.lit(0).cast("long"), "copy": F.lit(1)})
+    whole = encoded.where("page = 0").select(id, "n_chars", "n_ids", "sum_ids", "dot_ids", "exact")
+    many = encoded.where("page <> 0")
+    before = F.coalesce(F.sum("n_ids").over(Window.partitionBy(id, "page", "copy").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    many = many.withColumn("dot_ids", F.col("dot_ids") + before * F.col("sum_ids")).groupBy(id, "page", "copy").agg(F.sum("n_chars").alias("n_chars"), F.sum("n_ids").alias("n_ids"), F.sum("sum_ids").alias("sum_ids"), F.sum("dot_ids").alias("dot_ids"), F.min("exact").alias("exact"))
+    return whole.unionByName(many.select(whole.columns))
 
-    @F.pandas_udf("n long, s long, d long")
-    def of(ids: pd.Series) -> pd.DataFrame:
-        rows = [(0, 0, 0) if x is None else (len(x), int(np.sum(x, dtype=np.int64)), int(np.dot(np.asarray(x, dtype=np.int64), np.arange(1, len(x) + 1)))) for x in ids]
-        return pd.DataFrame(rows, columns=["n", "s", "d"])
 
-    parts = encoded.select(id, "part", "page", "copy", "n_chars", "exact", of("ids").alias("x")).select(id, "part", "page", "copy", "n_chars", "exact", "x.*")
-    whole = parts.where("page = 0").select(id, "n_chars", F.col("n").alias("n_ids"), F.col("s").alias("sum_ids"), F.col("d").alias("dot_ids"), "exact")
-    many = parts.where("page <> 0")
-    before = F.coalesce(F.sum("n").over(Window.partitionBy(id, "page", "copy").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    many = many.withColumn("d", F.col("d") + before * F.col("s")).groupBy(id, "page", "copy").agg(F.sum("n_chars").alias("n_chars"), F.sum("n").alias("n_ids"), F.sum("s").alias("sum_ids"), F.sum("d").alias("dot_ids"), F.min("exact").alias("exact"))
-    return whole.unionByName(many.select(whole.columns))
+def _sums(rows: pd.DataFrame) -> pd.DataFrame:
+    ids = [np.zeros(0, dtype=np.int64) if x is None else np.asarray(x, dtype=np.int64) for x in rows["ids"]]
+    return rows.assign(n_ids=[len(x) for x in ids], sum_ids=[int(x.sum()) for x in ids], dot_ids=[int(np.dot(x, np.arange(1, len(x) + 1))) for x in ids])
