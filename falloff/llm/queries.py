@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from falloff.llm import hamming, html_text, langid, lines, mixing, ngram_join, pieces, privacy, sharding
+from falloff.llm import hamming, hnsw, html_text, langid, lines, mixing, ngram_join, pieces, privacy, sharding
 from falloff.llm.common import table
 
 
@@ -15,6 +15,10 @@ def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hamming.search(codes, codes.where(F.col("vec_id") % 20 == 0), k=10)
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.link(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def vocabulary() -> pieces.Pieces:
     """The installed public vocabulary; any SentencePiece model file's path will do."""
     import public_tokenizers
@@ -63,6 +67,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_topk_search": op1_topk_search,
+    "op2_embedding_dedup": op2_embedding_dedup,
     "op3_pieces": op3_pieces,
     "op4_source_mix": op4_source_mix,
     "op5_privacy": op5_privacy,
