@@ -10,13 +10,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from falloff.llm.common import components, cut
+from falloff.llm.common import BROADCAST_BYTES, components, cut, stars
 
 _K = np.uint64(0x9E3779B97F4A7C15)
 #: How far a prefix may be lengthened, as shares of a set's size; the first always means one shared token.
 LENGTHS = (0.0, 0.02, 0.05)
 #: Words whose hashes a task remembers.
-MEMORY = 500_000
+MEMORY = 150_000
 #: Bits of the map of wanted classes that is broadcast: 2 MB whatever the input.
 _BITS = 1 << 24
 _PIECES = 64
@@ -120,7 +120,7 @@ def link_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", words:
                     tokens.append(p)
                     owners.append(np.full(len(p), c, dtype=np.int64))
                     held += len(p)
-            if held > 2_000_000:
+            if held > 500_000:
                 yield from _dealt(np.concatenate(tokens), buckets, owner=np.concatenate(owners))
                 tokens, owners, held = [], [], 0
         if held:
@@ -142,13 +142,13 @@ def link_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", words:
 
     def choose(reply: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         if not len(reply) or not len(known):
-            return _EMPTY_ENTRIES
+            return pd.DataFrame({"bucket": pd.Series(dtype="int32"), "class": pd.Series(dtype="int64"), "n": pd.Series(dtype="int64"), "token": [], "probe": []})
         owner, token, df = _joined(reply, "owner", np.int64), _joined(reply, "token", np.uint64), _joined(reply, "df", np.int32)
         order = np.lexsort((token, df, owner))
         owner, token, df = owner[order], token[order], df[order]
         start = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
         size = {c: (n, ends) for c, n, ends in zip(known["class"], known["n"], known["ends"], strict=True)}
-        probe, index = np.zeros(len(owner), dtype=bool), np.zeros(len(owner), dtype=bool)
+        out = []
         for a, b in zip(start, np.append(start[1:], len(owner)), strict=True):
             n, ends = size[owner[a]]
             best = None
@@ -162,13 +162,14 @@ def link_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", words:
                 if best is None or cost < best[0]:
                     best = cost, at
             if best is not None:
-                index[a:b] = True
-                probe[a + best[1]] = True
-        return pd.DataFrame({"bucket": [int(reply["bucket"].iloc[0])], "owner": [owner[index].tobytes()], "token": [token[index].tobytes()], "probe": [probe[index].tobytes()]})
+                probe = np.zeros(b - a, dtype=bool)
+                probe[best[1]] = True
+                out.append((int(reply["bucket"].iloc[0]), int(owner[a]), n, token[a:b].tobytes(), probe.tobytes()))
+        return pd.DataFrame(out, columns=_ENTRY).astype({"bucket": "int32", "class": "int64", "n": "int64"})
 
     dealt = classes.withColumn("bucket", F.pmod("class", F.lit(buckets)).cast("int"))
-    entries = reply.groupBy("bucket").cogroup(dealt.groupBy("bucket")).applyInPandas(choose, "bucket int, owner binary, token binary, probe binary")
-    entries = cut(entries.where(F.length("owner") > 0), "ngram-entries")
+    entries = reply.groupBy("bucket").cogroup(dealt.groupBy("bucket")).applyInPandas(choose, "bucket int, class long, n long, token binary, probe binary")
+    entries = cut(entries, "ngram-entries")
 
     wanted = spark.sparkContext.broadcast(_bitmap(entries))
 
@@ -187,10 +188,15 @@ def link_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", words:
 
     sets = cut(rows.mapInPandas(whole_sets, "class long, tokens binary"), "ngram-sets")
 
+    lists = entries.select("class", "n", F.col("token").alias("tokens"))
     links = None
     for mode in ("least", "other", "every"):
         label = None if links is None else components(links)
-        found = _verified(_candidates(entries, label, mode, buckets), sets, buckets, percent)
+        likely = _compared(_candidates(entries, label, mode, buckets), lists, buckets, _share_prefix(percent), "bucket int, x binary, y binary")
+        likely = cut(likely, "ngram-likely")
+        met = cut(likely.mapInPandas(_classes_in, "class long").distinct(), "ngram-met")
+        few = F.broadcast(met) if met.count() * 16 <= BROADCAST_BYTES else met
+        found = _compared(likely, sets.join(few, "class", "left_semi"), buckets, _link(percent), "a long, b long")
         found = cut(found if links is None else found.unionByName(label.select(F.col("node").alias("a"), F.col("component").alias("b"))), "ngram-links")
         links = found
     label = components(links)
@@ -210,7 +216,8 @@ def keep_first(docs: DataFrame, id: str = "doc_id", text: str = "text", words: i
 
 
 _EMPTY_REPLY = pd.DataFrame({"bucket": pd.Series(dtype="int32"), "owner": pd.Series(dtype=object), "token": pd.Series(dtype=object), "df": pd.Series(dtype=object)})
-_EMPTY_ENTRIES = pd.DataFrame({"bucket": pd.Series(dtype="int32"), "owner": pd.Series(dtype=object), "token": pd.Series(dtype=object), "probe": pd.Series(dtype=object)})
+_ENTRY = ["bucket", "class", "n", "token", "probe"]
+_EMPTY_SENT = pd.DataFrame({"bucket": pd.Series(dtype="int32")} | {c: pd.Series(dtype=object) for c in ("owner", "token", "probe", "component")})
 
 
 def _joined(rows: pd.DataFrame, column: str, kind: type) -> np.ndarray:
@@ -236,7 +243,7 @@ def _bitmap(entries: DataFrame) -> bytes:
     def slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits = np.zeros(_BITS, dtype=bool)
         for batch in batches:
-            bits[_joined(batch, "owner", np.int64) % _BITS] = True
+            bits[batch["class"].to_numpy() % _BITS] = True
         packed = np.packbits(bits, bitorder="little").reshape(_PIECES, wide)
         used = np.flatnonzero(packed.any(axis=1))
         yield pd.DataFrame({"piece": used.astype(np.int32), "bits": [packed[k].tobytes() for k in used]})
@@ -255,7 +262,8 @@ def _candidates(entries: DataFrame, label: DataFrame | None, mode: str, buckets:
     """(bucket, x, y): arrays of classes to be compared, x < y, of different components, dealt by y."""
 
     def by_token(entries: pd.DataFrame, label: pd.DataFrame | None = None) -> pd.DataFrame:
-        owner, token, probe = _joined(entries, "owner", np.int64), _joined(entries, "token", np.uint64), _joined(entries, "probe", np.bool_)
+        token, probe = _joined(entries, "token", np.uint64), _joined(entries, "probe", np.bool_)
+        owner = np.repeat(entries["class"].to_numpy(), [len(x) for x in entries["probe"]]) if len(entries) else np.zeros(0, dtype=np.int64)
         component = owner
         if label is not None and len(label) and len(owner):
             node = label["node"].to_numpy()
@@ -263,7 +271,7 @@ def _candidates(entries: DataFrame, label: DataFrame | None, mode: str, buckets:
             node, to = node[order], label["component"].to_numpy()[order]
             at = np.minimum(np.searchsorted(node, owner), len(node) - 1)
             component = np.where(node[at] == owner, to[at], owner)
-        return pd.concat([_EMPTY_ENTRIES.assign(component=None), *_dealt(token, buckets, owner=owner, probe=probe, component=component)])
+        return pd.concat([_EMPTY_SENT, *_dealt(token, buckets, owner=owner, probe=probe, component=component)])
 
     def pairs(rows: pd.DataFrame) -> pd.DataFrame:
         token, owner, probe, component = (_joined(rows, c, k) for c, k in (("token", np.uint64), ("owner", np.int64), ("probe", np.bool_), ("component", np.int64)))
@@ -325,36 +333,60 @@ def _skip(offset: np.ndarray, run: np.ndarray, block: np.ndarray, run_at: np.nda
     return np.where(at >= block_at[block], at + block_size[block], at)
 
 
-def _verified(candidates: DataFrame, sets: DataFrame, buckets: int, percent: int) -> DataFrame:
-    """(a, b): links among the candidates, as edges that connect what they connect, at most one for each class and bucket."""
-    from falloff.llm.common import stars
+def _classes_in(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        yield pd.DataFrame({"class": np.unique(np.concatenate([_joined(batch, "x", np.int64), _joined(batch, "y", np.int64)]))})
+
+
+def _compared(candidates: DataFrame, sets: DataFrame, buckets: int, keep, schema: str) -> DataFrame:
+    """Candidates whose sets pass ``keep``. Sets come to the bucket of y: that of each y once, that of x once for each bucket with candidates."""
 
     def requests(rows: pd.DataFrame) -> pd.DataFrame:
         both = np.unique(np.stack([_joined(rows, "x", np.int64), _joined(rows, "y", np.int64)], axis=1), axis=0)
         at = np.flatnonzero(np.append(True, both[1:, 0] != both[:-1, 0])) if len(both) else np.zeros(0, dtype=int)
         return pd.DataFrame({"bucket": np.int32(rows["bucket"].iloc[0]), "x": both[at, 0], "ys": [y.tobytes() for y in np.split(both[:, 1], at[1:])] if len(at) else []})
 
+    once = sets.dropDuplicates(["class"]) if "n" not in sets.columns else sets
     asked = candidates.groupBy("bucket").applyInPandas(requests, "bucket int, x long, ys binary")
-    asked = asked.join(sets.withColumnsRenamed({"class": "x", "tokens": "xs"}).dropDuplicates(["x"]), "x")
+    asked = asked.join(once.withColumnsRenamed({"class": "x", "tokens": "xs"}), "x")
+    held = sets.withColumn("bucket", F.pmod("class", F.lit(buckets)).cast("int"))
 
     def compare(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         known = {c: np.frombuffer(t, dtype=np.uint64) for c, t in zip(held["class"], held["tokens"], strict=True)} if len(asked) else {}
+        sizes = dict(zip(held["class"], held["n"], strict=True)) if "n" in held else {}
         a, b = [], []
-        for x, xs, ys in zip(asked["x"], asked["xs"], asked["ys"], strict=True):
+        for k, (x, xs, ys) in enumerate(zip(asked["x"], asked["xs"], asked["ys"], strict=True)):
             s = np.frombuffer(xs, dtype=np.uint64)
+            s = np.sort(s) if sizes else s
             for y in np.frombuffer(ys, dtype=np.int64).tolist():
                 t = known[y]
-                small, large = (s, t) if len(s) <= len(t) else (t, s)
-                if 100 * len(small) < percent * len(large):
-                    continue
-                at = np.searchsorted(large, small)
-                at[at == len(large)] = 0
-                same = int(np.count_nonzero(large[at] == small))
-                if 100 * same >= percent * (len(s) + len(t) - same):
+                if keep(s, t, asked["n"].iat[k] if sizes else len(s), sizes.get(y, len(t))):
                     a.append(x)
                     b.append(y)
-        x, y = stars(np.array(a, dtype=np.int64), np.array(b, dtype=np.int64))
+        a, b = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
+        if schema.startswith("bucket"):
+            return pd.concat([_EMPTY_PAIRS, *_dealt(b, buckets, key="y", x=a)])[["bucket", "x", "y"]]
+        x, y = stars(a, b)  # what they connect, in at most one edge for each class
         return pd.DataFrame({"a": x, "b": y})
 
-    held = sets.withColumn("bucket", F.pmod("class", F.lit(buckets)).cast("int"))
-    return asked.groupBy("bucket").cogroup(held.groupBy("bucket")).applyInPandas(compare, "a long, b long")
+    return asked.groupBy("bucket").cogroup(held.groupBy("bucket")).applyInPandas(compare, schema)
+
+
+def _common(s: np.ndarray, t: np.ndarray) -> int:
+    """How many tokens two sets share; the first is in order."""
+    at = np.searchsorted(s, t)
+    at[at == len(s)] = 0
+    return int(np.count_nonzero(s[at] == t))
+
+
+def _share_prefix(percent: int):
+    """Whether two sets' sizes allow a link and their prefixes share as many tokens as links must, given their returned tokens."""
+    return lambda s, t, n, m: 100 * min(n, m) >= percent * max(n, m) and _common(s, t) >= min(_lengths(n)[-1], _lengths(m)[-1])
+
+
+def _link(percent: int):
+    def test(s: np.ndarray, t: np.ndarray, n: int, m: int) -> bool:
+        same = _common(s, t) if 100 * min(n, m) >= percent * max(n, m) else 0
+        return 100 * same >= percent * (n + m - same)
+
+    return test
