@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from falloff.plans import corpus_queries, interpret_queries, series_queries
+
 FLAGSHIP = "interpret_all"
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict = {**series_queries.QUERIES, **interpret_queries.QUERIES, **corpus_queries.QUERIES}
+ORACLE_SQL: dict[str, str] = {**series_queries.ORACLE_SQL, **interpret_queries.ORACLE_SQL, **corpus_queries.ORACLE_SQL}

@@ -1,0 +1,6 @@
+"""Queries of corpus operators."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
