@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,40 +16,62 @@ from falloff.llm.common import BROADCAST_BYTES, components, cut, stars
 _K = np.uint64(0x9E3779B97F4A7C15)
 #: How far a prefix may be lengthened, as shares of a set's size; the first always means one shared token.
 LENGTHS = (0.0, 0.02, 0.05)
-#: Words whose hashes a task remembers.
-MEMORY = 150_000
+_GAP = re.compile(rb"[\x20\x09-\x0d]")
 #: Bits of the map of wanted classes that is broadcast: 2 MB whatever the input.
 _BITS = 1 << 24
 _PIECES = 64
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > MEMORY:
-            self.clear()
-        found = self[word] = xxhash.xxh64_intdigest(word)
-        return found
+#: A byte's turn to be white space between words.
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_powers: list[np.ndarray] = [np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64)]
 
 
-def shingles(text: str | None, words: dict[bytes, int], n: int = 5) -> np.ndarray:
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h ^= h >> np.uint64(31)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(29)
+    return h
+
+
+def word_hashes(raw: bytes) -> np.ndarray:
+    """64-bit hashes of the words of a text, from differences of one running sum."""
+    b = np.frombuffer(raw, dtype=np.uint8)
+    if len(_powers[0]) < len(b) + 1:
+        for k, base in enumerate((0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64))):
+            power = np.full(max(1 << 16, 2 * len(b)) + 1, base, dtype=np.uint64)
+            power[0] = 1
+            _powers[k] = np.multiply.accumulate(power)
+    edge = np.diff(np.concatenate([[True], _SPACE[b], [True]]).view(np.int8))
+    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    sums = np.zeros(len(b) + 1, dtype=np.uint64)
+    np.cumsum((b.astype(np.uint64) + np.uint64(1)) * _powers[0][: len(b)], out=sums[1:])
+    return _mixed((sums[end] - sums[start]) * _powers[1][start])
+
+
+def shingles(text: str | None, n: int = 5) -> np.ndarray:
     """Sorted 64-bit hashes of the distinct n-word shingles; of all words as one if there are fewer; else empty.
 
     Words are what ASCII white space separates, A-Z in lower case.
     """
-    parts = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    if not parts:
-        return np.zeros(0, dtype=np.uint64)
-    h = np.fromiter(map(words.__getitem__, parts), dtype=np.uint64, count=len(parts))
+    raw = text.encode("utf-8", "surrogatepass").lower() if text else b""
+    parts, at = [], 0
+    while at < len(raw):  # a very long text in pieces that end at white space
+        end = at + (1 << 22)
+        m = _GAP.search(raw, end) if end < len(raw) else None
+        end = m.start() if m else len(raw)
+        parts.append(word_hashes(raw[at:end]))
+        at = end
+    h = np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint64)
+    if not len(h):
+        return h
     if len(h) < n:
         return np.array([xxhash.xxh64_intdigest(h.tobytes(), seed=len(h))], dtype=np.uint64)
     s = h[: len(h) - n + 1].copy()
     for k in range(1, n):
         s *= _K
         s += h[k : len(h) - n + 1 + k]
-    s ^= s >> np.uint64(31)
-    s *= np.uint64(0xBF58476D1CE4E5B9)
-    s ^= s >> np.uint64(29)
-    return np.unique(s)
+    return np.unique(_mixed(s))
 
 
 def _class_of(tokens: np.ndarray) -> int:
@@ -78,10 +101,10 @@ def link_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", words:
     looked up, and a set with fewer than l such tokens is out. What is looked up gives candidates, which
     are verified on whole sets.
 
-    A group of near copies has more pairs than can be listed, so candidates come in rounds. First each document meets the
-    smallest class of each token's list, then one more of another component for each token: both are linear in
-    the prefixes. Only pairs whose components still differ are then all verified, so no link between components is lost,
-    and none inside one is needed. Candidates, sets and prefixes travel as arrays, dealt by hashes of tokens
+    A group of near copies has more pairs than can be listed, so candidates come in two rounds. First each document
+    meets one other of fitting size for each of a few of its tokens: at most five meetings a document, which join most of
+    each group. Then all pairs of fitting size that share a looked-up token and whose components still differ are
+    verified, so no link between components is lost, and none inside one is needed. Candidates, sets and prefixes travel as arrays, dealt by hashes of tokens
     or classes; no list is gathered by document, source or group. What is broadcast is a bitmap of fixed size.
     """
     spark = docs.sparkSession
@@ -90,11 +113,10 @@ def link_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", words:
     buckets = max(32, rows.count() // 2500)
 
     def sizes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = _Words()
         for batch in batches:
             out = []
             for t in batch["text"]:
-                s = shingles(t, known, words)
+                s = shingles(t, words)
                 if not len(s):
                     out.append((None, 0, None))
                     continue
@@ -108,10 +130,10 @@ def link_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", words:
     classes = cut(classes, "ngram-classes")
 
     def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, seen, tokens, owners, held = _Words(), set(), [], [], 0
+        seen, tokens, owners, held = set(), [], [], 0
         for batch in batches:
             for t in batch["text"]:
-                s = shingles(t, known, words)
+                s = shingles(t, words)
                 if len(s) and (c := _class_of(s)) not in seen:
                     if len(seen) > 1_000_000:  # a class sent twice does no harm
                         seen.clear()
@@ -162,8 +184,9 @@ def link_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", words:
                 if best is None or cost < best[0]:
                     best = cost, at
             if best is not None:
-                probe = np.zeros(b - a, dtype=bool)
-                probe[best[1]] = True
+                probe = np.zeros(b - a, dtype=np.uint8)
+                probe[best[1]] = 1
+                probe[np.concatenate([best[1][:2], best[1][-3:]])] = 2  # for the first round
                 out.append((int(reply["bucket"].iloc[0]), int(owner[a]), n, token[a:b].tobytes(), probe.tobytes()))
         return pd.DataFrame(out, columns=_ENTRY).astype({"bucket": "int32", "class": "int64", "n": "int64"})
 
@@ -174,11 +197,11 @@ def link_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", words:
     wanted = spark.sparkContext.broadcast(_bitmap(entries))
 
     def whole_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, seen, bits = _Words(), set(), wanted.value
+        seen, bits = set(), wanted.value
         for batch in batches:
             out = []
             for t in batch["text"]:
-                s = shingles(t, known, words)
+                s = shingles(t, words)
                 if len(s) and bits[(c := _class_of(s)) % _BITS >> 3] >> (c & 7) & 1 and c not in seen:
                     if len(seen) > 1_000_000:
                         seen.clear()
@@ -190,9 +213,9 @@ def link_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", words:
 
     lists = entries.select("class", "n", F.col("token").alias("tokens"))
     links = None
-    for mode in ("least", "other", "every"):
+    for mode in ("some", "every"):
         label = None if links is None else components(links)
-        likely = _compared(_candidates(entries, label, mode, buckets), lists, buckets, _share_prefix(percent), "bucket int, x binary, y binary")
+        likely = _compared(_candidates(entries, label, mode, buckets, percent), lists, buckets, _share_prefix(percent), "bucket int, x binary, y binary")
         likely = cut(likely, "ngram-likely")
         met = cut(likely.mapInPandas(_classes_in, "class long").distinct(), "ngram-met")
         few = F.broadcast(met) if met.count() * 16 <= BROADCAST_BYTES else met
@@ -217,7 +240,8 @@ def keep_first(docs: DataFrame, id: str = "doc_id", text: str = "text", words: i
 
 _EMPTY_REPLY = pd.DataFrame({"bucket": pd.Series(dtype="int32"), "owner": pd.Series(dtype=object), "token": pd.Series(dtype=object), "df": pd.Series(dtype=object)})
 _ENTRY = ["bucket", "class", "n", "token", "probe"]
-_EMPTY_SENT = pd.DataFrame({"bucket": pd.Series(dtype="int32")} | {c: pd.Series(dtype=object) for c in ("owner", "token", "probe", "component")})
+_EMPTY_SENT = pd.DataFrame({"bucket": pd.Series(dtype="int32")} | {c: pd.Series(dtype=object) for c in ("owner", "token", "probe", "component", "size")})
+_SENT = ["bucket", "owner", "token", "probe", "component", "size"]
 
 
 def _joined(rows: pd.DataFrame, column: str, kind: type) -> np.ndarray:
@@ -258,12 +282,14 @@ def _bitmap(entries: DataFrame) -> bytes:
     return bytes(out)
 
 
-def _candidates(entries: DataFrame, label: DataFrame | None, mode: str, buckets: int) -> DataFrame:
+def _candidates(entries: DataFrame, label: DataFrame | None, mode: str, buckets: int, percent: int) -> DataFrame:
     """(bucket, x, y): arrays of classes to be compared, x < y, of different components, dealt by y."""
 
     def by_token(entries: pd.DataFrame, label: pd.DataFrame | None = None) -> pd.DataFrame:
-        token, probe = _joined(entries, "token", np.uint64), _joined(entries, "probe", np.bool_)
-        owner = np.repeat(entries["class"].to_numpy(), [len(x) for x in entries["probe"]]) if len(entries) else np.zeros(0, dtype=np.int64)
+        token, probe = _joined(entries, "token", np.uint64), _joined(entries, "probe", np.uint8)
+        each = [len(x) for x in entries["probe"]]
+        owner = np.repeat(entries["class"].to_numpy(dtype=np.int64), each)
+        size = np.repeat(entries["n"].to_numpy(dtype=np.int64), each)
         component = owner
         if label is not None and len(label) and len(owner):
             node = label["node"].to_numpy()
@@ -271,66 +297,89 @@ def _candidates(entries: DataFrame, label: DataFrame | None, mode: str, buckets:
             node, to = node[order], label["component"].to_numpy()[order]
             at = np.minimum(np.searchsorted(node, owner), len(node) - 1)
             component = np.where(node[at] == owner, to[at], owner)
-        return pd.concat([_EMPTY_SENT, *_dealt(token, buckets, owner=owner, probe=probe, component=component)])
+        return pd.concat([_EMPTY_SENT, *_dealt(token, buckets, owner=owner, probe=probe, component=component, size=size)])[_SENT]
 
     def pairs(rows: pd.DataFrame) -> pd.DataFrame:
-        token, owner, probe, component = (_joined(rows, c, k) for c, k in (("token", np.uint64), ("owner", np.int64), ("probe", np.bool_), ("component", np.int64)))
-        # Runs of one token, in them blocks of one component, in them classes in order.
-        order = np.lexsort((owner, component, token))
-        token, owner, probe, component = token[order], owner[order], probe[order], component[order]
-        new_run = np.append(True, token[1:] != token[:-1]) if len(token) else np.zeros(0, dtype=bool)
-        new_block = new_run | np.append(True, component[1:] != component[:-1]) if len(token) else new_run
-        run, block = np.cumsum(new_run) - 1, np.cumsum(new_block) - 1
-        run_at, block_at = np.flatnonzero(new_run), np.flatnonzero(new_block)
-        run_size, block_size = np.diff(np.append(run_at, len(token))), np.diff(np.append(block_at, len(token)))
-        asks = np.flatnonzero(probe)
-        others = run_size[run[asks]] - block_size[block[asks]]
-        asks, others = asks[others > 0], others[others > 0]
-        if mode == "least":
-            low = np.minimum.reduceat(owner, run_at)[run[asks]] if len(asks) else owner[:0]
-            found = [_ordered(owner[asks], low)]
-        else:
-            found, budget = [], 4_000_000
-            if mode == "other":
-                # A place among the others that depends on token and class alone.
-                offset = ((token[asks] ^ owner[asks].view(np.uint64)) * _K % others.astype(np.uint64)).astype(np.int64)
-                found = [_ordered(owner[asks], owner[_skip(offset, run[asks], block[asks], run_at, block_at, block_size)])]
-            else:
-                end = np.cumsum(others)
-                a = 0
-                while a < len(asks):  # so many pairs at a time, duplicates removed as they come
-                    b = max(a + 1, int(np.searchsorted(end, (end[a - 1] if a else 0) + budget)))
-                    n = others[a:b]
-                    offset = np.arange(n.sum()) - np.repeat(np.append(0, np.cumsum(n)[:-1]), n)
-                    who = np.repeat(asks[a:b], n)
-                    found.append(_ordered(owner[who], owner[_skip(offset, run[who], block[who], run_at, block_at, block_size)]))
-                    a = b
-                    if len(found) > 8:
-                        found = [np.unique(np.concatenate(found), axis=0)]
-        both = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), dtype=np.int64)
-        both = both[both[:, 0] != both[:, 1]]
-        return pd.concat([_EMPTY_PAIRS, *_dealt(both[:, 1], buckets, key="y", x=both[:, 0])])[["bucket", "x", "y"]]
-
-    schema = "bucket int, owner binary, token binary, probe binary, component binary"
+        token, owner, probe, component, size = (_joined(rows, c, k) for c, k in (("token", np.uint64), ("owner", np.int64), ("probe", np.uint8), ("component", np.int64), ("size", np.int64)))
+        _, run = np.unique(token, return_inverse=True)
+        least, most = _needed(size, percent), 100 * size // percent  # sizes that a link allows
+        found = _Found()
+        if mode == "some":
+            order = np.lexsort((owner, size, run))
+            key = run[order] * (1 << 40) + size[order]
+            asks = np.flatnonzero(probe == 2)
+            a, b = np.searchsorted(key, run[asks] * (1 << 40) + least[asks]), np.searchsorted(key, run[asks] * (1 << 40) + most[asks], "right")
+            # A place among those of fitting size that depends on token and class alone.
+            other = order[a + ((token[asks] ^ owner[asks].view(np.uint64)) * _K % (b - a).astype(np.uint64)).astype(np.int64)]
+            found.add(owner[asks], owner[other])
+            return found.dealt(buckets)
+        # Blocks of one component in a token's list: large ones are met one by one, so that a block never meets itself.
+        order = np.lexsort((size, component, run))
+        fresh = np.append(True, (np.diff(run[order]) != 0) | (np.diff(component[order]) != 0)) if len(order) else np.zeros(0, dtype=bool)
+        at = np.flatnonzero(fresh)
+        width = np.diff(np.append(at, len(order)))
+        large = np.repeat(width > 32, width)
+        little = order[~large]
+        little = little[np.lexsort((size[little], run[little]))]
+        key = run[little] * (1 << 40) + size[little]
+        asks = np.flatnonzero(probe > 0)
+        asks = asks[np.argsort(run[asks], kind="stable")]
+        a, b = np.searchsorted(key, run[asks] * (1 << 40) + least[asks]), np.searchsorted(key, run[asks] * (1 << 40) + most[asks], "right")
+        found.ranges(asks, a, b, little, owner, component)
+        ask_run = run[asks]
+        for start, n in zip(at[width > 32], width[width > 32], strict=True):
+            block = order[start : start + n]
+            mine = asks[np.searchsorted(ask_run, run[block[0]]) : np.searchsorted(ask_run, run[block[0]], "right")]
+            mine = mine[component[mine] != component[block[0]]]
+            a, b = np.searchsorted(size[block], least[mine]), np.searchsorted(size[block], most[mine], "right")
+            found.ranges(mine, a, b, block, owner, component)
+        return found.dealt(buckets)
+
+    schema = "bucket int, owner binary, token binary, probe binary, component binary, size binary"
     if label is None:
-        sent = entries.groupBy("bucket").applyInPandas(lambda e: by_token(e)[["bucket", "owner", "token", "probe", "component"]], schema)
+        sent = entries.groupBy("bucket").applyInPandas(lambda e: by_token(e), schema)
     else:
         label = label.withColumn("bucket", F.pmod("node", F.lit(buckets)).cast("int"))
-        sent = entries.groupBy("bucket").cogroup(label.groupBy("bucket")).applyInPandas(lambda e, w: by_token(e, w)[["bucket", "owner", "token", "probe", "component"]], schema)
+        sent = entries.groupBy("bucket").cogroup(label.groupBy("bucket")).applyInPandas(lambda e, w: by_token(e, w), schema)
     return sent.groupBy("bucket").applyInPandas(pairs, "bucket int, x binary, y binary")
 
 
 _EMPTY_PAIRS = pd.DataFrame({"bucket": pd.Series(dtype="int32"), "x": pd.Series(dtype=object), "y": pd.Series(dtype=object)})
 
 
-def _ordered(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)
-
-
-def _skip(offset: np.ndarray, run: np.ndarray, block: np.ndarray, run_at: np.ndarray, block_at: np.ndarray, block_size: np.ndarray) -> np.ndarray:
-    """The place of the offset-th row of a run that is not of the block."""
-    at = run_at[run] + offset
-    return np.where(at >= block_at[block], at + block_size[block], at)
+class _Found:
+    """Pairs of classes as they come, kept few by dropping repeats."""
+
+    def __init__(self) -> None:
+        self.parts: list[np.ndarray] = []
+        self.held = 0
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        a, b = a[a != b], b[a != b]
+        self.parts.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0))
+        self.held += len(self.parts[-1])
+        if len(self.parts) > 1 and self.held > 2_000_000:
+            self.parts = [np.unique(np.concatenate(self.parts), axis=0)]
+            self.held = 0
+
+    def ranges(self, asks: np.ndarray, a: np.ndarray, b: np.ndarray, rows: np.ndarray, owner: np.ndarray, component: np.ndarray, budget: int = 1_000_000) -> None:
+        """Each of ``asks`` with the rows from a to b that are of another component, so many pairs at a time."""
+        some = b > a
+        asks, a, n = asks[some], a[some], (b - a)[some]
+        end = np.cumsum(n)
+        i = 0
+        while i < len(asks):
+            j = max(i + 1, int(np.searchsorted(end, (end[i - 1] if i else 0) + budget)))
+            m = n[i:j]
+            place = np.arange(m.sum()) + np.repeat(a[i:j] - np.append(0, np.cumsum(m)[:-1]), m)
+            who, other = np.repeat(asks[i:j], m), rows[place]
+            apart = component[who] != component[other]
+            self.add(owner[who[apart]], owner[other[apart]])
+            i = j
+
+    def dealt(self, buckets: int) -> pd.DataFrame:
+        both = np.unique(np.concatenate(self.parts), axis=0) if self.parts else np.zeros((0, 2), dtype=np.int64)
+        return pd.concat([_EMPTY_PAIRS, *_dealt(both[:, 1], buckets, key="y", x=both[:, 0])])[["bucket", "x", "y"]]
 
 
 def _classes_in(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
