@@ -54,8 +54,8 @@ def shmin_rapid(scenario: Column, apparent_isip: Column) -> Column:
 
 def rapid_text(value: Column, verbose: bool = False) -> Column:
     lo, hi = RAPID_RANGE_PSI
-    short = F.format_string("%.0f ±%d", value, F.lit((hi - lo) // 2))
-    return F.concat(short, F.lit(f" (ISIP − {lo}–{hi})")) if verbose else short
+    short = F.format_string("%d ±%d", F.bround(value, 0).cast("long"), F.lit((hi - lo) // 2))
+    return F.when(value.isNotNull(), F.concat(short, F.lit(f" (ISIP − {lo}–{hi})")) if verbose else short)
 
 
 def reference_isip(compliance: Column, tangent: Column) -> Column:

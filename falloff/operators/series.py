@@ -155,9 +155,9 @@ def local_slope(rows: DataFrame, x: str, y: str, out: str, half: int = 4, order:
 
 
 def tangent_at(rows: DataFrame, targets: DataFrame, x: str, y: str, at: str, half: int = 4, order: str = "i") -> DataFrame:
-    """(test_id, anchor_x, anchor_y, slope) at the row nearest to each test's ``at`` on x, the first of equals."""
+    """(test_id, anchor_x, anchor_y, slope) at the row nearest to each test's ``at`` on x, the first of equals (to 9 places)."""
     near = local_slope(rows, x, y, "_slope", half, order).join(targets.select(KEY, F.col(at).alias("_at")), KEY).where(F.col("_at").isNotNull() & F.col(x).isNotNull())
-    best = F.min_by(F.struct(F.col(x).alias("anchor_x"), F.col(y).alias("anchor_y"), F.col("_slope").alias("slope")), F.struct(F.abs(F.col(x) - F.col("_at")), F.col(order)))
+    best = F.min_by(F.struct(F.col(x).alias("anchor_x"), F.col(y).alias("anchor_y"), F.col("_slope").alias("slope")), F.struct(F.round(F.abs(F.col(x) - F.col("_at")), 9), F.col(order)))
     return near.groupBy(KEY).agg(best.alias("b")).select(KEY, "b.*")
 
 

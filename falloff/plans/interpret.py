@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from falloff.functions import formulas as fx
 from falloff.operators import series as s
+from falloff.plans.staging import staged
 
 KEY = s.KEY
 
@@ -48,9 +49,9 @@ def interpret(samples: DataFrame, picks: DataFrame, alpha: float = 1.0, step: fl
     by test_id, and after resampling holds a few hundred rows a test.
     """
     picks = with_all_picks(picks, step)
-    pumped = pumping(samples, picks)
-    resampled = falloff(samples, picks, pumped)
-    diag = s.g_diagnostics(resampled, F.col("te"), alpha)
+    pumped = staged(pumping(samples, picks), "pumped")
+    resampled = staged(falloff(samples, picks, pumped), "resampled")
+    diag = staged(s.g_diagnostics(resampled, F.col("te"), alpha), "diagnostics")
     late = s.loglog_diagnostics(resampled)
     has = resampled.select(KEY).distinct().withColumn("has_diag", F.lit(True))
     kept = resampled.groupBy(KEY).agg(F.first("n_kept").alias("n_resampled"), F.first("guarded_at").alias("guarded_at"))
@@ -97,13 +98,13 @@ RESULTS = [
 
 def auto_picks(samples: DataFrame, alpha: float = 1.0, step: float = 30.0, isip_after_s: float = 60.0) -> DataFrame:
     """Picks seeded from the data: main cycle, ISIP tangent, minimum, contact at the hump of dP/dG, departure, late window."""
-    window = s.main_cycle(samples)
+    window = staged(s.main_cycle(samples), "window")
     base = with_all_picks(window, step)
-    pumped = pumping(samples, base)
+    pumped = staged(pumping(samples, base), "pumped")
     at = pumped.select(KEY, (F.col("t_shutin") + isip_after_s).alias("isip_at"))
     isip = s.tangent_at(samples, at, "t_s", "p", "isip_at", half=30, order="idx").select(KEY, F.col("anchor_x").alias("isip_x"), F.col("anchor_y").alias("isip_y"), F.col("slope").alias("isip_slope"))
-    resampled = falloff(samples, base, pumped)
-    diag = s.g_diagnostics(resampled, F.col("te"), alpha)
+    resampled = staged(falloff(samples, base, pumped), "resampled")
+    diag = staged(s.g_diagnostics(resampled, F.col("te"), alpha), "diagnostics")
     many = F.col("n_kept") > 5
     hump = diag.where(many & F.col("dPdG").isNotNull()).groupBy(KEY).agg(F.max_by("G", F.struct(F.col("dPdG"), -F.col("i"))).alias("contact_G"))
     least = s.min_dpdg(diag.where(many)).select(KEY, F.col("min_G").alias("min_dpdg_G"))
@@ -114,4 +115,5 @@ def auto_picks(samples: DataFrame, alpha: float = 1.0, step: float = 30.0, isip_
 
 def interpret_all(samples: DataFrame, alpha: float = 1.0, step: float = 30.0) -> DataFrame:
     """Seed the picks of every test, then interpret with them."""
-    return interpret(samples, auto_picks(samples, alpha, step), alpha, step)
+    samples = staged(samples, "samples")
+    return interpret(samples, staged(auto_picks(samples, alpha, step), "picks"), alpha, step)
