@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,17 +14,20 @@ from pyspark.sql import functions as F
 from falloff.llm.common import BROADCAST_BYTES, components, cut, stars
 
 _K = np.uint64(0x9E3779B97F4A7C15)
+_LOW32 = np.uint64(0xFFFFFFFF)
 #: How far a prefix may be lengthened, as shares of a set's size; the first always means one shared token.
 LENGTHS = (0.0, 0.02, 0.05)
-_GAP = re.compile(rb"[\x20\x09-\x0d]")
-#: Bits of the map of wanted classes that is broadcast: 2 MB whatever the input.
+#: Bytes of text that are hashed at a time.
+_SLICE = 1 << 20
+#: Bits of the map of wanted rows that is broadcast: 2 MB whatever the input.
 _BITS = 1 << 24
 _PIECES = 64
 
-
-#: A byte's turn to be white space between words.
+#: A byte's turn to be white space between words, and what it adds to a word's sum, A-Z as a-z.
 _SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
-_powers: list[np.ndarray] = [np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64)]
+_VALUE = np.arange(1, 257, dtype=np.uint64)
+_VALUE[0x41:0x5B] += np.uint64(0x20)
+_powers: list[np.ndarray] = []
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -34,44 +37,103 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def word_hashes(raw: bytes) -> np.ndarray:
-    """64-bit hashes of the words of a text, from differences of one running sum."""
-    b = np.frombuffer(raw, dtype=np.uint8)
-    if len(_powers[0]) < len(b) + 1:
-        for k, base in enumerate((0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64))):
-            power = np.full(max(1 << 16, 2 * len(b)) + 1, base, dtype=np.uint64)
+def _words(b: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes and starts of the words of a slice in which texts begin at ``begins``.
+
+    A word's hash is a difference of one running sum, moved to place 0 by the inverse power of its start.
+    """
+    if not _powers:
+        for base in (0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)):
+            power = np.full(2 * _SLICE + 1, base, dtype=np.uint64)
             power[0] = 1
-            _powers[k] = np.multiply.accumulate(power)
-    edge = np.diff(np.concatenate([[True], _SPACE[b], [True]]).view(np.int8))
-    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+            _powers.append(np.multiply.accumulate(power))
+    inside = ~_SPACE[b]
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    at = begins[(begins > 0) & (begins < len(b))]
+    first[at], last[at - 1] = inside[at], inside[at - 1]
+    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
     sums = np.zeros(len(b) + 1, dtype=np.uint64)
-    np.cumsum((b.astype(np.uint64) + np.uint64(1)) * _powers[0][: len(b)], out=sums[1:])
-    return _mixed((sums[end] - sums[start]) * _powers[1][start])
+    np.cumsum(_VALUE[b] * _powers[0][: len(b)], out=sums[1:])
+    return _mixed((sums[end] - sums[start]) * _powers[1][start]), start
 
 
-def shingles(text: str | None, n: int = 5) -> np.ndarray:
-    """Sorted 64-bit hashes of the distinct n-word shingles; of all words as one if there are fewer; else empty.
-
-    Words are what ASCII white space separates, A-Z in lower case.
-    """
-    raw = text.encode("utf-8", "surrogatepass").lower() if text else b""
+def _long_words(b: np.ndarray) -> np.ndarray:
+    """Word hashes of a text longer than a slice, in slices that end at white space; a longer word is hashed whole."""
     parts, at = [], 0
-    while at < len(raw):  # a very long text in pieces that end at white space
-        end = at + (1 << 22)
-        m = _GAP.search(raw, end) if end < len(raw) else None
-        end = m.start() if m else len(raw)
-        parts.append(word_hashes(raw[at:end]))
-        at = end
-    h = np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint64)
-    if not len(h):
-        return h
+    while at < len(b):
+        end = at + _SLICE
+        while end < len(b):
+            space = np.flatnonzero(_SPACE[b[end : end + _SLICE]])
+            if len(space):
+                end += int(space[0])
+                break
+            end += _SLICE
+        piece = b[at : min(end, len(b))]
+        if len(piece) <= 2 * _SLICE:
+            parts.append(_words(piece, np.zeros(1, dtype=np.int64))[0])
+        else:  # what stands before the long word, then that word
+            inside = np.flatnonzero(_SPACE[piece[:_SLICE]])
+            cut_at = int(inside[-1]) if len(inside) else 0
+            parts.append(_words(piece[:cut_at], np.zeros(1, dtype=np.int64))[0])
+            parts.append(np.array([xxhash.xxh64_intdigest(piece[cut_at:].tobytes().strip().lower())], dtype=np.uint64))
+        at = min(end, len(b))
+    return np.concatenate(parts)
+
+
+def _set_of(h: np.ndarray, windows: np.ndarray, n: int) -> np.ndarray:
+    """The sorted distinct shingles of a text from its word hashes and those of its windows of n words."""
     if len(h) < n:
         return np.array([xxhash.xxh64_intdigest(h.tobytes(), seed=len(h))], dtype=np.uint64)
+    s = np.sort(windows[: len(h) - n + 1])
+    return s[np.append(True, s[1:] != s[:-1])]
+
+
+def _windows(h: np.ndarray, n: int) -> np.ndarray:
+    if len(h) < n:
+        return h[:0]
     s = h[: len(h) - n + 1].copy()
     for k in range(1, n):
         s *= _K
         s += h[k : len(h) - n + 1 + k]
-    return np.unique(_mixed(s))
+    return _mixed(s)
+
+
+def shingle_sets(texts: pa.Array, n: int = 5, rows: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, set) of the texts that have words: sorted 64-bit hashes of the distinct n-word shingles, of all words as one
+    if there are fewer. Words are what ASCII white space separates, A-Z in lower case. Only ``rows``, if given."""
+    _, offsets, data = texts.cast(pa.large_string()).buffers()
+    offsets = np.frombuffer(offsets, dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1] if offsets else np.zeros(1, dtype=np.int64)
+    data = np.frombuffer(data, dtype=np.uint8) if data else np.zeros(0, dtype=np.uint8)
+    rows = np.arange(len(texts)) if rows is None else rows
+    size = offsets[rows + 1] - offsets[rows]
+    at = 0
+    while at < len(rows):
+        if size[at] > _SLICE:
+            h = _long_words(data[offsets[rows[at]] : offsets[rows[at] + 1]])
+            if len(h):
+                yield int(rows[at]), _set_of(h, _windows(h, n), n)
+            at += 1
+            continue
+        # Texts of up to a slice together.
+        end = at + max(1, int(np.searchsorted(np.cumsum(size[at : at + 4096]), _SLICE, "right")))
+        part = rows[at:end]
+        begins = np.cumsum(np.append(0, size[at:end]))
+        b = np.concatenate([data[offsets[r] : offsets[r + 1]] for r in part]) if end - at > 1 else data[offsets[part[0]] : offsets[part[0] + 1]]
+        h, start = _words(b, begins[:-1]) if len(b) else (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
+        bounds = np.searchsorted(start, begins).tolist()
+        windows = _windows(h, n)
+        for k, r in enumerate(part.tolist()):
+            a, z = bounds[k], bounds[k + 1]
+            if z > a:
+                yield r, _set_of(h[a:z], windows[a:z], n)
+        at = end
+
+
+def shingles(text: str | None, n: int = 5) -> np.ndarray:
+    """The set of one text; empty for null and for texts without words."""
+    return next((s for _, s in shingle_sets(pa.array([text or ""], type=pa.string()), n)), np.zeros(0, dtype=np.uint64))
 
 
 def _class_of(tokens: np.ndarray) -> int:
@@ -93,6 +155,7 @@ def link_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", words:
     Two documents link when 100 * intersection >= ``percent`` * union of their sets of ``words``-word shingles;
     component_id is the smallest id reachable. A text without words, or null, has 0 shingles and links with nothing, its
     component being its own id. Equal sets are one class, met once. Ids may repeat; rows then stand for themselves.
+    An empty table gives an empty table; other columns are ignored.
 
     A set's order is that of its hashes. Its l-prefix (size - least overlap + l) shares l tokens with that of any
     set it links to. All sets give their longest prefix; a token that only one class has is forgotten, the others
@@ -102,79 +165,81 @@ def link_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", words:
     are verified on whole sets.
 
     A group of near copies has more pairs than can be listed, so candidates come in two rounds. First each document
-    meets one other of fitting size for each of a few of its tokens: at most five meetings a document, which join most of
-    each group. Then all pairs of fitting size that share a looked-up token and whose components still differ are
-    verified, so no link between components is lost, and none inside one is needed. Candidates, sets and prefixes travel as arrays, dealt by hashes of tokens
-    or classes; no list is gathered by document, source or group. What is broadcast is a bitmap of fixed size.
+    meets, for a few of its tokens, one leader among those of fitting size, the same for most of a group: that joins
+    most of each group. Then all pairs of fitting size that share a looked-up token and whose components still differ
+    are verified, so no link between components is lost, and none inside one is needed. Candidates, sets and
+    prefixes travel as arrays, dealt by hashes of tokens or classes. A task holds the list of a token, some 30
+    bytes for each different set that has it. What is broadcast is a bitmap of fixed size.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
+    rows = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text"))
     kind = dict(rows.dtypes)["id"]
     buckets = max(32, rows.count() // 2500)
 
-    def sizes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for t in batch["text"]:
-                s = shingles(t, words)
-                if not len(s):
-                    out.append((None, 0, None))
-                    continue
+            of, n, ends = [None] * len(batch), np.zeros(len(batch), dtype=np.int64), [None] * len(batch)
+            for r, s in shingle_sets(batch.column("text"), words):
                 p = [min(len(s), len(s) - _needed(len(s), percent) + x) for x in _lengths(len(s))]
-                out.append((_class_of(s), len(s), [int(x) for x in s[np.array(p) - 1].view(np.int64)]))
-            out = pd.DataFrame(out, columns=["class", "n", "ends"]).astype({"class": "Int64"})
-            yield out.assign(id=batch["id"].array)[["id", "class", "n", "ends"]]
+                of[r], n[r], ends[r] = _class_of(s), len(s), [int(x) for x in s[np.array(p) - 1].view(np.int64)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(of, pa.int64()), pa.array(n), pa.array(ends, pa.list_(pa.int64()))], names=["id", "class", "n", "ends"])
 
-    base = cut(rows.mapInPandas(sizes, f"id {kind}, class long, n long, ends array<long>"), "ngram-sizes")
+    base = cut(rows.mapInArrow(sizes, f"id {kind}, class long, n long, ends array<long>"), "ngram-sizes")
     classes = base.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("id").alias("low"), F.max("n").alias("n"), F.max("ends").alias("ends"))
-    classes = cut(classes, "ngram-classes")
+    classes = cut(classes.withColumn("slot", _slot(F.col("low"))), "ngram-classes")
 
-    def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, tokens, owners, held = set(), [], [], 0
         for batch in batches:
-            for t in batch["text"]:
-                s = shingles(t, words)
-                if len(s) and (c := _class_of(s)) not in seen:
-                    if len(seen) > 1_000_000:  # a class sent twice does no harm
+            for _, s in shingle_sets(batch.column("text"), words):
+                if (c := _class_of(s)) not in seen:
+                    if len(seen) > 100_000:  # a class sent twice does no harm
                         seen.clear()
                     seen.add(c)
                     p = s[: len(s) - _needed(len(s), percent) + _lengths(len(s))[-1]]
                     tokens.append(p)
                     owners.append(np.full(len(p), c, dtype=np.int64))
                     held += len(p)
-            if held > 500_000:
-                yield from _dealt(np.concatenate(tokens), buckets, owner=np.concatenate(owners))
-                tokens, owners, held = [], [], 0
+                if held > 1_000_000:
+                    yield from _sent(np.concatenate(tokens), np.concatenate(owners))
+                    tokens, owners, held = [], [], 0
         if held:
-            yield from _dealt(np.concatenate(tokens), buckets, owner=np.concatenate(owners))
+            yield from _sent(np.concatenate(tokens), np.concatenate(owners))
+
+    def _sent(token: np.ndarray, owner: np.ndarray) -> Iterator[pa.RecordBatch]:
+        # Within a bucket a token's upper half tells it apart as well as all of it does.
+        for rows in _dealt(token % np.uint64(buckets), token=(token >> np.uint64(32)).astype(np.uint32), owner=owner):
+            yield pa.RecordBatch.from_pandas(rows, schema=pa.schema([("bucket", pa.int32()), ("token", pa.binary()), ("owner", pa.binary())]), preserve_index=False)
 
     def shared_tokens(rows: pd.DataFrame) -> pd.DataFrame:
-        token, owner = _joined(rows, "token", np.uint64), _joined(rows, "owner", np.int64)
+        token, owner = _joined(rows, "token", np.uint32), _joined(rows, "owner", np.int64)
         order = np.lexsort((owner, token))
         token, owner = token[order], owner[order]
         fresh = np.append(True, (token[1:] != token[:-1]) | (owner[1:] != owner[:-1]))
         token, owner = token[fresh], owner[fresh]
         _, run, size = np.unique(token, return_inverse=True, return_counts=True)
-        df = size[run]
-        many = df > 1
-        return pd.concat([_EMPTY_REPLY, *_dealt(owner[many], buckets, token=token[many], df=df[many].astype(np.int32), key="owner")])
+        many = size[run] > 1
+        token = (token[many].astype(np.uint64) << np.uint64(32)) | np.uint64(rows["bucket"].iloc[0])
+        owner = owner[many]
+        return pd.concat([_empty(_REPLY), *_dealt(owner % buckets, owner=owner, token=token, df=size[run][many].astype(np.int32))])
 
-    sent = rows.mapInPandas(prefixes, "bucket int, token binary, owner binary")
+    sent = rows.select("text").mapInArrow(prefixes, "bucket int, token binary, owner binary")
     reply = sent.groupBy("bucket").applyInPandas(shared_tokens, "bucket int, owner binary, token binary, df binary")
 
     def choose(reply: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         if not len(reply) or not len(known):
-            return pd.DataFrame({"bucket": pd.Series(dtype="int32"), "class": pd.Series(dtype="int64"), "n": pd.Series(dtype="int64"), "token": [], "probe": []})
+            return _empty(_ENTRY)
         owner, token, df = _joined(reply, "owner", np.int64), _joined(reply, "token", np.uint64), _joined(reply, "df", np.int32)
         order = np.lexsort((token, df, owner))
         owner, token, df = owner[order], token[order], df[order]
         start = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
-        size = {c: (n, ends) for c, n, ends in zip(known["class"], known["n"], known["ends"], strict=True)}
+        of = {c: k for k, c in enumerate(known["class"])}
+        sizes, every_end, slots = known["n"].to_list(), known["ends"].to_list(), known["slot"].to_list()
         out = []
-        for a, b in zip(start, np.append(start[1:], len(owner)), strict=True):
-            n, ends = size[owner[a]]
-            best = None
-            for need, end in zip(_lengths(n), np.asarray(ends, dtype=np.int64).view(np.uint64), strict=True):
+        for a, b in zip(start.tolist(), np.append(start[1:], len(owner)).tolist(), strict=True):
+            k = of[owner[a]]
+            n, best = sizes[k], None
+            for need, end in zip(_lengths(n), np.asarray(every_end[k], dtype=np.int64).view(np.uint64) | _LOW32, strict=True):
                 at = np.flatnonzero(token[a:b] <= end)
                 if len(at) < need:
                     best = None
@@ -186,37 +251,40 @@ def link_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", words:
             if best is not None:
                 probe = np.zeros(b - a, dtype=np.uint8)
                 probe[best[1]] = 1
-                probe[np.concatenate([best[1][:2], best[1][-3:]])] = 2  # for the first round
-                out.append((int(reply["bucket"].iloc[0]), int(owner[a]), n, token[a:b].tobytes(), probe.tobytes()))
-        return pd.DataFrame(out, columns=_ENTRY).astype({"bucket": "int32", "class": "int64", "n": "int64"})
+                probe[np.concatenate([best[1][:2], best[1][-2:]])] = 2  # for the first round
+                out.append((int(reply["bucket"].iloc[0]), int(owner[a]), n, slots[k], token[a:b].tobytes(), probe.tobytes()))
+        return pd.concat([_empty(_ENTRY), pd.DataFrame(out, columns=_ENTRY).astype({"bucket": "int32"})]) if out else _empty(_ENTRY)
 
-    dealt = classes.withColumn("bucket", F.pmod("class", F.lit(buckets)).cast("int"))
-    entries = reply.groupBy("bucket").cogroup(dealt.groupBy("bucket")).applyInPandas(choose, "bucket int, class long, n long, token binary, probe binary")
+    dealt = classes.select("class", "n", "ends", "slot", F.pmod("class", F.lit(buckets)).cast("int").alias("bucket"))
+    entries = reply.groupBy("bucket").cogroup(dealt.groupBy("bucket")).applyInPandas(choose, "bucket int, class long, n long, slot int, token binary, probe binary")
     entries = cut(entries, "ngram-entries")
 
     wanted = spark.sparkContext.broadcast(_bitmap(entries))
 
-    def whole_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen, bits = set(), wanted.value
+    def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(wanted.value, dtype=np.uint8)
         for batch in batches:
-            out = []
-            for t in batch["text"]:
-                s = shingles(t, words)
-                if len(s) and bits[(c := _class_of(s)) % _BITS >> 3] >> (c & 7) & 1 and c not in seen:
-                    if len(seen) > 1_000_000:
-                        seen.clear()
-                    seen.add(c)
-                    out.append((c, s.tobytes()))
-            yield pd.DataFrame(out, columns=["class", "tokens"])
-
-    sets = cut(rows.mapInPandas(whole_sets, "class long, tokens binary"), "ngram-sets")
+            slot = batch.column("slot").to_numpy()
+            ask = np.flatnonzero(bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
+            of, tokens, held = [], [], 0
+            for _, s in shingle_sets(batch.column("text"), words, ask):
+                of.append(_class_of(s))
+                tokens.append(s.tobytes())
+                held += len(s)
+                if held > 1_000_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), pa.array(tokens, pa.binary())], names=["class", "tokens"])
+                    of, tokens, held = [], [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), pa.array(tokens, pa.binary())], names=["class", "tokens"])
+
+    # Of each wanted class the row of its smallest id; what the bitmap lets through beside is met by nobody.
+    sets = cut(rows.select(_slot(F.col("id")).alias("slot"), "text").mapInArrow(whole_sets, "class long, tokens binary"), "ngram-sets")
 
     lists = entries.select("class", "n", F.col("token").alias("tokens"))
     links = None
     for mode in ("some", "every"):
         label = None if links is None else components(links)
         likely = _compared(_candidates(entries, label, mode, buckets, percent), lists, buckets, _share_prefix(percent), "bucket int, x binary, y binary")
-        likely = cut(likely, "ngram-likely")
+        likely = cut(likely, f"ngram-likely-{mode}")
         met = cut(likely.mapInPandas(_classes_in, "class long").distinct(), "ngram-met")
         few = F.broadcast(met) if met.count() * 16 <= BROADCAST_BYTES else met
         found = _compared(likely, sets.join(few, "class", "left_semi"), buckets, _link(percent), "a long, b long")
@@ -238,36 +306,49 @@ def keep_first(docs: DataFrame, id: str = "doc_id", text: str = "text", words: i
     return docs.join(found, F.col(id) == F.col("_gone"), "left_anti")
 
 
-_EMPTY_REPLY = pd.DataFrame({"bucket": pd.Series(dtype="int32"), "owner": pd.Series(dtype=object), "token": pd.Series(dtype=object), "df": pd.Series(dtype=object)})
-_ENTRY = ["bucket", "class", "n", "token", "probe"]
-_EMPTY_SENT = pd.DataFrame({"bucket": pd.Series(dtype="int32")} | {c: pd.Series(dtype=object) for c in ("owner", "token", "probe", "component", "size")})
+_REPLY = ["bucket", "owner", "token", "df"]
+_ENTRY = ["bucket", "class", "n", "slot", "token", "probe"]
 _SENT = ["bucket", "owner", "token", "probe", "component", "size"]
+_PAIRS = ["bucket", "x", "y"]
+
+
+def _empty(columns: list[str]) -> pd.DataFrame:
+    kinds = {"bucket": "int32", "class": "int64", "n": "int64", "slot": "int32"}
+    return pd.DataFrame({c: pd.Series(dtype=kinds.get(c, object)) for c in columns})
+
+
+def _slot(id):
+    return F.pmod(F.xxhash64(id), F.lit(_BITS)).cast("int")
 
 
 def _joined(rows: pd.DataFrame, column: str, kind: type) -> np.ndarray:
-    return np.concatenate([np.frombuffer(x, dtype=kind) for x in rows[column]]) if len(rows) else np.zeros(0, dtype=kind)
+    return np.frombuffer(b"".join(rows[column]), dtype=kind)
 
 
-def _dealt(values: np.ndarray, buckets: int, key: str = "token", **others: np.ndarray) -> Iterator[pd.DataFrame]:
-    """One row for each bucket of ``values``: the values and what goes with them, as bytes."""
-    if not len(values):
+def _dealt(bucket: np.ndarray, **arrays: np.ndarray) -> Iterator[pd.DataFrame]:
+    """One row for each bucket: what goes there, as bytes."""
+    if not len(bucket):
         return
-    bucket = (values % values.dtype.type(buckets)).astype(np.int32)
+    bucket = bucket.astype(np.int32)
     order = np.argsort(bucket, kind="stable")
-    at = np.flatnonzero(np.append(True, np.diff(bucket[order]) != 0))
-    end = np.append(at[1:], len(order))
-    columns = {"bucket": bucket[order][at], key: values[order]} | {k: v[order] for k, v in others.items()}
-    yield pd.DataFrame({k: v if k == "bucket" else [v[a:b].tobytes() for a, b in zip(at, end, strict=True)] for k, v in columns.items()})
+    bucket = bucket[order]
+    at = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+    spans = list(zip(at.tolist(), np.append(at[1:], len(order)).tolist(), strict=True))
+    out = {"bucket": bucket[at]}
+    for name, values in arrays.items():
+        values = values[order]
+        out[name] = [values[a:b].tobytes() for a, b in spans]
+    yield pd.DataFrame(out)
 
 
 def _bitmap(entries: DataFrame) -> bytes:
-    """Which of 2**24 slots the classes of ``entries`` fall into."""
+    """Which slots the rows of the classes of ``entries`` fall into."""
     wide = _BITS // _PIECES // 8
 
     def slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits = np.zeros(_BITS, dtype=bool)
         for batch in batches:
-            bits[batch["class"].to_numpy() % _BITS] = True
+            bits[batch["slot"].to_numpy()] = True
         packed = np.packbits(bits, bitorder="little").reshape(_PIECES, wide)
         used = np.flatnonzero(packed.any(axis=1))
         yield pd.DataFrame({"piece": used.astype(np.int32), "bits": [packed[k].tobytes() for k in used]})
@@ -277,63 +358,83 @@ def _bitmap(entries: DataFrame) -> bytes:
         return rows.iloc[:1].assign(bits=[total.tobytes()])
 
     out = bytearray(_BITS // 8)
-    for r in entries.mapInPandas(slots, "piece int, bits binary").groupBy("piece").applyInPandas(either, "piece int, bits binary").collect():  # 64 rows of 32 kB
+    for r in entries.select("slot").mapInPandas(slots, "piece int, bits binary").groupBy("piece").applyInPandas(either, "piece int, bits binary").collect():  # 64 rows of 32 kB
         out[r["piece"] * wide : (r["piece"] + 1) * wide] = r["bits"]
     return bytes(out)
 
 
 def _candidates(entries: DataFrame, label: DataFrame | None, mode: str, buckets: int, percent: int) -> DataFrame:
-    """(bucket, x, y): arrays of classes to be compared, x < y, of different components, dealt by y."""
+    """(bucket, x, y): arrays of classes to be compared, of different components, dealt by y."""
 
     def by_token(entries: pd.DataFrame, label: pd.DataFrame | None = None) -> pd.DataFrame:
+        if not len(entries):
+            return _empty(_SENT)
         token, probe = _joined(entries, "token", np.uint64), _joined(entries, "probe", np.uint8)
         each = [len(x) for x in entries["probe"]]
         owner = np.repeat(entries["class"].to_numpy(dtype=np.int64), each)
         size = np.repeat(entries["n"].to_numpy(dtype=np.int64), each)
         component = owner
-        if label is not None and len(label) and len(owner):
+        if label is not None and len(label):
             node = label["node"].to_numpy()
             order = np.argsort(node)
             node, to = node[order], label["component"].to_numpy()[order]
             at = np.minimum(np.searchsorted(node, owner), len(node) - 1)
             component = np.where(node[at] == owner, to[at], owner)
-        return pd.concat([_EMPTY_SENT, *_dealt(token, buckets, owner=owner, probe=probe, component=component, size=size)])[_SENT]
+        return pd.concat(_dealt(token & _LOW32, owner=owner, token=token, probe=probe, component=component, size=size))[_SENT]
 
-    def pairs(rows: pd.DataFrame) -> pd.DataFrame:
-        token, owner, probe, component, size = (_joined(rows, c, k) for c, k in (("token", np.uint64), ("owner", np.int64), ("probe", np.uint8), ("component", np.int64), ("size", np.int64)))
+    def leaders(token, owner, probe, size) -> Iterator[pd.DataFrame]:
+        """For each token of the first round the leader of the list: the least, by a hash, of those of fitting size."""
         _, run = np.unique(token, return_inverse=True)
-        least, most = _needed(size, percent), 100 * size // percent  # sizes that a link allows
-        found = _Found()
-        if mode == "some":
-            order = np.lexsort((owner, size, run))
-            key = run[order] * (1 << 40) + size[order]
-            asks = np.flatnonzero(probe == 2)
-            a, b = np.searchsorted(key, run[asks] * (1 << 40) + least[asks]), np.searchsorted(key, run[asks] * (1 << 40) + most[asks], "right")
-            # A place among those of fitting size that depends on token and class alone.
-            other = order[a + ((token[asks] ^ owner[asks].view(np.uint64)) * _K % (b - a).astype(np.uint64)).astype(np.int64)]
-            found.add(owner[asks], owner[other])
-            return found.dealt(buckets)
+        order = np.lexsort((owner, size, run))
+        key = run[order] * (1 << 40) + size[order]
+        asks = np.flatnonzero(probe == 2)
+        a = np.searchsorted(key, run[asks] * (1 << 40) + _needed(size[asks], percent))
+        b = np.searchsorted(key, run[asks] * (1 << 40) + 100 * size[asks] // percent, "right")
+        rank = _mixed(token[order] ^ owner[order].view(np.uint64))
+        # The least of every range of 2**k; a range of any length is two of them.
+        width = np.maximum(b - a, 1)
+        level = np.floor(np.log2(width)).astype(np.int64)
+        table, best = np.arange(len(order)), np.zeros(len(asks), dtype=np.int64)
+        for k in range(int(level.max(initial=0)) + 1):
+            if k:
+                half, more = table[: len(table) - (1 << (k - 1))], table[1 << (k - 1) :]
+                table = np.where(rank[half] <= rank[more], half, more)
+            mine = np.flatnonzero(level == k)
+            left, right = table[a[mine]], table[b[mine] - (1 << k)]
+            best[mine] = np.where(rank[left] <= rank[right], left, right)
+        x, y = owner[order[best]], owner[asks]
+        both = np.unique(np.stack([y[x != y], x[x != y]], axis=1), axis=0)
+        yield from _dealt(both[:, 0] % buckets, x=both[:, 1], y=both[:, 0])
+
+    def across(token, owner, probe, component, size) -> Iterator[pd.DataFrame]:
+        """All pairs of fitting size of different components, in frames of bounded size."""
+        _, run = np.unique(token, return_inverse=True)
+        least, most = _needed(size, percent), 100 * size // percent
         # Blocks of one component in a token's list: large ones are met one by one, so that a block never meets itself.
         order = np.lexsort((size, component, run))
-        fresh = np.append(True, (np.diff(run[order]) != 0) | (np.diff(component[order]) != 0)) if len(order) else np.zeros(0, dtype=bool)
-        at = np.flatnonzero(fresh)
+        at = np.flatnonzero(np.append(True, (np.diff(run[order]) != 0) | (np.diff(component[order]) != 0)))
         width = np.diff(np.append(at, len(order)))
-        large = np.repeat(width > 32, width)
-        little = order[~large]
+        little = order[np.repeat(width <= 32, width)]
         little = little[np.lexsort((size[little], run[little]))]
         key = run[little] * (1 << 40) + size[little]
         asks = np.flatnonzero(probe > 0)
         asks = asks[np.argsort(run[asks], kind="stable")]
         a, b = np.searchsorted(key, run[asks] * (1 << 40) + least[asks]), np.searchsorted(key, run[asks] * (1 << 40) + most[asks], "right")
-        found.ranges(asks, a, b, little, owner, component)
+        found = _Found(buckets)
+        yield from found.ranges(asks, a, b, little, owner, component)
         ask_run = run[asks]
-        for start, n in zip(at[width > 32], width[width > 32], strict=True):
+        for start, n in zip(at[width > 32].tolist(), width[width > 32].tolist(), strict=True):
             block = order[start : start + n]
             mine = asks[np.searchsorted(ask_run, run[block[0]]) : np.searchsorted(ask_run, run[block[0]], "right")]
             mine = mine[component[mine] != component[block[0]]]
             a, b = np.searchsorted(size[block], least[mine]), np.searchsorted(size[block], most[mine], "right")
-            found.ranges(mine, a, b, block, owner, component)
-        return found.dealt(buckets)
+            yield from found.ranges(mine, a, b, block, owner, component)
+        yield from found.flushed()
+
+    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in _by_bucket(batches):
+            token, owner, probe, component, size = (_joined(rows, c, k) for c, k in (("token", np.uint64), ("owner", np.int64), ("probe", np.uint8), ("component", np.int64), ("size", np.int64)))
+            yield from leaders(token, owner, probe, size) if mode == "some" else across(token, owner, probe, component, size)
 
     schema = "bucket int, owner binary, token binary, probe binary, component binary, size binary"
     if label is None:
@@ -341,45 +442,58 @@ def _candidates(entries: DataFrame, label: DataFrame | None, mode: str, buckets:
     else:
         label = label.withColumn("bucket", F.pmod("node", F.lit(buckets)).cast("int"))
         sent = entries.groupBy("bucket").cogroup(label.groupBy("bucket")).applyInPandas(lambda e, w: by_token(e, w), schema)
-    return sent.groupBy("bucket").applyInPandas(pairs, "bucket int, x binary, y binary")
+    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(pairs, "bucket int, x binary, y binary")
 
 
-_EMPTY_PAIRS = pd.DataFrame({"bucket": pd.Series(dtype="int32"), "x": pd.Series(dtype=object), "y": pd.Series(dtype=object)})
+def _by_bucket(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of each bucket of a partition that is sorted by bucket."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        for bucket, rows in batch.groupby("bucket", sort=False):
+            if held and held[0]["bucket"].iloc[0] != bucket:
+                yield pd.concat(held)
+                held = []
+            held.append(rows)
+    if held:
+        yield pd.concat(held)
 
 
 class _Found:
-    """Pairs of classes as they come, kept few by dropping repeats."""
+    """Pairs of classes as they come, those met again soon left out; what goes out is bounded at a time."""
 
-    def __init__(self) -> None:
+    def __init__(self, buckets: int, limit: int = 250_000) -> None:
+        self.buckets, self.limit = buckets, limit
         self.parts: list[np.ndarray] = []
         self.held = 0
 
-    def add(self, a: np.ndarray, b: np.ndarray) -> None:
-        a, b = a[a != b], b[a != b]
+    def add(self, a: np.ndarray, b: np.ndarray) -> Iterator[pd.DataFrame]:
         self.parts.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0))
         self.held += len(self.parts[-1])
-        if len(self.parts) > 1 and self.held > 2_000_000:
-            self.parts = [np.unique(np.concatenate(self.parts), axis=0)]
-            self.held = 0
+        if self.held > 2 * self.limit:
+            both = np.unique(np.concatenate(self.parts), axis=0)
+            self.parts, self.held = [both], len(both)
+            if self.held > self.limit:
+                yield from self.flushed()
 
-    def ranges(self, asks: np.ndarray, a: np.ndarray, b: np.ndarray, rows: np.ndarray, owner: np.ndarray, component: np.ndarray, budget: int = 1_000_000) -> None:
+    def ranges(self, asks: np.ndarray, a: np.ndarray, b: np.ndarray, rows: np.ndarray, owner: np.ndarray, component: np.ndarray) -> Iterator[pd.DataFrame]:
         """Each of ``asks`` with the rows from a to b that are of another component, so many pairs at a time."""
         some = b > a
         asks, a, n = asks[some], a[some], (b - a)[some]
         end = np.cumsum(n)
         i = 0
         while i < len(asks):
-            j = max(i + 1, int(np.searchsorted(end, (end[i - 1] if i else 0) + budget)))
+            j = max(i + 1, int(np.searchsorted(end, (end[i - 1] if i else 0) + self.limit)))
             m = n[i:j]
             place = np.arange(m.sum()) + np.repeat(a[i:j] - np.append(0, np.cumsum(m)[:-1]), m)
             who, other = np.repeat(asks[i:j], m), rows[place]
             apart = component[who] != component[other]
-            self.add(owner[who[apart]], owner[other[apart]])
+            yield from self.add(owner[who[apart]], owner[other[apart]])
             i = j
 
-    def dealt(self, buckets: int) -> pd.DataFrame:
+    def flushed(self) -> Iterator[pd.DataFrame]:
         both = np.unique(np.concatenate(self.parts), axis=0) if self.parts else np.zeros((0, 2), dtype=np.int64)
-        return pd.concat([_EMPTY_PAIRS, *_dealt(both[:, 1], buckets, key="y", x=both[:, 0])])[["bucket", "x", "y"]]
+        self.parts, self.held = [], 0
+        yield from _dealt(both[:, 1] % self.buckets, x=both[:, 0], y=both[:, 1])
 
 
 def _classes_in(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -395,9 +509,8 @@ def _compared(candidates: DataFrame, sets: DataFrame, buckets: int, keep, schema
         at = np.flatnonzero(np.append(True, both[1:, 0] != both[:-1, 0])) if len(both) else np.zeros(0, dtype=int)
         return pd.DataFrame({"bucket": np.int32(rows["bucket"].iloc[0]), "x": both[at, 0], "ys": [y.tobytes() for y in np.split(both[:, 1], at[1:])] if len(at) else []})
 
-    once = sets.dropDuplicates(["class"]) if "n" not in sets.columns else sets
     asked = candidates.groupBy("bucket").applyInPandas(requests, "bucket int, x long, ys binary")
-    asked = asked.join(once.withColumnsRenamed({"class": "x", "tokens": "xs"}), "x")
+    asked = asked.join(sets.withColumnsRenamed({"class": "x", "tokens": "xs"}), "x")
     held = sets.withColumn("bucket", F.pmod("class", F.lit(buckets)).cast("int"))
 
     def compare(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
@@ -414,7 +527,7 @@ def _compared(candidates: DataFrame, sets: DataFrame, buckets: int, keep, schema
                     b.append(y)
         a, b = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
         if schema.startswith("bucket"):
-            return pd.concat([_EMPTY_PAIRS, *_dealt(b, buckets, key="y", x=a)])[["bucket", "x", "y"]]
+            return pd.concat([_empty(_PAIRS), *_dealt(b % buckets, x=a, y=b)])[_PAIRS]
         x, y = stars(a, b)  # what they connect, in at most one edge for each class
         return pd.DataFrame({"a": x, "b": y})
 
