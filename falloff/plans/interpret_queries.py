@@ -14,7 +14,7 @@ KEY = s.KEY
 
 _ROUNDED = {
     "t_shutin": 3, "qmax": 4, "vinj": 4, "te": 3, "apparent_isip": 3, "contact_G": 4, "closure_G": 4, "pressure_compliance": 2, "eff_isip_compliance": 2, "shmin_compliance": 2,
-    "closure_time_compliance": 1, "shmin_tangent": 2, "eff_isip_tangent": 2, "closure_time_tangent": 1, "shmin_variable": 2, "eff_isip_variable": 2,
+    "closure_time_compliance": 1, "shmin_tangent": 2, "eff_isip_tangent": 2, "closure_time_tangent": 1, "shmin_variable": 3, "eff_isip_variable": 2,
     "net_pressure_compliance": 2, "net_pressure_tangent": 2, "complexity": 2, "delta_closure": 2, "pore_pressure": 2,
 }
 _PLAIN = ["test_id", "n_resampled", "net_pressure_source"]
@@ -124,7 +124,7 @@ ORACLE_SQL = {
     + """SELECT test_id, n_resampled, CASE WHEN ce IS NOT NULL THEN 'compliance' WHEN te_ IS NOT NULL THEN 'tangent' ELSE '' END AS net_pressure_source,
   round(t_shutin, 3) AS t_shutin, round(qmax, 4) AS qmax, round(vinj, 4) AS vinj, round(te, 3) AS te, round(apparent, 3) AS apparent_isip, round(contact, 4) AS "contact_G", round(closure, 4) AS "closure_G",
   round(cp, 2) AS pressure_compliance, round(ce, 2) AS eff_isip_compliance, round(cp - 75, 2) AS shmin_compliance, round(ct, 1) AS closure_time_compliance, round(tp, 2) AS shmin_tangent,
-  round(te_, 2) AS eff_isip_tangent, round(tt, 1) AS closure_time_tangent, round(vp, 2) AS shmin_variable, round(ve, 2) AS eff_isip_variable, round(ref - (cp - 75), 2) AS net_pressure_compliance,
+  round(te_, 2) AS eff_isip_tangent, round(tt, 1) AS closure_time_tangent, round(vp, 3) AS shmin_variable, round(ve, 2) AS eff_isip_variable, round(ref - (cp - 75), 2) AS net_pressure_compliance,
   round(ref - tp, 2) AS net_pressure_tangent, round(apparent - ref, 2) AS complexity, round(cp - 75 - tp, 2) AS delta_closure, round(pore, 2) AS pore_pressure FROM res""",
     "auto_picks": _PICKED
     + """SELECT w.test_id, w.start_idx, w.shutin_idx, round(isip_x, 3) AS isip_x, round(isip_y, 3) AS isip_y, round(isip_slope * 1000, 4) AS isip_slope, round(contact, 4) AS contact_gt, round(min_gg, 4) AS min_gt,
