@@ -16,7 +16,11 @@ from falloff.llm.common import BROADCAST_BYTES, components, cut, stars
 _K = np.uint64(0x9E3779B97F4A7C15)
 _LOW32 = np.uint64(0xFFFFFFFF)
 #: How far a prefix may be lengthened, as shares of a set's size; the first always means one shared token.
-LENGTHS = (0.0, 0.02, 0.05)
+LENGTHS = (0.0, 0.03, 0.1, 0.2)
+#: The share of the first pass, which only tells the sets that may link with any.
+FIRST = 0.05
+#: Tokens for which a document meets a leader, spread over its looked-up tokens from rare to frequent.
+MEETINGS = 8
 #: Bytes of text that are hashed at a time.
 _SLICE = 1 << 20
 #: Bits of the map of wanted rows that is broadcast: 2 MB whatever the input.
@@ -145,8 +149,12 @@ def _needed(n, percent: int):
     return (percent * n + 99) // 100
 
 
+def _length(n: int, share: float) -> int:
+    return max(1, int(np.ceil(share * n)))
+
+
 def _lengths(n: int) -> list[int]:
-    return [max(1, int(np.ceil(f * n))) for f in LENGTHS]
+    return [_length(n, share) for share in LENGTHS]
 
 
 def link_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 75) -> DataFrame:
@@ -158,18 +166,19 @@ def link_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", words:
     An empty table gives an empty table; other columns are ignored.
 
     A set's order is that of its hashes. Its l-prefix (size - least overlap + l) shares l tokens with that of any
-    set it links to. All sets give their longest prefix; a token that only one class has is forgotten, the others
-    come back to their classes with the number of classes that have them. Each document then chooses l by the
+    set it links to. In a first pass all sets give a prefix lengthened a little; those that share fewer than l of its
+    tokens with any other are out. The others give their longest prefix; a token that only one of them has is
+    forgotten, the rest come back with the number of sets that have them. Each document then chooses l by the
     cost of its candidates: for a longer prefix more tokens must be shared, so l - 1 of the most frequent ones need not be
     looked up, and a set with fewer than l such tokens is out. What is looked up gives candidates, which
     are verified on whole sets.
 
-    A group of near copies has more pairs than can be listed, so candidates come in two rounds. First each document
-    meets, for a few of its tokens, one leader among those of fitting size, the same for most of a group: that joins
-    most of each group. Then all pairs of fitting size that share a looked-up token and whose components still differ
-    are verified, so no link between components is lost, and none inside one is needed. Candidates, sets and
-    prefixes travel as arrays, dealt by hashes of tokens or classes. A task holds the list of a token, some 30
-    bytes for each different set that has it. What is broadcast is a bitmap of fixed size.
+    A group of near copies has more pairs than can be listed, so candidates come in rounds. In two of them each
+    document meets, for a few of its tokens from rare to frequent, one leader among those of fitting size: the first by a
+    hash, then the last. That joins most of each group. Then all pairs of fitting size that share a looked-up token
+    and whose components still differ are verified, so no link between components is lost, and none inside one is
+    needed. Candidates, sets and prefixes travel as arrays, dealt by hashes of tokens or classes. A task holds the
+    list of a token, some 30 bytes for each different set that has it. What is broadcast is a bitmap of fixed size.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text"))
@@ -178,88 +187,49 @@ def link_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", words:
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            of, n, ends = [None] * len(batch), np.zeros(len(batch), dtype=np.int64), [None] * len(batch)
+            of, n = [None] * len(batch), np.zeros(len(batch), dtype=np.int64)
             for r, s in shingle_sets(batch.column("text"), words):
-                p = [min(len(s), len(s) - _needed(len(s), percent) + x) for x in _lengths(len(s))]
-                of[r], n[r], ends[r] = _class_of(s), len(s), [int(x) for x in s[np.array(p) - 1].view(np.int64)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(of, pa.int64()), pa.array(n), pa.array(ends, pa.list_(pa.int64()))], names=["id", "class", "n", "ends"])
+                of[r], n[r] = _class_of(s), len(s)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(of, pa.int64()), pa.array(n)], names=["id", "class", "n"])
 
-    base = cut(rows.mapInArrow(sizes, f"id {kind}, class long, n long, ends array<long>"), "ngram-sizes")
-    classes = base.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("id").alias("low"), F.max("n").alias("n"), F.max("ends").alias("ends"))
+    base = cut(rows.mapInArrow(sizes, f"id {kind}, class long, n long"), "ngram-sizes")
+    classes = base.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("id").alias("low"), F.max("n").alias("n"))
     classes = cut(classes.withColumn("slot", _slot(F.col("low"))), "ngram-classes")
+    dealt = classes.select("class", "n", "slot", F.pmod("class", F.lit(buckets)).cast("int").alias("bucket"))
 
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, tokens, owners, held = set(), [], [], 0
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+        seen, out = set(), _Sent(buckets)
         for batch in batches:
             for _, s in shingle_sets(batch.column("text"), words):
                 if (c := _class_of(s)) not in seen:
                     if len(seen) > 100_000:  # a class sent twice does no harm
                         seen.clear()
                     seen.add(c)
-                    p = s[: len(s) - _needed(len(s), percent) + _lengths(len(s))[-1]]
-                    tokens.append(p)
-                    owners.append(np.full(len(p), c, dtype=np.int64))
-                    held += len(p)
-                if held > 1_000_000:
-                    yield from _sent(np.concatenate(tokens), np.concatenate(owners))
-                    tokens, owners, held = [], [], 0
-        if held:
-            yield from _sent(np.concatenate(tokens), np.concatenate(owners))
+                    yield from out.add(c, s[: len(s) - _needed(len(s), percent) + _length(len(s), FIRST)])
+        yield from out.flushed()
 
-    def _sent(token: np.ndarray, owner: np.ndarray) -> Iterator[pa.RecordBatch]:
-        # Within a bucket a token's upper half tells it apart as well as all of it does.
-        for rows in _dealt(token % np.uint64(buckets), token=(token >> np.uint64(32)).astype(np.uint32), owner=owner):
-            yield pa.RecordBatch.from_pandas(rows, schema=pa.schema([("bucket", pa.int32()), ("token", pa.binary()), ("owner", pa.binary())]), preserve_index=False)
+    def first_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = pa.schema([("bucket", pa.int32()), ("token", pa.binary()), ("owner", pa.binary())])
+        for rows in first(batches):
+            yield pa.RecordBatch.from_pandas(rows[kinds.names], schema=kinds, preserve_index=False)
 
-    def shared_tokens(rows: pd.DataFrame) -> pd.DataFrame:
+    def shared(rows: pd.DataFrame) -> pd.DataFrame:
         token, owner = _joined(rows, "token", np.uint32), _joined(rows, "owner", np.int64)
-        order = np.lexsort((owner, token))
-        token, owner = token[order], owner[order]
-        fresh = np.append(True, (token[1:] != token[:-1]) | (owner[1:] != owner[:-1]))
-        token, owner = token[fresh], owner[fresh]
-        _, run, size = np.unique(token, return_inverse=True, return_counts=True)
-        many = size[run] > 1
-        token = (token[many].astype(np.uint64) << np.uint64(32)) | np.uint64(rows["bucket"].iloc[0])
-        owner = owner[many]
-        return pd.concat([_empty(_REPLY), *_dealt(owner % buckets, owner=owner, token=token, df=size[run][many].astype(np.int32))])
-
-    sent = rows.select("text").mapInArrow(prefixes, "bucket int, token binary, owner binary")
-    reply = sent.groupBy("bucket").applyInPandas(shared_tokens, "bucket int, owner binary, token binary, df binary")
+        keep, df = _in_several(token, owner)
+        owner = owner[keep][df > 1]
+        return pd.concat([_empty(["bucket", "owner"]), *_dealt(owner % buckets, owner=owner)])
 
-    def choose(reply: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        if not len(reply) or not len(known):
-            return _empty(_ENTRY)
-        owner, token, df = _joined(reply, "owner", np.int64), _joined(reply, "token", np.uint64), _joined(reply, "df", np.int32)
-        order = np.lexsort((token, df, owner))
-        owner, token, df = owner[order], token[order], df[order]
-        start = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
-        of = {c: k for k, c in enumerate(known["class"])}
-        sizes, every_end, slots = known["n"].to_list(), known["ends"].to_list(), known["slot"].to_list()
-        out = []
-        for a, b in zip(start.tolist(), np.append(start[1:], len(owner)).tolist(), strict=True):
-            k = of[owner[a]]
-            n, best = sizes[k], None
-            for need, end in zip(_lengths(n), np.asarray(every_end[k], dtype=np.int64).view(np.uint64) | _LOW32, strict=True):
-                at = np.flatnonzero(token[a:b] <= end)
-                if len(at) < need:
-                    best = None
-                    break  # by the lemma it links with nothing
-                at = at[: len(at) - need + 1]  # rarest first
-                cost = int(df[a:b][at].sum())
-                if best is None or cost < best[0]:
-                    best = cost, at
-            if best is not None:
-                probe = np.zeros(b - a, dtype=np.uint8)
-                probe[best[1]] = 1
-                probe[np.concatenate([best[1][:2], best[1][-2:]])] = 2  # for the first round
-                out.append((int(reply["bucket"].iloc[0]), int(owner[a]), n, slots[k], token[a:b].tobytes(), probe.tobytes()))
-        return pd.concat([_empty(_ENTRY), pd.DataFrame(out, columns=_ENTRY).astype({"bucket": "int32"})]) if out else _empty(_ENTRY)
+    def several(reply: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        owner, count = np.unique(_joined(reply, "owner", np.int64), return_counts=True)
+        at = np.searchsorted(owner, known["class"].to_numpy(np.int64)).clip(max=max(0, len(owner) - 1))
+        has = (owner[at] == known["class"].to_numpy(np.int64)) if len(owner) else np.zeros(len(known), dtype=bool)
+        enough = [h and count[k] >= _length(n, FIRST) for h, k, n in zip(has, at, known["n"], strict=True)]
+        return known[np.array(enough, dtype=bool)]
 
-    dealt = classes.select("class", "n", "ends", "slot", F.pmod("class", F.lit(buckets)).cast("int").alias("bucket"))
-    entries = reply.groupBy("bucket").cogroup(dealt.groupBy("bucket")).applyInPandas(choose, "bucket int, class long, n long, slot int, token binary, probe binary")
-    entries = cut(entries, "ngram-entries")
+    reply = rows.select("text").mapInArrow(first_batches, "bucket int, token binary, owner binary").groupBy("bucket").applyInPandas(shared, "bucket int, owner binary")
+    likely = cut(reply.groupBy("bucket").cogroup(dealt.groupBy("bucket")).applyInPandas(several, "class long, n long, slot int, bucket int"), "ngram-some")
 
-    wanted = spark.sparkContext.broadcast(_bitmap(entries))
+    wanted = spark.sparkContext.broadcast(_bitmap(likely))
 
     def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(wanted.value, dtype=np.uint8)
@@ -279,17 +249,70 @@ def link_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", words:
     # Of each wanted class the row of its smallest id; what the bitmap lets through beside is met by nobody.
     sets = cut(rows.select(_slot(F.col("id")).alias("slot"), "text").mapInArrow(whole_sets, "class long, tokens binary"), "ngram-sets")
 
+    def longest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = _Sent(buckets)
+        for batch in batches:
+            for c, s in zip(batch["class"].tolist(), batch["tokens"], strict=True):
+                s = np.frombuffer(s, dtype=np.uint64)
+                ends = [len(s) - _needed(len(s), percent) + x for x in _lengths(len(s))]
+                level = np.zeros(ends[-1], dtype=np.uint8)  # the shortest prefix that holds a token
+                for end in ends[:-1]:
+                    level[end:] += 1
+                yield from out.add(c, s[: ends[-1]], level)
+        yield from out.flushed()
+
+    def shared_by(rows: pd.DataFrame) -> pd.DataFrame:
+        token, owner, level = _joined(rows, "token", np.uint32), _joined(rows, "owner", np.int64), _joined(rows, "level", np.uint8)
+        keep, df = _in_several(token, owner)
+        keep, df = keep[df > 1], df[df > 1]
+        token = (token[keep].astype(np.uint64) << np.uint64(32)) | np.uint64(rows["bucket"].iloc[0])
+        return pd.concat([_empty(_REPLY), *_dealt(owner[keep] % buckets, owner=owner[keep], token=token, df=df.astype(np.int32), level=level[keep])])
+
+    def choose(reply: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        if not len(reply) or not len(known):
+            return _empty(_ENTRY)
+        owner, token, df, level = (_joined(reply, c, k) for c, k in (("owner", np.int64), ("token", np.uint64), ("df", np.int32), ("level", np.uint8)))
+        order = np.lexsort((token, df, owner))
+        owner, token, df, level = owner[order], token[order], df[order], level[order]
+        start = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+        sizes, out = dict(zip(known["class"], known["n"], strict=True)), []
+        for a, b in zip(start.tolist(), np.append(start[1:], len(owner)).tolist(), strict=True):
+            if (n := sizes.get(owner[a])) is None:
+                continue  # let through by the bitmap
+            best = None
+            for k, need in enumerate(_lengths(n)):
+                at = np.flatnonzero(level[a:b] <= k)
+                if len(at) < need:
+                    best = None
+                    break  # by the lemma it links with nothing
+                at = at[: len(at) - need + 1]  # rarest first
+                cost = int(df[a:b][at].sum())
+                if best is None or cost < best[0]:
+                    best = cost, at
+            if best is not None:
+                probe = np.zeros(b - a, dtype=np.uint8)
+                probe[best[1]] = 1
+                probe[best[1][np.linspace(0, len(best[1]) - 1, MEETINGS).astype(int)]] = 2  # where it meets leaders
+                out.append((int(reply["bucket"].iloc[0]), int(owner[a]), n, token[a:b].tobytes(), probe.tobytes()))
+        return pd.DataFrame(out, columns=_ENTRY).astype({"bucket": "int32"}) if out else _empty(_ENTRY)
+
+    sent = sets.mapInPandas(longest, "bucket int, token binary, owner binary, level binary")
+    reply = sent.groupBy("bucket").applyInPandas(shared_by, "bucket int, owner binary, token binary, df binary, level binary")
+    entries = reply.groupBy("bucket").cogroup(likely.groupBy("bucket")).applyInPandas(choose, "bucket int, class long, n long, token binary, probe binary")
+    entries = cut(entries, "ngram-entries")
+
     lists = entries.select("class", "n", F.col("token").alias("tokens"))
     links = None
-    for mode in ("some", "every"):
+    for mode in ("first", "last", "every"):
         label = None if links is None else components(links)
-        likely = _compared(_candidates(entries, label, mode, buckets, percent), lists, buckets, _share_prefix(percent), "bucket int, x binary, y binary")
-        likely = cut(likely, f"ngram-likely-{mode}")
-        met = cut(likely.mapInPandas(_classes_in, "class long").distinct(), "ngram-met")
+        found = _candidates(entries, label, mode, buckets, percent)
+        if mode == "every":
+            found = _compared(found, lists, buckets, _share_prefix(percent), "bucket int, x binary, y binary")
+        found = cut(found, f"ngram-likely-{mode}")
+        met = cut(found.mapInPandas(_classes_in, "class long").distinct(), "ngram-met")
         few = F.broadcast(met) if met.count() * 16 <= BROADCAST_BYTES else met
-        found = _compared(likely, sets.join(few, "class", "left_semi"), buckets, _link(percent), "a long, b long")
-        found = cut(found if links is None else found.unionByName(label.select(F.col("node").alias("a"), F.col("component").alias("b"))), "ngram-links")
-        links = found
+        found = _compared(found, sets.join(few, "class", "left_semi"), buckets, _link(percent), "a long, b long")
+        links = cut(found if links is None else found.unionByName(label.select(F.col("node").alias("a"), F.col("component").alias("b"))), "ngram-links")
     label = components(links)
 
     classes = classes.join(label, F.col("class") == F.col("node"), "left").select("class", "low", F.coalesce("component", "class").alias("component"))
@@ -306,14 +329,14 @@ def keep_first(docs: DataFrame, id: str = "doc_id", text: str = "text", words: i
     return docs.join(found, F.col(id) == F.col("_gone"), "left_anti")
 
 
-_REPLY = ["bucket", "owner", "token", "df"]
-_ENTRY = ["bucket", "class", "n", "slot", "token", "probe"]
+_REPLY = ["bucket", "owner", "token", "df", "level"]
+_ENTRY = ["bucket", "class", "n", "token", "probe"]
 _SENT = ["bucket", "owner", "token", "probe", "component", "size"]
 _PAIRS = ["bucket", "x", "y"]
 
 
 def _empty(columns: list[str]) -> pd.DataFrame:
-    kinds = {"bucket": "int32", "class": "int64", "n": "int64", "slot": "int32"}
+    kinds = {"bucket": "int32", "class": "int64", "n": "int64"}
     return pd.DataFrame({c: pd.Series(dtype=kinds.get(c, object)) for c in columns})
 
 
@@ -341,6 +364,44 @@ def _dealt(bucket: np.ndarray, **arrays: np.ndarray) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame(out)
 
 
+class _Sent:
+    """Prefix tokens on their way to the buckets of tokens, so many at a time.
+
+    Within a bucket a token's upper half tells it apart as well as all of it does.
+    """
+
+    def __init__(self, buckets: int, limit: int = 1_000_000) -> None:
+        self.buckets, self.limit = np.uint64(buckets), limit
+        self.tokens: list[np.ndarray] = []
+        self.owners: list[np.ndarray] = []
+        self.levels: list[np.ndarray] = []
+        self.held = 0
+
+    def add(self, owner: int, tokens: np.ndarray, level: np.ndarray | None = None) -> Iterator[pd.DataFrame]:
+        self.tokens.append(tokens)
+        self.owners.append(np.full(len(tokens), owner, dtype=np.int64))
+        self.levels += [] if level is None else [level]
+        self.held += len(tokens)
+        if self.held > self.limit:
+            yield from self.flushed()
+
+    def flushed(self) -> Iterator[pd.DataFrame]:
+        if self.held:
+            token, owner = np.concatenate(self.tokens), np.concatenate(self.owners)
+            level = {"level": np.concatenate(self.levels)} if self.levels else {}
+            self.tokens, self.owners, self.levels, self.held = [], [], [], 0
+            yield from _dealt(token % self.buckets, token=(token >> np.uint64(32)).astype(np.uint32), owner=owner, **level)
+
+
+def _in_several(token: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the different (token, owner), by token, and how many owners each one's token has."""
+    order = np.lexsort((owner, token))
+    t, o = token[order], owner[order]
+    order = order[np.append(True, (t[1:] != t[:-1]) | (o[1:] != o[:-1]))] if len(order) else order
+    _, run, size = np.unique(token[order], return_inverse=True, return_counts=True)
+    return order, size[run]
+
+
 def _bitmap(entries: DataFrame) -> bytes:
     """Which slots the rows of the classes of ``entries`` fall into."""
     wide = _BITS // _PIECES // 8
@@ -382,15 +443,16 @@ def _candidates(entries: DataFrame, label: DataFrame | None, mode: str, buckets:
             component = np.where(node[at] == owner, to[at], owner)
         return pd.concat(_dealt(token & _LOW32, owner=owner, token=token, probe=probe, component=component, size=size))[_SENT]
 
-    def leaders(token, owner, probe, size) -> Iterator[pd.DataFrame]:
-        """For each token of the first round the leader of the list: the least, by a hash, of those of fitting size."""
+    def leaders(token, owner, probe, component, size) -> Iterator[pd.DataFrame]:
+        """For each token of the rounds the leader of the list: of those of fitting size the first, or last, by a hash."""
         _, run = np.unique(token, return_inverse=True)
         order = np.lexsort((owner, size, run))
         key = run[order] * (1 << 40) + size[order]
         asks = np.flatnonzero(probe == 2)
         a = np.searchsorted(key, run[asks] * (1 << 40) + _needed(size[asks], percent))
         b = np.searchsorted(key, run[asks] * (1 << 40) + 100 * size[asks] // percent, "right")
-        rank = _mixed(token[order] ^ owner[order].view(np.uint64))
+        rank = _mixed(owner[order].view(np.uint64) * _K)
+        rank = ~rank if mode == "last" else rank
         # The least of every range of 2**k; a range of any length is two of them.
         width = np.maximum(b - a, 1)
         level = np.floor(np.log2(width)).astype(np.int64)
@@ -402,8 +464,8 @@ def _candidates(entries: DataFrame, label: DataFrame | None, mode: str, buckets:
             mine = np.flatnonzero(level == k)
             left, right = table[a[mine]], table[b[mine] - (1 << k)]
             best[mine] = np.where(rank[left] <= rank[right], left, right)
-        x, y = owner[order[best]], owner[asks]
-        both = np.unique(np.stack([y[x != y], x[x != y]], axis=1), axis=0)
+        apart = component[order[best]] != component[asks]
+        both = np.unique(np.stack([owner[asks], owner[order[best]]], axis=1)[apart], axis=0)
         yield from _dealt(both[:, 0] % buckets, x=both[:, 1], y=both[:, 0])
 
     def across(token, owner, probe, component, size) -> Iterator[pd.DataFrame]:
@@ -434,7 +496,7 @@ def _candidates(entries: DataFrame, label: DataFrame | None, mode: str, buckets:
     def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in _by_bucket(batches):
             token, owner, probe, component, size = (_joined(rows, c, k) for c, k in (("token", np.uint64), ("owner", np.int64), ("probe", np.uint8), ("component", np.int64), ("size", np.int64)))
-            yield from leaders(token, owner, probe, size) if mode == "some" else across(token, owner, probe, component, size)
+            yield from (across if mode == "every" else leaders)(token, owner, probe, component, size)
 
     schema = "bucket int, owner binary, token binary, probe binary, component binary, size binary"
     if label is None:

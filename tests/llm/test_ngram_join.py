@@ -106,3 +106,24 @@ def test_empty_repeated_and_null_ids(spark):
     rows = [(1, "a b c d e f g"), (1, "a b c d e f g"), (None, "a b c d e f g"), (2, None), (None, None)]
     got = nj.link_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((str(r[0]), r[1], str(r[2])) for r in got) == [("1", 3, "1"), ("1", 3, "1"), ("2", 0, "2"), ("None", 0, "None"), ("None", 3, "1")]
+
+
+def test_prefix_lemma_holds_for_lengths_chosen_by_either_side():
+    for percent in (75, 90):
+        for n in range(1, 400):
+            for m in range(max(1, nj._needed(n, percent)), 100 * n // percent + 1):
+                overlap = -(-percent * (n + m) // (100 + percent))
+                for lx, ly in zip(nj._lengths(n), nj._lengths(m), strict=True):
+                    # What pairs of these sizes need of the other's prefix lies in its longest one.
+                    assert lx <= overlap and m - overlap + lx <= m - nj._needed(m, percent) + nj._lengths(m)[-1]
+
+
+def test_chains_of_near_copies_are_joined_over_rounds(spark):
+    r = random.Random(11)
+    text, rows = [f"w{r.randrange(10_000)}" for _ in range(120)], []
+    for k in range(150):  # each copy changes a little of the one before
+        text = list(text)
+        text[r.randrange(len(text))] = f"w{r.randrange(10_000)}"
+        rows.append((1000 - k, " ".join(text)))
+    got = sorted(tuple(x) for x in nj.link_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == brute(rows)
