@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from falloff.functions import formulas as fx
 from falloff.operators import series as s
+from falloff.plans.scenarios import scenario_contacts
 from falloff.plans.views import PRELUDE, STEP, TE, samples
 
 KEY = s.KEY
@@ -158,7 +159,22 @@ def span_to_seconds(spark, sf_dir):
     return rows.select(KEY, F.round(span["lo"], 3).alias("lo"), F.round(span["hi"], 3).alias("hi"))
 
 
-QUERIES = {f.__name__: f for f in (elapsed_seconds, reverse_detect, monotonic_prefix, resample_increment, resample_guarded, g_time_a1, g_time_a05, g_diagnostics, loglog_deriv, rolling_mean_same, injection_window, main_cycle, max_sustained_rate, injected_volume, local_slope, min_dpdg, contact_clear, contact_inflection, contact_inflection_seeded, closure_departure, loglog_slope, pore_pressure, seed_windows, interp_at, nearest_tangent, decimate, axis_limits, span_to_seconds)}
+def _scenarios(spark, sf_dir, refresh: bool):
+    diag = _diag(spark, sf_dir)
+    scenario = F.element_at(F.array(*map(F.lit, ("", "C-A: clear", "C-B: adequate", "C-C", "C-D"))), (F.col(KEY) % 5 + 1).cast("int"))
+    picks = diag.select(KEY).distinct().select(KEY, scenario.alias("closure_scenario"), F.when(F.col(KEY) % 2 == 1, 2.0 + F.col(KEY) % 7).alias("min_dpdg_G"), F.lit(99.0).alias("contact_G"))
+    return scenario_contacts(diag, picks, refresh).select(KEY, F.round("min_dpdg_G", 6).alias("min_gt"), F.round("contact_G", 6).alias("contact_gt"), "hint")
+
+
+def scenario_contact(spark, sf_dir):
+    return _scenarios(spark, sf_dir, False)
+
+
+def scenario_reset(spark, sf_dir):
+    return _scenarios(spark, sf_dir, True)
+
+
+QUERIES = {f.__name__: f for f in (scenario_contact, scenario_reset, elapsed_seconds, reverse_detect, monotonic_prefix, resample_increment, resample_guarded, g_time_a1, g_time_a05, g_diagnostics, loglog_deriv, rolling_mean_same, injection_window, main_cycle, max_sustained_rate, injected_volume, local_slope, min_dpdg, contact_clear, contact_inflection, contact_inflection_seeded, closure_departure, loglog_slope, pore_pressure, seed_windows, interp_at, nearest_tangent, decimate, axis_limits, span_to_seconds)}
 
 _FINAL = {
     "elapsed_seconds": "SELECT test_id, idx, round(t_s, 6) AS t_s FROM samples",
@@ -207,6 +223,17 @@ SELECT test_id, round(gg, 6) AS x, round(p, 4) AS y, round(slope, 4) AS slope FR
     "axis_limits": "SELECT test_id, round(quantile_cont(y, 0.05), 3) AS p05, round(quantile_cont(y, 0.95), 3) AS p95, round(min(y), 3) AS y_min, round(max(y), 3) AS y_max FROM diag WHERE y IS NOT NULL GROUP BY test_id",
     "span_to_seconds": "SELECT test_id, round(min(dt), 3) AS lo, round(max(dt), 3) AS hi FROM rs WHERE dt > 0 GROUP BY test_id",
 }
+_SCENARIO = """, pk AS (SELECT DISTINCT test_id, n, test_id % 5 AS scen, CASE WHEN test_id % 2 = 1 THEN 2.0 + test_id % 7 END AS given FROM diag),
+mm AS (SELECT pk.*, CASE WHEN n >= 3 AND scen = 1 THEN coalesce({first}given, min_gg) WHEN n >= 3 AND scen = 2 THEN coalesce(given, min_gg) ELSE given END AS ming FROM pk LEFT JOIN least_ USING (test_id)),
+nr AS (SELECT d.test_id, i AS mi, y AS my FROM diag d JOIN mm USING (test_id) WHERE scen = 1 AND d.n >= 3 QUALIFY row_number() OVER (PARTITION BY d.test_id ORDER BY round(abs(gg - ming), 9), i) = 1),
+ca AS (SELECT d.test_id, arg_min(gg, i) AS c FROM diag d JOIN nr USING (test_id) WHERE i > mi AND y >= my * 1.1 GROUP BY d.test_id),
+px AS (SELECT *, lag(d2) OVER w AS a, lead(d2) OVER w AS b FROM flags WINDOW w AS (PARTITION BY test_id ORDER BY i)),
+cb AS (SELECT px.test_id, gg AS c FROM px JOIN mm USING (test_id) WHERE scen = 2 AND mm.n >= 3 AND d2 > a AND d2 >= b AND (late = 0 OR gg >= 1) QUALIFY row_number() OVER (PARTITION BY px.test_id ORDER BY abs(gg - ming), i) = 1)
+SELECT mm.test_id, round(ming, 6) AS min_gt, CASE WHEN scen >= 3 THEN NULL ELSE round(coalesce(ca.c, cb.c, 99.0), 6) END AS contact_gt,
+  CASE WHEN n >= 3 AND scen = 1 AND ca.c IS NULL THEN 'no rise after the minimum' WHEN n >= 3 AND scen = 2 AND cb.c IS NULL THEN 'no inflection' END AS hint
+FROM mm LEFT JOIN ca USING (test_id) LEFT JOIN cb USING (test_id)"""
+_FINAL["scenario_contact"] = _SCENARIO.replace("{first}", "")
+_FINAL["scenario_reset"] = _SCENARIO.replace("{first}", "min_gg, ")
 _SPANS = ", c AS (SELECT test_id, count(*) AS n FROM ldiag GROUP BY test_id HAVING count(*) > 6), sp AS (SELECT c.test_id, max(CASE WHEN j = floor(n * 0.6) THEN t END) AS lo, max(t) AS hi FROM c JOIN ldiag USING (test_id) GROUP BY c.test_id)\n"
 _FINAL["loglog_slope"] = _SPANS + "SELECT l.test_id, round(CASE WHEN count(*) >= 2 THEN regr_slope(log10(dp), log10(t)) END, 6) AS slope FROM ldiag l JOIN sp USING (test_id) WHERE t >= lo AND t < hi AND dp > 0 GROUP BY l.test_id"
 _FINAL["pore_pressure"] = _SPANS + "SELECT l.test_id, round(CASE WHEN count(*) >= 2 THEN regr_intercept(p, pow(t, -0.5)) END, 4) AS pore_pressure FROM ldiag l JOIN sp USING (test_id) WHERE t >= lo AND t <= hi GROUP BY l.test_id"
