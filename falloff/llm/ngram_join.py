@@ -254,51 +254,49 @@ def link_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", words:
         for batch in batches:
             for c, s in zip(batch["class"].tolist(), batch["tokens"], strict=True):
                 s = np.frombuffer(s, dtype=np.uint64)
-                ends = [len(s) - _needed(len(s), percent) + x for x in _lengths(len(s))]
-                level = np.zeros(ends[-1], dtype=np.uint8)  # the shortest prefix that holds a token
-                for end in ends[:-1]:
-                    level[end:] += 1
-                yield from out.add(c, s[: ends[-1]], level)
+                end = len(s) - _needed(len(s), percent) + _lengths(len(s))[-1]
+                # Places are told in 256ths of the set, rounded down: a prefix then holds a token too many, never one too few.
+                yield from out.add(c, s[:end], (np.arange(end) * 256 // len(s)).astype(np.uint8))
         yield from out.flushed()
 
     def shared_by(rows: pd.DataFrame) -> pd.DataFrame:
-        token, owner, level = _joined(rows, "token", np.uint32), _joined(rows, "owner", np.int64), _joined(rows, "level", np.uint8)
+        token, owner, place = _joined(rows, "token", np.uint32), _joined(rows, "owner", np.int64), _joined(rows, "place", np.uint8)
         keep, df = _in_several(token, owner)
         keep, df = keep[df > 1], df[df > 1]
         token = (token[keep].astype(np.uint64) << np.uint64(32)) | np.uint64(rows["bucket"].iloc[0])
-        return pd.concat([_empty(_REPLY), *_dealt(owner[keep] % buckets, owner=owner[keep], token=token, df=df.astype(np.int32), level=level[keep])])
+        return pd.concat([_empty(_REPLY), *_dealt(owner[keep] % buckets, owner=owner[keep], token=token, df=df.astype(np.int32), place=place[keep])])
 
     def choose(reply: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         if not len(reply) or not len(known):
             return _empty(_ENTRY)
-        owner, token, df, level = (_joined(reply, c, k) for c, k in (("owner", np.int64), ("token", np.uint64), ("df", np.int32), ("level", np.uint8)))
+        owner, token, df, place = (_joined(reply, c, k) for c, k in (("owner", np.int64), ("token", np.uint64), ("df", np.int32), ("place", np.uint8)))
         order = np.lexsort((token, df, owner))
-        owner, token, df, level = owner[order], token[order], df[order], level[order]
+        owner, token, df, place = owner[order], token[order], df[order], place[order]
         start = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
         sizes, out = dict(zip(known["class"], known["n"], strict=True)), []
         for a, b in zip(start.tolist(), np.append(start[1:], len(owner)).tolist(), strict=True):
             if (n := sizes.get(owner[a])) is None:
                 continue  # let through by the bitmap
-            best = None
-            for k, need in enumerate(_lengths(n)):
-                at = np.flatnonzero(level[a:b] <= k)
+            best, low = None, place[a:b].astype(np.int64) * n // 256
+            for need in _lengths(n):
+                at = np.flatnonzero(low < n - _needed(n, percent) + need)
                 if len(at) < need:
                     best = None
                     break  # by the lemma it links with nothing
                 at = at[: len(at) - need + 1]  # rarest first
                 cost = int(df[a:b][at].sum())
                 if best is None or cost < best[0]:
-                    best = cost, at
+                    best = cost, at, need
             if best is not None:
                 probe = np.zeros(b - a, dtype=np.uint8)
                 probe[best[1]] = 1
                 probe[best[1][np.linspace(0, len(best[1]) - 1, MEETINGS).astype(int)]] = 2  # where it meets leaders
-                out.append((int(reply["bucket"].iloc[0]), int(owner[a]), n, token[a:b].tobytes(), probe.tobytes()))
+                out.append((int(reply["bucket"].iloc[0]), int(owner[a]), n, best[2], token[a:b].tobytes(), probe.tobytes(), place[a:b].tobytes()))
         return pd.DataFrame(out, columns=_ENTRY).astype({"bucket": "int32"}) if out else _empty(_ENTRY)
 
-    sent = sets.mapInPandas(longest, "bucket int, token binary, owner binary, level binary")
-    reply = sent.groupBy("bucket").applyInPandas(shared_by, "bucket int, owner binary, token binary, df binary, level binary")
-    entries = reply.groupBy("bucket").cogroup(likely.groupBy("bucket")).applyInPandas(choose, "bucket int, class long, n long, token binary, probe binary")
+    sent = sets.mapInPandas(longest, "bucket int, token binary, owner binary, place binary")
+    reply = sent.groupBy("bucket").applyInPandas(shared_by, "bucket int, owner binary, token binary, df binary, place binary")
+    entries = reply.groupBy("bucket").cogroup(likely.groupBy("bucket")).applyInPandas(choose, "bucket int, class long, n long, need long, token binary, probe binary, place binary")
     entries = cut(entries, "ngram-entries")
 
     lists = entries.select("class", "n", F.col("token").alias("tokens"))
@@ -329,14 +327,16 @@ def keep_first(docs: DataFrame, id: str = "doc_id", text: str = "text", words: i
     return docs.join(found, F.col(id) == F.col("_gone"), "left_anti")
 
 
-_REPLY = ["bucket", "owner", "token", "df", "level"]
-_ENTRY = ["bucket", "class", "n", "token", "probe"]
-_SENT = ["bucket", "owner", "token", "probe", "component", "size"]
+_REPLY = ["bucket", "owner", "token", "df", "place"]
+_ENTRY = ["bucket", "class", "n", "need", "token", "probe", "place"]
+#: What a token's bucket learns of each set that has the token, and its type.
+_KINDS = {"token": np.uint64, "owner": np.int64, "component": np.int64, "probe": np.uint8, "place": np.uint8, "size": np.int32, "need": np.int32}
+_SENT = ["bucket", *_KINDS]
 _PAIRS = ["bucket", "x", "y"]
 
 
 def _empty(columns: list[str]) -> pd.DataFrame:
-    kinds = {"bucket": "int32", "class": "int64", "n": "int64"}
+    kinds = {"bucket": "int32", "class": "int64", "n": "int64", "need": "int64"}
     return pd.DataFrame({c: pd.Series(dtype=kinds.get(c, object)) for c in columns})
 
 
@@ -374,13 +374,13 @@ class _Sent:
         self.buckets, self.limit = np.uint64(buckets), limit
         self.tokens: list[np.ndarray] = []
         self.owners: list[np.ndarray] = []
-        self.levels: list[np.ndarray] = []
+        self.places: list[np.ndarray] = []
         self.held = 0
 
-    def add(self, owner: int, tokens: np.ndarray, level: np.ndarray | None = None) -> Iterator[pd.DataFrame]:
+    def add(self, owner: int, tokens: np.ndarray, place: np.ndarray | None = None) -> Iterator[pd.DataFrame]:
         self.tokens.append(tokens)
         self.owners.append(np.full(len(tokens), owner, dtype=np.int64))
-        self.levels += [] if level is None else [level]
+        self.places += [] if place is None else [place]
         self.held += len(tokens)
         if self.held > self.limit:
             yield from self.flushed()
@@ -388,9 +388,9 @@ class _Sent:
     def flushed(self) -> Iterator[pd.DataFrame]:
         if self.held:
             token, owner = np.concatenate(self.tokens), np.concatenate(self.owners)
-            level = {"level": np.concatenate(self.levels)} if self.levels else {}
-            self.tokens, self.owners, self.levels, self.held = [], [], [], 0
-            yield from _dealt(token % self.buckets, token=(token >> np.uint64(32)).astype(np.uint32), owner=owner, **level)
+            place = {"place": np.concatenate(self.places)} if self.places else {}
+            self.tokens, self.owners, self.places, self.held = [], [], [], 0
+            yield from _dealt(token % self.buckets, token=(token >> np.uint64(32)).astype(np.uint32), owner=owner, **place)
 
 
 def _in_several(token: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -430,10 +430,10 @@ def _candidates(entries: DataFrame, label: DataFrame | None, mode: str, buckets:
     def by_token(entries: pd.DataFrame, label: pd.DataFrame | None = None) -> pd.DataFrame:
         if not len(entries):
             return _empty(_SENT)
-        token, probe = _joined(entries, "token", np.uint64), _joined(entries, "probe", np.uint8)
+        token, probe, place = (_joined(entries, c, _KINDS[c]) for c in ("token", "probe", "place"))
         each = [len(x) for x in entries["probe"]]
         owner = np.repeat(entries["class"].to_numpy(dtype=np.int64), each)
-        size = np.repeat(entries["n"].to_numpy(dtype=np.int64), each)
+        size, need = np.repeat(entries["n"].to_numpy(dtype=np.int32), each), np.repeat(entries["need"].to_numpy(dtype=np.int32), each)
         component = owner
         if label is not None and len(label):
             node = label["node"].to_numpy()
@@ -441,9 +441,9 @@ def _candidates(entries: DataFrame, label: DataFrame | None, mode: str, buckets:
             node, to = node[order], label["component"].to_numpy()[order]
             at = np.minimum(np.searchsorted(node, owner), len(node) - 1)
             component = np.where(node[at] == owner, to[at], owner)
-        return pd.concat(_dealt(token & _LOW32, owner=owner, token=token, probe=probe, component=component, size=size))[_SENT]
+        return pd.concat(_dealt(token & _LOW32, owner=owner, token=token, probe=probe, component=component, size=size, need=need, place=place))[_SENT]
 
-    def leaders(token, owner, probe, component, size) -> Iterator[pd.DataFrame]:
+    def leaders(token, owner, probe, component, size, **_) -> Iterator[pd.DataFrame]:
         """For each token of the rounds the leader of the list: of those of fitting size the first, or last, by a hash."""
         _, run = np.unique(token, return_inverse=True)
         order = np.lexsort((owner, size, run))
@@ -465,11 +465,15 @@ def _candidates(entries: DataFrame, label: DataFrame | None, mode: str, buckets:
             left, right = table[a[mine]], table[b[mine] - (1 << k)]
             best[mine] = np.where(rank[left] <= rank[right], left, right)
         apart = component[order[best]] != component[asks]
-        both = np.unique(np.stack([owner[asks], owner[order[best]]], axis=1)[apart], axis=0)
-        yield from _dealt(both[:, 0] % buckets, x=both[:, 1], y=both[:, 0])
+        y, x = _different(owner[asks][apart], owner[order[best]][apart])
+        yield from _dealt(y % buckets, x=x, y=y)
 
-    def across(token, owner, probe, component, size) -> Iterator[pd.DataFrame]:
-        """All pairs of fitting size of different components, in frames of bounded size."""
+    def across(token, owner, probe, component, size, need, place) -> Iterator[pd.DataFrame]:
+        """All pairs of fitting size of different components, in frames of bounded size.
+
+        A pair needs more overlap than either set alone: its token must stand in prefixes shortened by that.
+        """
+        low = place * size // 256
         _, run = np.unique(token, return_inverse=True)
         least, most = _needed(size, percent), 100 * size // percent
         # Blocks of one component in a token's list: large ones are met one by one, so that a block never meets itself.
@@ -482,23 +486,30 @@ def _candidates(entries: DataFrame, label: DataFrame | None, mode: str, buckets:
         asks = np.flatnonzero(probe > 0)
         asks = asks[np.argsort(run[asks], kind="stable")]
         a, b = np.searchsorted(key, run[asks] * (1 << 40) + least[asks]), np.searchsorted(key, run[asks] * (1 << 40) + most[asks], "right")
-        found = _Found(buckets)
-        yield from found.ranges(asks, a, b, little, owner, component)
+
+        def fit(who: np.ndarray, other: np.ndarray) -> np.ndarray:
+            n, m = size[who], size[other]
+            spare = need[who] - -(-percent * (n + m) // (100 + percent))
+            return (component[who] != component[other]) & (low[who] < n + spare) & (low[other] < m + spare)
+
+        found = _Found(buckets, owner, fit)
+        yield from found.ranges(asks, a, b, little)
         ask_run = run[asks]
         for start, n in zip(at[width > 32].tolist(), width[width > 32].tolist(), strict=True):
             block = order[start : start + n]
             mine = asks[np.searchsorted(ask_run, run[block[0]]) : np.searchsorted(ask_run, run[block[0]], "right")]
             mine = mine[component[mine] != component[block[0]]]
             a, b = np.searchsorted(size[block], least[mine]), np.searchsorted(size[block], most[mine], "right")
-            yield from found.ranges(mine, a, b, block, owner, component)
+            yield from found.ranges(mine, a, b, block)
         yield from found.flushed()
 
     def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in _by_bucket(batches):
-            token, owner, probe, component, size = (_joined(rows, c, k) for c, k in (("token", np.uint64), ("owner", np.int64), ("probe", np.uint8), ("component", np.int64), ("size", np.int64)))
-            yield from (across if mode == "every" else leaders)(token, owner, probe, component, size)
+            columns = {c: _joined(rows, c, k) for c, k in _KINDS.items()}
+            columns |= {c: columns[c].astype(np.int64) for c in ("size", "need", "place")}
+            yield from (across if mode == "every" else leaders)(**columns)
 
-    schema = "bucket int, owner binary, token binary, probe binary, component binary, size binary"
+    schema = "bucket int, " + ", ".join(f"{c} binary" for c in _KINDS)
     if label is None:
         sent = entries.groupBy("bucket").applyInPandas(lambda e: by_token(e), schema)
     else:
@@ -520,25 +531,25 @@ def _by_bucket(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.concat(held)
 
 
+def _different(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different pairs (a, b), by a."""
+    names, x = np.unique(a, return_inverse=True)
+    others, y = np.unique(b, return_inverse=True)
+    key = np.unique((x << 32) | y)
+    return names[key >> 32], others[key & 0xFFFFFFFF]
+
+
 class _Found:
     """Pairs of classes as they come, those met again soon left out; what goes out is bounded at a time."""
 
-    def __init__(self, buckets: int, limit: int = 250_000) -> None:
-        self.buckets, self.limit = buckets, limit
-        self.parts: list[np.ndarray] = []
+    def __init__(self, buckets: int, owner: np.ndarray, fit, limit: int = 500_000) -> None:
+        self.buckets, self.fit, self.limit = buckets, fit, limit
+        self.names, self.code = np.unique(owner, return_inverse=True)
+        self.keys: list[np.ndarray] = []
         self.held = 0
 
-    def add(self, a: np.ndarray, b: np.ndarray) -> Iterator[pd.DataFrame]:
-        self.parts.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0))
-        self.held += len(self.parts[-1])
-        if self.held > 2 * self.limit:
-            both = np.unique(np.concatenate(self.parts), axis=0)
-            self.parts, self.held = [both], len(both)
-            if self.held > self.limit:
-                yield from self.flushed()
-
-    def ranges(self, asks: np.ndarray, a: np.ndarray, b: np.ndarray, rows: np.ndarray, owner: np.ndarray, component: np.ndarray) -> Iterator[pd.DataFrame]:
-        """Each of ``asks`` with the rows from a to b that are of another component, so many pairs at a time."""
+    def ranges(self, asks: np.ndarray, a: np.ndarray, b: np.ndarray, rows: np.ndarray) -> Iterator[pd.DataFrame]:
+        """Each of ``asks`` with those of the rows from a to b that fit, so many pairs at a time."""
         some = b > a
         asks, a, n = asks[some], a[some], (b - a)[some]
         end = np.cumsum(n)
@@ -546,16 +557,24 @@ class _Found:
         while i < len(asks):
             j = max(i + 1, int(np.searchsorted(end, (end[i - 1] if i else 0) + self.limit)))
             m = n[i:j]
-            place = np.arange(m.sum()) + np.repeat(a[i:j] - np.append(0, np.cumsum(m)[:-1]), m)
-            who, other = np.repeat(asks[i:j], m), rows[place]
-            apart = component[who] != component[other]
-            yield from self.add(owner[who[apart]], owner[other[apart]])
+            at = np.arange(m.sum()) + np.repeat(a[i:j] - np.append(0, np.cumsum(m)[:-1]), m)
+            who, other = np.repeat(asks[i:j], m), rows[at]
+            good = self.fit(who, other)
+            x, y = self.code[who[good]], self.code[other[good]]
+            self.keys.append(np.unique((np.minimum(x, y) << 32) | np.maximum(x, y)))
+            self.held += len(self.keys[-1])
+            if self.held > 2 * self.limit:
+                self.keys = [np.unique(np.concatenate(self.keys))]
+                self.held = len(self.keys[0])
+                if self.held > self.limit:
+                    yield from self.flushed()
             i = j
 
     def flushed(self) -> Iterator[pd.DataFrame]:
-        both = np.unique(np.concatenate(self.parts), axis=0) if self.parts else np.zeros((0, 2), dtype=np.int64)
-        self.parts, self.held = [], 0
-        yield from _dealt(both[:, 1] % self.buckets, x=both[:, 0], y=both[:, 1])
+        key = np.unique(np.concatenate(self.keys)) if self.keys else np.zeros(0, dtype=np.int64)
+        self.keys, self.held = [], 0
+        x, y = self.names[key >> 32], self.names[key & 0xFFFFFFFF]
+        yield from _dealt(y % self.buckets, x=x, y=y)
 
 
 def _classes_in(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -567,9 +586,9 @@ def _compared(candidates: DataFrame, sets: DataFrame, buckets: int, keep, schema
     """Candidates whose sets pass ``keep``. Sets come to the bucket of y: that of each y once, that of x once for each bucket with candidates."""
 
     def requests(rows: pd.DataFrame) -> pd.DataFrame:
-        both = np.unique(np.stack([_joined(rows, "x", np.int64), _joined(rows, "y", np.int64)], axis=1), axis=0)
-        at = np.flatnonzero(np.append(True, both[1:, 0] != both[:-1, 0])) if len(both) else np.zeros(0, dtype=int)
-        return pd.DataFrame({"bucket": np.int32(rows["bucket"].iloc[0]), "x": both[at, 0], "ys": [y.tobytes() for y in np.split(both[:, 1], at[1:])] if len(at) else []})
+        x, y = _different(_joined(rows, "x", np.int64), _joined(rows, "y", np.int64))
+        at = np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, dtype=int)
+        return pd.DataFrame({"bucket": np.int32(rows["bucket"].iloc[0]), "x": x[at], "ys": [k.tobytes() for k in np.split(y, at[1:])] if len(at) else []})
 
     asked = candidates.groupBy("bucket").applyInPandas(requests, "bucket int, x long, ys binary")
     asked = asked.join(sets.withColumnsRenamed({"class": "x", "tokens": "xs"}), "x")
