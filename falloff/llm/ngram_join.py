@@ -286,7 +286,7 @@ def link_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", words:
                 at = at[: len(at) - need + 1]  # rarest first
                 cost = int(df[a:b][at].sum())
                 if best is None or cost < best[0]:
-                    best = cost, at, need
+                    best = cost, at, _lengths(n).index(need)
             if best is not None:
                 probe = np.zeros(b - a, dtype=np.uint8)
                 probe[best[1]] = 1
@@ -330,8 +330,7 @@ def keep_first(docs: DataFrame, id: str = "doc_id", text: str = "text", words: i
 _REPLY = ["bucket", "owner", "token", "df", "place"]
 _ENTRY = ["bucket", "class", "n", "need", "token", "probe", "place"]
 #: What a token's bucket learns of each set that has the token, and its type.
-_KINDS = {"token": np.uint64, "owner": np.int64, "component": np.int64, "probe": np.uint8, "place": np.uint8, "size": np.int32, "need": np.int32}
-_SENT = ["bucket", *_KINDS]
+_KINDS = {"token": np.uint32, "owner": np.int64, "probe": np.uint8, "place": np.uint8, "size": np.int32, "need": np.uint8, "component": np.int64}
 _PAIRS = ["bucket", "x", "y"]
 
 
@@ -426,22 +425,24 @@ def _bitmap(entries: DataFrame) -> bytes:
 
 def _candidates(entries: DataFrame, label: DataFrame | None, mode: str, buckets: int, percent: int) -> DataFrame:
     """(bucket, x, y): arrays of classes to be compared, of different components, dealt by y."""
+    # Without labels each set is its own component.
+    kinds = {c: k for c, k in _KINDS.items() if c != "component" or label is not None}
 
     def by_token(entries: pd.DataFrame, label: pd.DataFrame | None = None) -> pd.DataFrame:
         if not len(entries):
-            return _empty(_SENT)
-        token, probe, place = (_joined(entries, c, _KINDS[c]) for c in ("token", "probe", "place"))
+            return _empty(["bucket", *kinds])
+        token, probe, place = (_joined(entries, c, k) for c, k in (("token", np.uint64), ("probe", np.uint8), ("place", np.uint8)))
         each = [len(x) for x in entries["probe"]]
         owner = np.repeat(entries["class"].to_numpy(dtype=np.int64), each)
-        size, need = np.repeat(entries["n"].to_numpy(dtype=np.int32), each), np.repeat(entries["need"].to_numpy(dtype=np.int32), each)
-        component = owner
+        size, need = np.repeat(entries["n"].to_numpy(dtype=np.int32), each), np.repeat(entries["need"].to_numpy(dtype=np.uint8), each)
+        every = {"owner": owner, "token": (token >> np.uint64(32)).astype(np.uint32), "probe": probe, "size": size, "need": need, "place": place, "component": owner}
         if label is not None and len(label):
             node = label["node"].to_numpy()
             order = np.argsort(node)
             node, to = node[order], label["component"].to_numpy()[order]
             at = np.minimum(np.searchsorted(node, owner), len(node) - 1)
-            component = np.where(node[at] == owner, to[at], owner)
-        return pd.concat(_dealt(token & _LOW32, owner=owner, token=token, probe=probe, component=component, size=size, need=need, place=place))[_SENT]
+            every["component"] = np.where(node[at] == owner, to[at], owner)
+        return pd.concat(_dealt(token & _LOW32, **{c: every[c] for c in kinds}))
 
     def leaders(token, owner, probe, component, size, **_) -> Iterator[pd.DataFrame]:
         """For each token of the rounds the leader of the list: of those of fitting size the first, or last, by a hash."""
@@ -505,11 +506,13 @@ def _candidates(entries: DataFrame, label: DataFrame | None, mode: str, buckets:
 
     def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in _by_bucket(batches):
-            columns = {c: _joined(rows, c, k) for c, k in _KINDS.items()}
-            columns |= {c: columns[c].astype(np.int64) for c in ("size", "need", "place")}
+            columns = {c: _joined(rows, c, k) for c, k in kinds.items()}
+            columns |= {c: columns[c].astype(np.int64) for c in ("size", "place")}
+            columns.setdefault("component", columns["owner"])
+            columns["need"] = np.maximum(1, np.ceil(np.array(LENGTHS)[columns["need"]] * columns["size"])).astype(np.int64)
             yield from (across if mode == "every" else leaders)(**columns)
 
-    schema = "bucket int, " + ", ".join(f"{c} binary" for c in _KINDS)
+    schema = "bucket int, " + ", ".join(f"{c} binary" for c in kinds)
     if label is None:
         sent = entries.groupBy("bucket").applyInPandas(lambda e: by_token(e), schema)
     else:
