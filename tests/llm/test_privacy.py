@@ -117,3 +117,13 @@ def test_sanitised_texts_hold_neither_data_nor_telling_terms(spark):
     assert "zeph@" not in out[0] and "Zephyrine" not in out[0] and "[email]" in out[0] and "[term]" in out[0]
     assert out[503] == "Zephyrine alone"
     assert privacy.generalise("ab cd ef", "email:0:5,ip:3:8") == "[email]"
+
+
+def test_entities_of_one_or_two_texts_have_telling_terms(spark):
+    name = lambda k: "".join(chr(97 + int(c)) for c in f"{k:04d}") + "son"
+    rows = [(k, f"steady market report window, asks {name(k)} at {name(k)[:4]}@x.org") for k in range(60)]
+    rows += [(100 + k, f"garden {name(k)} again {name(k)[:4]}@x.org") for k in range(20)] + [(200 + k, "steady market garden") for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {x["doc_id"]: x["text"] for x in privacy.sanitise(docs, privacy.detect(docs)).collect()}
+    assert all(out[k] == "steady market report window, asks [term] at [email]" for k in range(60))
+    assert all(out[100 + k] == "garden [term] again [email]" for k in range(20)) and out[200] == "steady market garden"
