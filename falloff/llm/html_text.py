@@ -121,9 +121,9 @@ def smoothed(ratios: np.ndarray, sigma: float = 2.0) -> np.ndarray:
 def main_text(html: str | None, sigma: float = 2.0, share: float = 0.5, cover: float = 0.8) -> str:
     """The article of a page: its lines, white space as one space, joined by a line feed.
 
-    Lines above ``share`` of the deviation of the smoothed text-to-tag ratios form the content; the deepest
-    element that holds at least ``cover`` of their text, or the article or main element around it, is the content
-    region, and all its lines that aren't in
+    Lines above ``share`` of the deviation of the smoothed text-to-tag ratios form the content. The deepest
+    element that holds at least ``cover`` of their text is the core; the article or main element around it, or
+    without one the deepest element that holds all of their text, is the content region, and all its lines that aren't in
     menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or comments are kept, short ones
     too. Null or empty html, or a page without text, gives an empty text.
     """
@@ -147,11 +147,13 @@ def main_text(html: str | None, sigma: float = 2.0, share: float = 0.5, cover: f
             for d, h in enumerate(holders):
                 weight[h] = weight.get(h, 0) + len(text)
                 depth[h] = d
-    region = max((h for h in weight if weight[h] >= cover * total), key=lambda h: depth[h])
+    core = max((h for h in weight if weight[h] >= cover * total), key=lambda h: depth[h])
     # A heading may stand in the article beside the element that holds the paragraphs.
-    around = next(holders for _, _, holders in lines if region in holders)
-    around = around[: around.index(region) + 1]
-    region = next((h for h in around if h in parser.articles), region)
+    around = next(holders for _, _, holders in lines if core in holders)
+    around = around[: around.index(core) + 1]
+    # Without an article, nothing that is content may be left beside the core.
+    whole = max((h for h in around if weight[h] == total), key=lambda h: depth[h])
+    region = next((h for h in around if h in parser.articles), whole)
     return "\n".join(text for text, _, holders in lines if region in holders)
 
 

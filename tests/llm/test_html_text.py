@@ -43,3 +43,13 @@ def test_smoothing_keeps_the_mean_of_a_constant():
     import numpy as np
 
     assert np.allclose(html_text.smoothed(np.full(9, 3.0)), 3.0)
+
+
+def dense(n, word):
+    return "".join(f"<p>{word} {k} tells a part of the story at some length, so that its text is dense.</p>" for k in range(n))
+
+
+@pytest.mark.parametrize("page", ["<div id=content><section>{a}</section><section>{b}</section></div>", "<div>{b}<blockquote>{a}</blockquote></div>", "<table><tr><td>{a}</td><td>{b}</td></tr></table>", "<div>{a}</div>{b}"])
+def test_content_beside_the_core_stays_without_an_article(page):
+    lines = html_text.main_text("<body><nav>Menu</nav>" + page.format(a=dense(9, "First"), b=dense(2, "Second")) + "<footer>Foot</footer></body>").split("\n")
+    assert len(lines) == 11 and sum(x.startswith("Second") for x in lines) == 2
