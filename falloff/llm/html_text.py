@@ -15,10 +15,13 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 #: Elements that never have an end tag.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose text is no part of an article, wherever they stand.
-SKIP = frozenset("head nav header footer aside form script style noscript template iframe object svg math canvas button select textarea dialog menu audio video".split())
+SKIP = frozenset("head nav header footer aside script style noscript template iframe object svg math canvas button select textarea dialog menu audio video".split())
 #: Roles and words of class or id that mark the same.
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 WORDS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer header masthead cookie cookies consent notice gdpr popup modal overlay newsletter subscribe signup login share sharing social related recommended recommendations comment comments respond disqus widget pagination pager toolbar skip".split())
+#: Words that may stand beside those in one class or id: site-footer is marked, has-sidebar and related-work are not.
+BESIDE = frozenset("area bar block bottom box btn button buttons center container desktop fixed footer global group icon icons inline inner item items js left link links list main mobile outer page panel post posts primary right row secondary section site slot sticky tabs this top unit wp wrap wrapper text thread title".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SPLIT = re.compile(r"[^a-z]+")
 SPACE = re.compile(r"\s+")
 #: Elements that may contain the article.
@@ -26,43 +29,82 @@ HOLDERS = frozenset("body article main section div td blockquote".split())
 
 
 class _Lines(HTMLParser):
-    """Lines of text that is not skipped, with the tags met since the line before and the elements that hold them."""
+    """Lines of text that is not skipped, with the tags met since the line before and the elements that hold them.
+
+    Whether the text of a form or of an element with a marked class is kept is known only at the end of the page.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, tuple[int, ...]]] = [("", False, (0,))]
-        self.lines: list[tuple[str, int, tuple[int, ...]]] = []
-        self.buffer: list[str] = []
+        self.stack: list[tuple[str, bool, tuple[int, ...], tuple[int, ...]]] = [("", False, (0,), ())]
+        self.pieces: list[tuple[list[tuple[str, tuple[int, ...]]], int, tuple[int, ...]]] = []
+        self.buffer: list[tuple[str, tuple[int, ...]]] = []
         self.tags = self.holders = 0
         self.articles: set[int] = set()
+        self.forms: list[bool] = []
+        self.wraps: set[int] = set()
 
     def _end_line(self) -> None:
         if self.buffer:
-            text = SPACE.sub(" ", "".join(self.buffer)).strip()
-            self.buffer.clear()
-            if text:
-                self.lines.append((text, self.tags, self.stack[-1][2]))
-                self.tags = 0
+            self.pieces.append((self.buffer, self.tags, self.stack[-1][2]))
+            self.buffer = []
+            self.tags = 0
+
+    def lines(self) -> list[tuple[str, int, tuple[int, ...]]]:
+        """(text, tags, holders) of each line, without the marked elements that are not the page itself."""
+        gone = self._gone()
+        out, before = [], 0
+        for pieces, tags, holders in self.pieces:
+            before += tags
+            if text := SPACE.sub(" ", "".join(x for x, marks in pieces if not marks or gone.isdisjoint(marks))).strip():
+                out.append((text, before, holders))
+                before = 0
+        return out
+
+    def _gone(self) -> set[int]:
+        """Marked elements and forms, but those that hold an article or main element or most of the page's text.
+
+        Beside an article with text, marked elements may hold articles or much text, as comments do; forms don't.
+        """
+        if not self.forms:
+            return set()
+        size, total, free, article = [0] * len(self.forms), 0, 0, 0
+        for pieces, _, holders in self.pieces:
+            for x, marks in pieces:
+                n = len(x.strip())
+                total += n
+                for m in marks:
+                    size[m] += n
+                if not marks:
+                    free += n
+                    article += n * (not self.articles.isdisjoint(holders))
+        keep = {m for m, form in enumerate(self.forms) if form or not article}
+        return {m for m in range(len(size)) if m not in keep or not (2 * size[m] > total or (m in self.wraps and (self.forms[m] or size[m] >= free)))}
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCKS:
             self._end_line()
         elif tag == "br":
-            self.buffer.append(" ")
+            self.handle_data(" ")
         self.tags += 1
         if tag in VOID:
             return
         if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option"):
             self._close_open(tag)
-        _, skip, holders = self.stack[-1]
+        _, skip, holders, marks = self.stack[-1]
         if not skip:
-            skip = tag in SKIP or (bool(attrs) and tag not in ("html", "body", "article", "main") and _marked(attrs))
+            skip = tag in SKIP
+            if tag in ("article", "main"):
+                self.wraps.update(marks)
+            elif tag == "form" or (bool(attrs) and tag not in ("html", "body") and _marked(tag, attrs)):
+                marks = (*marks, len(self.forms))
+                self.forms.append(tag == "form")
             if tag in HOLDERS:
                 self.holders += 1
                 holders = (*holders, self.holders)
                 if tag in ("article", "main"):
                     self.articles.add(self.holders)
-        self.stack.append((tag, skip, holders))
+        self.stack.append((tag, skip, holders, marks))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -93,13 +135,13 @@ class _Lines(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         if not self.stack[-1][1]:
-            self.buffer.append(data)
+            self.buffer.append((data, self.stack[-1][3]))
 
 
-def _marked(attrs: list[tuple[str, str | None]]) -> bool:
+def _marked(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
     for name, value in attrs:
         if name in ("class", "id") and value:
-            if not WORDS.isdisjoint(SPLIT.split(value.lower())):
+            if tag not in HEADINGS and not (tag == "p" and name == "id") and any(map(_names_other, value.lower().split())):
                 return True
         elif name == "role" and value and value.lower() in ROLES:
             return True
@@ -110,6 +152,12 @@ def _marked(attrs: list[tuple[str, str | None]]) -> bool:
     return False
 
 
+def _names_other(name: str) -> bool:
+    """Whether a class or id is one of WORDS, alone or beside words that say where or of what kind."""
+    words = {w for w in SPLIT.split(name) if w}
+    return not WORDS.isdisjoint(words) and words <= WORDS | BESIDE
+
+
 def smoothed(ratios: np.ndarray, sigma: float = 2.0) -> np.ndarray:
     """``ratios`` under a Gaussian of ``sigma`` lines, cut at three sigma, ends weighted by what is there."""
     reach = max(1, int(3 * sigma))
@@ -133,7 +181,7 @@ def main_text(html: str | None, sigma: float = 2.0, share: float = 0.5, cover: f
     parser.feed(html)
     parser.close()
     parser._end_line()
-    lines = parser.lines
+    lines = parser.lines()
     if not lines:
         return ""
     smooth = smoothed(np.array([len(text) / max(1, tags) for text, tags, _ in lines]), sigma)

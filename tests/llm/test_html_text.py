@@ -53,3 +53,16 @@ def dense(n, word):
 def test_content_beside_the_core_stays_without_an_article(page):
     lines = html_text.main_text("<body><nav>Menu</nav>" + page.format(a=dense(9, "First"), b=dense(2, "Second")) + "<footer>Foot</footer></body>").split("\n")
     assert len(lines) == 11 and sum(x.startswith("Second") for x in lines) == 2
+
+
+@pytest.mark.parametrize("page", ['<div class="layout has-sidebar">{}</div>', '<div id="page-with-header"><article>{}</article></div>', '<div class="no-comments">{}</div>', '<form id="aspnet"><div>{}</div></form>', "<form><main>{}</main></form>", '<div class="header"><main>{}</main></div>', '<section id="related-work">{}</section>'])
+def test_elements_around_the_text_are_not_skipped(page):
+    lines = html_text.main_text("<body>" + page.format('<h2 id="related-work">Related work</h2><p id="notice">Notice this.</p>' + BODY) + "</body>").split("\n")
+    assert lines[:2] == ["Related work", "Notice this."] and len(lines) == 7
+
+
+def test_marked_elements_beside_the_text_stay_out():
+    others = "".join(f'<div class="{c}"><p>Other text that is as dense as an article is, with words.</p></div>' for c in ("site-footer", "cookie-notice", "sidebar", "x related-posts"))
+    comments = "<section id=comments><article>" + dense(9, "Comment") + "</article></section>"
+    for page in (f"<div>{BODY}{others}<form><p>Sign up</p></form></div>", f"<article>{BODY}{others}</article>{comments}"):
+        assert html_text.main_text(page).count("\n") == 4
