@@ -8,7 +8,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -263,14 +262,13 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def scan(steps: DataFrame, states: int, block: int = 64) -> DataFrame:
-    """(doc, page, k, v): what the product of a document's matrices before step k makes of state 0.
+    """(page, k, v): what the product of a text's matrices before step k makes of state 0.
 
-    ``steps`` has doc, page, k (from 0 without gaps) and m, a matrix of ``states`` rows as bytes. Matrices are multiplied
+    ``steps`` has page, the text's hash, k (from 0 without gaps) and m, a matrix of ``states`` rows as bytes. Matrices are multiplied
     in blocks, the blocks' products likewise, until a document has one; the scores then go down again. No task
     holds more than ``block`` matrices of a document.
     """
-    kinds = dict(steps.dtypes)
-    key = f"doc {kinds['doc']}, page {kinds['page']}"
+    key = "page long"
     at = (F.col("k") / block).cast("long")
 
     def multiply(rows: pd.DataFrame) -> pd.DataFrame:
@@ -278,7 +276,7 @@ def scan(steps: DataFrame, states: int, block: int = 64) -> DataFrame:
         for m in rows.sort_values("k")["m"]:
             m = np.frombuffer(m, dtype=np.int64).reshape(states, states)
             total = m if total is None else product(total, m)
-        return rows.iloc[:1][["doc", "page"]].assign(k=rows["k"].iloc[0] // block, m=[total.tobytes()])
+        return rows.iloc[:1][["page"]].assign(k=rows["k"].iloc[0] // block, m=[total.tobytes()])
 
     def go(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("k")
@@ -286,17 +284,17 @@ def scan(steps: DataFrame, states: int, block: int = 64) -> DataFrame:
         for m in rows["m"]:
             out.append(v.tobytes())
             v = product(v[None, :], np.frombuffer(m, dtype=np.int64).reshape(states, states))[0]
-        return rows[["doc", "page", "k"]].assign(v=out)
+        return rows[["page", "k"]].assign(v=out)
 
     levels = [steps]
     while (levels[-1].agg(F.max("k")).first()[0] or 0) >= block:
-        up = levels[-1].groupBy("doc", "page", at.alias("b")).applyInPandas(multiply, f"{key}, k long, m binary")
+        up = levels[-1].groupBy("page", at.alias("b")).applyInPandas(multiply, f"{key}, k long, m binary")
         levels.append(cut(up, "scan"))
     start = np.full(states, NEVER)
     start[0] = 0
-    v = levels[-1].where("k = 0").select("doc", "page", F.lit(0).cast("long").alias("b"), F.lit(bytearray(start.tobytes())).alias("v"))
+    v = levels[-1].where("k = 0").select("page", F.lit(0).cast("long").alias("b"), F.lit(bytearray(start.tobytes())).alias("v"))
     for level in reversed(levels):
-        v = level.withColumn("b", at).join(v, ["doc", "page", "b"]).groupBy("doc", "page", "b").applyInPandas(go, f"{key}, k long, v binary")
+        v = level.withColumn("b", at).join(v, ["page", "b"]).groupBy("page", "b").applyInPandas(go, f"{key}, k long, v binary")
         v = v.withColumnRenamed("k", "b") if level is not levels[0] else v
     return v
 
@@ -328,7 +326,8 @@ def encode(docs: DataFrame, vocabulary: Pieces, id: str = "doc_id", text: str =
 
     schema = f"doc {kind}, part long, ids array<int>, n_chars long, exact boolean, n_ids long, sum_ids long, dot_ids long"
     plain = rows.where(~large).mapInPandas(small, schema)
-    giants = rows.where(large)
+    # Giants are known by the hash of their text until their parts are done, so that an id may be null.
+    giants = rows.where(large).withColumn("page", F.xxhash64("text"))
     if giants.select("doc").isEmpty():
         return plain.withColumnRenamed("doc", id)
 
@@ -336,17 +335,17 @@ def encode(docs: DataFrame, vocabulary: Pieces, id: str = "doc_id", text: str =
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for doc, t in zip(batch["doc"], batch["text"], strict=True):
-                page, t = xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) - (1 << 63), " " + t
+            for page, t in zip(batch["page"], batch["text"], strict=True):
+                t = " " + t
                 for k, a in enumerate(range(0, len(t), chunk)):
                     # What a piece over the end may reach, and the character before, which tells forced cuts.
-                    yield pd.DataFrame({"doc": [doc], "page": [page], "k": [k], "text": [t[a : a + chunk + states]], "size": [min(chunk, len(t) - a)], "last": [a + chunk >= len(t)]}).astype({"doc": batch["doc"].dtype})
+                    yield pd.DataFrame({"page": [page], "k": [k], "text": [t[a : a + chunk + states]], "size": [min(chunk, len(t) - a)], "last": [a + chunk >= len(t)]})
 
     def matrices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = shared.value
         for batch in batches:
             out = [known.transfer(t, s) for t, s in zip(batch["text"], batch["size"], strict=True)]
-            yield batch[["doc", "page", "k"]].assign(m=[m.tobytes() for m in out])
+            yield batch[["page", "k"]].assign(m=[m.tobytes() for m in out])
 
     def traces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = shared.value
@@ -354,28 +353,28 @@ def encode(docs: DataFrame, vocabulary: Pieces, id: str = "doc_id", text: str =
             for r in batch.itertuples():
                 found = known.paths(r.text, r.size, np.frombuffer(r.v, dtype=np.int64))
                 exact = [known.decode_plain(ids).decode("utf-8", "surrogatepass") == r.text[s : r.size + e] for e, s, ids in found]
-                yield pd.DataFrame({"doc": r.doc, "page": r.page, "k": r.k, "last": r.last, "size": r.size, "exit": [np.int32(f[0]) for f in found], "entry": [np.int32(f[1]) for f in found], "ids": [f[2] for f in found], "exact": exact}).astype({"doc": batch["doc"].dtype}).pipe(_sums)
+                yield pd.DataFrame({"page": r.page, "k": r.k, "last": r.last, "size": r.size, "exit": [np.int32(f[0]) for f in found], "entry": [np.int32(f[1]) for f in found], "ids": [f[2] for f in found], "exact": exact}).pipe(_sums)
 
     def maps(rows: pd.DataFrame) -> pd.DataFrame:
         m = np.full((states, states), NEVER)
         m[rows["exit"], rows["entry"]] = 0
-        return rows.iloc[:1][["doc", "page", "k"]].assign(m=[m.tobytes()])
+        return rows.iloc[:1][["page", "k"]].assign(m=[m.tobytes()])
 
-    chunks = cut(giants.mapInPandas(split, f"doc {kind}, page long, k long, text string, size int, last boolean"), "pieces-chunks")
-    times = chunks.where("k = 0").groupBy("doc", "page").agg(F.count("*").cast("int").alias("times"))
-    chunks = chunks.dropDuplicates(["doc", "page", "k"])
-    before = scan(cut(chunks.mapInPandas(matrices, f"doc {kind}, page long, k long, m binary"), "pieces-matrices"), states)
-    traced = cut(chunks.join(before, ["doc", "page", "k"]).mapInPandas(traces, f"doc {kind}, page long, k long, last boolean, size int, exit int, entry int, ids array<int>, exact boolean, n_ids long, sum_ids long, dot_ids long"), "pieces-traces")
-    ends = traced.where("last").groupBy("doc", "page").agg(F.max("k").alias("end"))
-    turned = traced.select("doc", "page", "k", "exit", "entry").join(ends, ["doc", "page"]).select("doc", "page", (F.col("end") - F.col("k")).alias("k"), "exit", "entry")
-    turned = cut(turned.groupBy("doc", "page", "k").applyInPandas(maps, f"doc {kind}, page long, k long, m binary"), "pieces-exits")
+    chunks = cut(giants.select("page", "text").mapInPandas(split, "page long, k long, text string, size int, last boolean"), "pieces-chunks")
+    times = giants.groupBy("doc", "page").agg(F.count("*").cast("int").alias("times"))
+    chunks = chunks.dropDuplicates(["page", "k"])
+    before = scan(cut(chunks.mapInPandas(matrices, "page long, k long, m binary"), "pieces-matrices"), states)
+    traced = cut(chunks.join(before, ["page", "k"]).mapInPandas(traces, "page long, k long, last boolean, size int, exit int, entry int, ids array<int>, exact boolean, n_ids long, sum_ids long, dot_ids long"), "pieces-traces")
+    ends = traced.where("last").groupBy("page").agg(F.max("k").alias("end"))
+    turned = traced.select("page", "k", "exit", "entry").join(ends, "page").select("page", (F.col("end") - F.col("k")).alias("k"), "exit", "entry")
+    turned = cut(turned.groupBy("page", "k").applyInPandas(maps, "page long, k long, m binary"), "pieces-exits")
 
     @F.pandas_udf("int")
     def state(v: pd.Series) -> pd.Series:
         return pd.Series([int(np.frombuffer(x, dtype=np.int64).argmax()) for x in v], dtype="int32")
 
-    exits = scan(turned, states).join(ends, ["doc", "page"]).select("doc", "page", (F.col("end") - F.col("k")).alias("k"), state("v").alias("exit"))
-    parts = traced.join(exits, ["doc", "page", "k", "exit"]).join(times, ["doc", "page"])
+    exits = scan(turned, states).join(ends, "page").select("page", (F.col("end") - F.col("k")).alias("k"), state("v").alias("exit"))
+    parts = traced.join(exits, ["page", "k", "exit"]).join(times, "page")
     n = F.col("size") - F.when(F.col("k") == 0, 1).otherwise(0)
     parts = parts.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select("doc", F.col("k").alias("part"), "ids", n.cast("long").alias("n_chars"), "exact", "n_ids", "sum_ids", "dot_ids", "page", "copy")
     return plain.withColumns({"page": F.lit(0).cast("long"), "copy": F.lit(1)}).unionByName(parts).withColumnRenamed("doc", id)

@@ -193,3 +193,11 @@ def test_giant_documents_in_chunks_equal_the_whole(spark, known):
         x = sums[id]
         assert (x["n_ids"], x["sum_ids"], x["dot_ids"], x["n_chars"]) == (len(ids), ids.sum(), np.dot(ids, np.arange(1, len(ids) + 1)), len(text))
     assert pieces.encode(docs.limit(0), known).count() == 0
+
+
+def test_giant_documents_without_an_id_keep_their_rows(spark, known):
+    text = " alpha beta" * 200
+    rows = [(None, text), (None, text), (None, text + "x"), (1, text), (None, "alpha")]
+    parts = pieces.encode(spark.createDataFrame(rows, "doc_id long, text string"), known, giant=500, chunk=130)
+    got = sorted(((x["doc_id"], x["n_chars"], x["n_ids"], x["exact"]) for x in pieces.digests(parts).collect()), key=str)
+    assert got == sorted(((i, len(t), len(known.encode(t)), True) for i, t in rows), key=str)
