@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from falloff.llm.common import BROADCAST_BYTES, components, cut, stars
+from falloff.llm.common import BROADCAST_BYTES, components, cut, drop_cut, stars
 
 _K = np.uint64(0x9E3779B97F4A7C15)
 _LOW32 = np.uint64(0xFFFFFFFF)
@@ -19,8 +19,10 @@ _LOW32 = np.uint64(0xFFFFFFFF)
 LENGTHS = (0.0, 0.03, 0.1, 0.2)
 #: The share of the first pass, which only tells the sets that may link with any.
 FIRST = 0.05
-#: Tokens for which a document meets a leader, spread over its looked-up tokens from rare to frequent.
-MEETINGS = 8
+#: A set's first tokens: by the first few it finds leaders, by all of them it chooses one.
+HEADS, MEETINGS, LEADERS = 32, 8, 6
+#: Sets of one group that are held in one block.
+BLOCK = 256
 #: Bytes of text that are hashed at a time.
 _SLICE = 1 << 20
 #: Bits of the map of wanted rows that is broadcast: 2 MB whatever the input.
@@ -173,17 +175,16 @@ def link_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", words:
     looked up, and a set with fewer than l such tokens is out. What is looked up gives candidates, which
     are verified on whole sets.
 
-    A group of near copies has more pairs than can be listed, so candidates come in rounds. In two of them each
-    document meets, for a few of its tokens from rare to frequent, one leader among those of fitting size: the first by a
-    hash, then the last. That joins most of each group. Then all pairs of fitting size that share a looked-up token
-    and whose components still differ are verified, so no link between components is lost, and none inside one is
-    needed. Candidates, sets and prefixes travel as arrays, dealt by hashes of tokens or classes. A task holds the
-    list of a token, some 30 bytes for each different set that has it. What is broadcast is a bitmap of fixed size.
+    A group of near copies has more pairs than can be listed, so candidates come in two rounds. First each document
+    meets two leaders at most: of a few sets of like size with one of its first tokens, the one most like it, and the
+    first. That joins most of each group at a cost in proportion to documents. Then all pairs of fitting size that share a looked-up token and whose components still differ are verified, so no link between components is lost, and none
+    inside one is needed. Candidates, sets and prefixes travel as arrays, dealt by hashes of tokens or classes. A task
+    holds the list of a token, some 30 bytes for each different set that has it. What is broadcast is a bitmap of
+    fixed size.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text"))
     kind = dict(rows.dtypes)["id"]
-    buckets = max(32, rows.count() // 2500)
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,6 +196,7 @@ def link_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", words:
     base = cut(rows.mapInArrow(sizes, f"id {kind}, class long, n long"), "ngram-sizes")
     classes = base.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("id").alias("low"), F.max("n").alias("n"))
     classes = cut(classes.withColumn("slot", _slot(F.col("low"))), "ngram-classes")
+    buckets = max(256, (classes.agg(F.sum("n")).first()[0] or 0) // 400_000)
     dealt = classes.select("class", "n", "slot", F.pmod("class", F.lit(buckets)).cast("int").alias("bucket"))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
@@ -233,21 +235,26 @@ def link_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", words:
 
     def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(wanted.value, dtype=np.uint8)
+
+        def out(held: list[np.ndarray]) -> pa.RecordBatch:
+            heads = pa.array([s[:HEADS].view(np.int64) for s in held], pa.list_(pa.int64()))
+            arrays = [pa.array([_class_of(s) for s in held], pa.int64()), pa.array([len(s) for s in held], pa.int64()), heads, pa.array([s.tobytes() for s in held], pa.binary())]
+            return pa.RecordBatch.from_arrays(arrays, names=["class", "n", "heads", "tokens"])
+
         for batch in batches:
             slot = batch.column("slot").to_numpy()
             ask = np.flatnonzero(bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
-            of, tokens, held = [], [], 0
+            held, size = [], 0
             for _, s in shingle_sets(batch.column("text"), words, ask):
-                of.append(_class_of(s))
-                tokens.append(s.tobytes())
-                held += len(s)
-                if held > 1_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), pa.array(tokens, pa.binary())], names=["class", "tokens"])
-                    of, tokens, held = [], [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), pa.array(tokens, pa.binary())], names=["class", "tokens"])
+                held.append(s)
+                size += len(s)
+                if size > 500_000:
+                    yield out(held)
+                    held, size = [], 0
+            yield out(held)
 
     # Of each wanted class the row of its smallest id; what the bitmap lets through beside is met by nobody.
-    sets = cut(rows.select(_slot(F.col("id")).alias("slot"), "text").mapInArrow(whole_sets, "class long, tokens binary"), "ngram-sets")
+    sets = cut(rows.select(_slot(F.col("id")).alias("slot"), "text").mapInArrow(whole_sets, "class long, n long, heads array<long>, tokens binary"), "ngram-sets")
 
     def longest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = _Sent(buckets)
@@ -290,7 +297,6 @@ def link_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", words:
             if best is not None:
                 probe = np.zeros(b - a, dtype=np.uint8)
                 probe[best[1]] = 1
-                probe[best[1][np.linspace(0, len(best[1]) - 1, MEETINGS).astype(int)]] = 2  # where it meets leaders
                 out.append((int(reply["bucket"].iloc[0]), int(owner[a]), n, best[2], token[a:b].tobytes(), probe.tobytes(), place[a:b].tobytes()))
         return pd.DataFrame(out, columns=_ENTRY).astype({"bucket": "int32"}) if out else _empty(_ENTRY)
 
@@ -299,18 +305,22 @@ def link_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", words:
     entries = reply.groupBy("bucket").cogroup(likely.groupBy("bucket")).applyInPandas(choose, "bucket int, class long, n long, need long, token binary, probe binary, place binary")
     entries = cut(entries, "ngram-entries")
 
-    lists = entries.select("class", "n", F.col("token").alias("tokens"))
-    links = None
-    for mode in ("first", "last", "every"):
-        label = None if links is None else components(links)
-        found = _candidates(entries, label, mode, buckets, percent)
-        if mode == "every":
-            found = _compared(found, lists, buckets, _share_prefix(percent), "bucket int, x binary, y binary")
-        found = cut(found, f"ngram-likely-{mode}")
-        met = cut(found.mapInPandas(_classes_in, "class long").distinct(), "ngram-met")
-        few = F.broadcast(met) if met.count() * 16 <= BROADCAST_BYTES else met
-        found = _compared(found, sets.join(few, "class", "left_semi"), buckets, _link(percent), "a long, b long")
-        links = cut(found if links is None else found.unionByName(label.select(F.col("node").alias("a"), F.col("component").alias("b"))), "ngram-links")
+    # What the bitmap let through or the lemma put out has no entry.
+    able = entries.select("class")
+    heads = sets.select("class", "n", "heads").join(F.broadcast(able) if able.count() * 16 <= BROADCAST_BYTES else able, "class", "left_semi")
+    led = cut(_led(heads), "ngram-led")
+    to = F.pmod("class", F.lit(buckets)).cast("int")
+    asked = led.groupBy(F.pmod("y", F.lit(buckets)).cast("int").alias("bucket"), "x").agg(F.collect_list("y").alias("ys"))
+    links = cut(_compared(asked, sets.select("class", "tokens", to.alias("bucket")), percent), "ngram-links")
+    label = components(links)
+
+    homes = cut(_homes(able, led, label, buckets), "ngram-homes")
+    asked = _requests(_candidates(entries, homes, buckets, percent))
+    last = _compared(asked, sets.join(homes.select("class", F.col("block").alias("bucket")), "class").select("class", "tokens", "bucket"), percent)
+    every = cut(last.unionByName(label.select(F.col("node").alias("a"), F.col("component").alias("b"))), "ngram-links")
+    for used in (likely, sets, entries, led, homes, links):
+        drop_cut(used)
+    links = every
     label = components(links)
 
     classes = classes.join(label, F.col("class") == F.col("node"), "left").select("class", "low", F.coalesce("component", "class").alias("component"))
@@ -330,8 +340,7 @@ def keep_first(docs: DataFrame, id: str = "doc_id", text: str = "text", words: i
 _REPLY = ["bucket", "owner", "token", "df", "place"]
 _ENTRY = ["bucket", "class", "n", "need", "token", "probe", "place"]
 #: What a token's bucket learns of each set that has the token, and its type.
-_KINDS = {"token": np.uint32, "owner": np.int64, "probe": np.uint8, "place": np.uint8, "size": np.int32, "need": np.uint8, "component": np.int64}
-_PAIRS = ["bucket", "x", "y"]
+_KINDS = {"token": np.uint32, "owner": np.int64, "probe": np.uint8, "place": np.uint8, "size": np.int32, "need": np.uint8, "component": np.int64, "block": np.int32}
 
 
 def _empty(columns: list[str]) -> pd.DataFrame:
@@ -369,7 +378,7 @@ class _Sent:
     Within a bucket a token's upper half tells it apart as well as all of it does.
     """
 
-    def __init__(self, buckets: int, limit: int = 1_000_000) -> None:
+    def __init__(self, buckets: int, limit: int = 250_000) -> None:
         self.buckets, self.limit = np.uint64(buckets), limit
         self.tokens: list[np.ndarray] = []
         self.owners: list[np.ndarray] = []
@@ -423,53 +432,58 @@ def _bitmap(entries: DataFrame) -> bytes:
     return bytes(out)
 
 
-def _candidates(entries: DataFrame, label: DataFrame | None, mode: str, buckets: int, percent: int) -> DataFrame:
-    """(bucket, x, y): arrays of classes to be compared, of different components, dealt by y."""
-    # Without labels each set is its own component.
-    kinds = {c: k for c, k in _KINDS.items() if c != "component" or label is not None}
+def _led(heads: DataFrame) -> DataFrame:
+    """(y, x, first): sets y with the leaders x that they meet, and whether x is the first of them by hash.
+
+    Leaders of a token are those sets with the token among their first ``MEETINGS`` that come first by each of ``LEADERS``
+    hashes, within a band of sizes. Of the leaders of its tokens a set takes the first by each hash, and of these the one
+    with most of its own ``HEADS`` tokens and the first one, which ties together the followers of different ones, if they
+    have half of them: two meetings at most for each set, however large its group.
+    Bands are of a factor of 4/3, once from 1 on and once half a band further, so that like sizes meet in one of the two.
+    """
+    band, each = F.log("n") / F.log(F.lit(4 / 3)), [f"l{k}" for k in range(LEADERS)]
+    asks = heads.select("class", F.array(F.floor(band), -1 - F.floor(band + 0.5)).alias("bands"), F.explode(F.slice("heads", 1, MEETINGS)).alias("token")).select("class", "token", F.explode("bands").alias("band"))
+    key = [F.min(F.struct(F.xxhash64(F.lit(k), "class").alias("h"), F.col("class").alias("x"))).alias(c) for k, c in enumerate(each)]
+    leaders = asks.groupBy("token", "band").agg(*key, F.count("*").alias("some")).where("some > 1").drop("some")
+    own = asks.join(leaders, ["token", "band"]).groupBy("class").agg(*[F.min(c).alias(c) for c in each])
+    pairs = own.select(F.col("class").alias("y"), F.posexplode(F.array_distinct(F.array(*[f"{c}.x" for c in each]))).alias("k", "x")).where("x <> y")
+    mine = heads.select(F.col("class").alias("y"), F.col("heads").alias("hy"))
+    theirs = heads.select(F.col("class").alias("x"), F.col("heads").alias("hx"))
+    pairs = pairs.join(mine, "y").join(theirs, "x").withColumn("same", F.size(F.array_intersect("hx", "hy"))).where(F.col("same") * 2 >= F.greatest(F.size("hx"), F.size("hy")))
+    pairs = pairs.groupBy("y").agg(F.max(F.struct("same", "x")).alias("best"), F.min(F.struct("k", "x")).alias("first"))
+    return pairs.select("y", F.col("first.x").alias("home"), F.explode(F.array_distinct(F.array("best.x", "first.x"))).alias("x")).select("y", "x", (F.col("x") == F.col("home")).alias("first"))
+
+
+def _homes(able: DataFrame, led: DataFrame, label: DataFrame, buckets: int) -> DataFrame:
+    """(class, component, block, bucket) of every set: where it is compared, and by which task it is looked up.
+
+    Sets with one first leader are compared in one block, so that a set goes once to all of its group. A group of more than
+    ``BLOCK`` has as many blocks as that takes.
+    """
+    first = led.where("first").select(F.col("y").alias("class"), F.col("x").alias("home"))
+    homes = able.join(first, "class", "left").withColumn("home", F.coalesce("home", "class"))
+    large = homes.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).alias("parts")).where("parts > 1")
+    homes = homes.join(large, "home", "left").join(label.withColumnRenamed("node", "class"), "class", "left")
+    part = F.pmod(F.xxhash64(F.lit(7), "class"), F.coalesce("parts", F.lit(1)))
+    block = F.pmod(F.xxhash64("home", part), F.lit(buckets)).cast("int")
+    return homes.select("class", F.coalesce("component", "class").alias("component"), block.alias("block"), F.pmod("class", F.lit(buckets)).cast("int").alias("bucket"))
+
+
+def _candidates(entries: DataFrame, homes: DataFrame, buckets: int, percent: int) -> DataFrame:
+    """(bucket, x, y): arrays of classes to be compared, of different components, dealt by the block of y."""
 
-    def by_token(entries: pd.DataFrame, label: pd.DataFrame | None = None) -> pd.DataFrame:
+    def by_token(entries: pd.DataFrame, homes: pd.DataFrame) -> pd.DataFrame:
         if not len(entries):
-            return _empty(["bucket", *kinds])
+            return _empty(["bucket", *_KINDS])
         token, probe, place = (_joined(entries, c, k) for c, k in (("token", np.uint64), ("probe", np.uint8), ("place", np.uint8)))
-        each = [len(x) for x in entries["probe"]]
-        owner = np.repeat(entries["class"].to_numpy(dtype=np.int64), each)
-        size, need = np.repeat(entries["n"].to_numpy(dtype=np.int32), each), np.repeat(entries["need"].to_numpy(dtype=np.uint8), each)
-        every = {"owner": owner, "token": (token >> np.uint64(32)).astype(np.uint32), "probe": probe, "size": size, "need": need, "place": place, "component": owner}
-        if label is not None and len(label):
-            node = label["node"].to_numpy()
-            order = np.argsort(node)
-            node, to = node[order], label["component"].to_numpy()[order]
-            at = np.minimum(np.searchsorted(node, owner), len(node) - 1)
-            every["component"] = np.where(node[at] == owner, to[at], owner)
-        return pd.concat(_dealt(token & _LOW32, **{c: every[c] for c in kinds}))
-
-    def leaders(token, owner, probe, component, size, **_) -> Iterator[pd.DataFrame]:
-        """For each token of the rounds the leader of the list: of those of fitting size the first, or last, by a hash."""
-        _, run = np.unique(token, return_inverse=True)
-        order = np.lexsort((owner, size, run))
-        key = run[order] * (1 << 40) + size[order]
-        asks = np.flatnonzero(probe == 2)
-        a = np.searchsorted(key, run[asks] * (1 << 40) + _needed(size[asks], percent))
-        b = np.searchsorted(key, run[asks] * (1 << 40) + 100 * size[asks] // percent, "right")
-        rank = _mixed(owner[order].view(np.uint64) * _K)
-        rank = ~rank if mode == "last" else rank
-        # The least of every range of 2**k; a range of any length is two of them.
-        width = np.maximum(b - a, 1)
-        level = np.floor(np.log2(width)).astype(np.int64)
-        table, best = np.arange(len(order)), np.zeros(len(asks), dtype=np.int64)
-        for k in range(int(level.max(initial=0)) + 1):
-            if k:
-                half, more = table[: len(table) - (1 << (k - 1))], table[1 << (k - 1) :]
-                table = np.where(rank[half] <= rank[more], half, more)
-            mine = np.flatnonzero(level == k)
-            left, right = table[a[mine]], table[b[mine] - (1 << k)]
-            best[mine] = np.where(rank[left] <= rank[right], left, right)
-        apart = component[order[best]] != component[asks]
-        y, x = _different(owner[asks][apart], owner[order[best]][apart])
-        yield from _dealt(y % buckets, x=x, y=y)
-
-    def across(token, owner, probe, component, size, need, place) -> Iterator[pd.DataFrame]:
+        each, classes = [len(x) for x in entries["probe"]], entries["class"].to_numpy(np.int64)
+        homes = homes.sort_values("class")
+        at = np.searchsorted(homes["class"].to_numpy(np.int64), classes)
+        whole = {"owner": classes, "size": entries["n"].to_numpy(np.int32), "need": entries["need"].to_numpy(np.uint8), "component": homes["component"].to_numpy(np.int64)[at], "block": homes["block"].to_numpy(np.int32)[at]}
+        every = {"token": (token >> np.uint64(32)).astype(np.uint32), "probe": probe, "place": place} | {c: np.repeat(x, each) for c, x in whole.items()}
+        return pd.concat(_dealt(token & _LOW32, **{c: every[c] for c in _KINDS}))
+
+    def across(token, owner, probe, component, size, need, place, block) -> Iterator[pd.DataFrame]:
         """All pairs of fitting size of different components, in frames of bounded size.
 
         A pair needs more overlap than either set alone: its token must stand in prefixes shortened by that.
@@ -477,7 +491,7 @@ def _candidates(entries: DataFrame, label: DataFrame | None, mode: str, buckets:
         low = place * size // 256
         _, run = np.unique(token, return_inverse=True)
         least, most = _needed(size, percent), 100 * size // percent
-        # Blocks of one component in a token's list: large ones are met one by one, so that a block never meets itself.
+        # Those of one component in a token's list: large ones are met one by one, so that none meets itself.
         order = np.lexsort((size, component, run))
         at = np.flatnonzero(np.append(True, (np.diff(run[order]) != 0) | (np.diff(component[order]) != 0)))
         width = np.diff(np.append(at, len(order)))
@@ -493,31 +507,26 @@ def _candidates(entries: DataFrame, label: DataFrame | None, mode: str, buckets:
             spare = need[who] - -(-percent * (n + m) // (100 + percent))
             return (component[who] != component[other]) & (low[who] < n + spare) & (low[other] < m + spare)
 
-        found = _Found(buckets, owner, fit)
+        found = _Found(owner, block, fit)
         yield from found.ranges(asks, a, b, little)
         ask_run = run[asks]
         for start, n in zip(at[width > 32].tolist(), width[width > 32].tolist(), strict=True):
-            block = order[start : start + n]
-            mine = asks[np.searchsorted(ask_run, run[block[0]]) : np.searchsorted(ask_run, run[block[0]], "right")]
-            mine = mine[component[mine] != component[block[0]]]
-            a, b = np.searchsorted(size[block], least[mine]), np.searchsorted(size[block], most[mine], "right")
-            yield from found.ranges(mine, a, b, block)
+            one = order[start : start + n]
+            mine = asks[np.searchsorted(ask_run, run[one[0]]) : np.searchsorted(ask_run, run[one[0]], "right")]
+            mine = mine[component[mine] != component[one[0]]]
+            a, b = np.searchsorted(size[one], least[mine]), np.searchsorted(size[one], most[mine], "right")
+            yield from found.ranges(mine, a, b, one)
         yield from found.flushed()
 
     def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in _by_bucket(batches):
-            columns = {c: _joined(rows, c, k) for c, k in kinds.items()}
+            columns = {c: _joined(rows, c, k) for c, k in _KINDS.items()}
             columns |= {c: columns[c].astype(np.int64) for c in ("size", "place")}
-            columns.setdefault("component", columns["owner"])
             columns["need"] = np.maximum(1, np.ceil(np.array(LENGTHS)[columns["need"]] * columns["size"])).astype(np.int64)
-            yield from (across if mode == "every" else leaders)(**columns)
-
-    schema = "bucket int, " + ", ".join(f"{c} binary" for c in kinds)
-    if label is None:
-        sent = entries.groupBy("bucket").applyInPandas(lambda e: by_token(e), schema)
-    else:
-        label = label.withColumn("bucket", F.pmod("node", F.lit(buckets)).cast("int"))
-        sent = entries.groupBy("bucket").cogroup(label.groupBy("bucket")).applyInPandas(lambda e, w: by_token(e, w), schema)
+            yield from across(**columns)
+
+    schema = "bucket int, " + ", ".join(f"{c} binary" for c in _KINDS)
+    sent = entries.groupBy("bucket").cogroup(homes.groupBy("bucket")).applyInPandas(by_token, schema)
     return sent.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(pairs, "bucket int, x binary, y binary")
 
 
@@ -545,9 +554,10 @@ def _different(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class _Found:
     """Pairs of classes as they come, those met again soon left out; what goes out is bounded at a time."""
 
-    def __init__(self, buckets: int, owner: np.ndarray, fit, limit: int = 500_000) -> None:
-        self.buckets, self.fit, self.limit = buckets, fit, limit
-        self.names, self.code = np.unique(owner, return_inverse=True)
+    def __init__(self, owner: np.ndarray, block: np.ndarray, fit, limit: int = 500_000) -> None:
+        self.fit, self.limit = fit, limit
+        self.names, at, self.code = np.unique(owner, return_index=True, return_inverse=True)
+        self.block = block[at]
         self.keys: list[np.ndarray] = []
         self.held = 0
 
@@ -576,63 +586,78 @@ class _Found:
     def flushed(self) -> Iterator[pd.DataFrame]:
         key = np.unique(np.concatenate(self.keys)) if self.keys else np.zeros(0, dtype=np.int64)
         self.keys, self.held = [], 0
-        x, y = self.names[key >> 32], self.names[key & 0xFFFFFFFF]
-        yield from _dealt(y % self.buckets, x=x, y=y)
-
+        x, y = key >> 32, key & 0xFFFFFFFF
+        yield from _dealt(self.block[y], x=self.names[x], y=self.names[y])
 
-def _classes_in(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        yield pd.DataFrame({"class": np.unique(np.concatenate([_joined(batch, "x", np.int64), _joined(batch, "y", np.int64)]))})
 
-
-def _compared(candidates: DataFrame, sets: DataFrame, buckets: int, keep, schema: str) -> DataFrame:
-    """Candidates whose sets pass ``keep``. Sets come to the bucket of y: that of each y once, that of x once for each bucket with candidates."""
+def _requests(candidates: DataFrame) -> DataFrame:
+    """(bucket, x, ys) of candidates (bucket, x, y): what each x is to be compared with in a bucket, once."""
 
     def requests(rows: pd.DataFrame) -> pd.DataFrame:
         x, y = _different(_joined(rows, "x", np.int64), _joined(rows, "y", np.int64))
         at = np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, dtype=int)
-        return pd.DataFrame({"bucket": np.int32(rows["bucket"].iloc[0]), "x": x[at], "ys": [k.tobytes() for k in np.split(y, at[1:])] if len(at) else []})
+        return pd.DataFrame({"bucket": np.int32(rows["bucket"].iloc[0]), "x": x[at], "ys": np.split(y, at[1:]) if len(at) else []})
+
+    return candidates.groupBy("bucket").applyInPandas(requests, "bucket int, x long, ys array<long>")
 
-    asked = candidates.groupBy("bucket").applyInPandas(requests, "bucket int, x long, ys binary")
-    asked = asked.join(sets.withColumnsRenamed({"class": "x", "tokens": "xs"}), "x")
-    held = sets.withColumn("bucket", F.pmod("class", F.lit(buckets)).cast("int"))
+
+def _classes_in(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        yield pd.DataFrame({"class": np.unique(np.concatenate([batch["x"].to_numpy(np.int64), *batch["ys"]]))})
+
+
+def _compared(asked: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): a forest of the links among those asked for, (bucket, x, ys). Sets (class, tokens, bucket) come to the bucket
+    of y: that of each y once, that of x once for each bucket with candidates; those that nobody asks for stay where they are."""
+    asked = cut(asked, "ngram-asked")
+    met = cut(asked.mapInPandas(_classes_in, "class long").distinct(), "ngram-met")
+    sets = sets.join(F.broadcast(met) if met.count() * 16 <= BROADCAST_BYTES else met, "class", "left_semi")
+    asked = asked.join(sets.select(F.col("class").alias("x"), F.col("tokens").alias("xs")), "x")
 
     def compare(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        known = {c: np.frombuffer(t, dtype=np.uint64) for c, t in zip(held["class"], held["tokens"], strict=True)} if len(asked) else {}
-        sizes = dict(zip(held["class"], held["n"], strict=True)) if "n" in held else {}
-        a, b = [], []
-        for k, (x, xs, ys) in enumerate(zip(asked["x"], asked["xs"], asked["ys"], strict=True)):
-            s = np.frombuffer(xs, dtype=np.uint64)
-            s = np.sort(s) if sizes else s
-            for y in np.frombuffer(ys, dtype=np.int64).tolist():
-                t = known[y]
-                if keep(s, t, asked["n"].iat[k] if sizes else len(s), sizes.get(y, len(t))):
-                    a.append(x)
-                    b.append(y)
-        a, b = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
-        if schema.startswith("bucket"):
-            return pd.concat([_empty(_PAIRS), *_dealt(b % buckets, x=a, y=b)])[_PAIRS]
-        x, y = stars(a, b)  # what they connect, in at most one edge for each class
+        a, b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        held = held.sort_values("class")
+        size = np.array([len(t) // 8 for t in held["tokens"]], dtype=np.int64)
+        for _, part in held.groupby(np.cumsum(size) // 1_000_000 if len(asked) else size, sort=False):  # so many tokens at a time
+            block = _Block(part["class"].to_numpy(np.int64), [np.frombuffer(t, dtype=np.uint64) for t in part["tokens"]])
+            for x, xs, ys in zip(asked["x"], asked["xs"], asked["ys"], strict=True):
+                y = block.linked(np.frombuffer(xs, dtype=np.uint64), ys, percent)
+                a.append(np.full(len(y), x, dtype=np.int64))
+                b.append(y)
+        x, y = stars(np.concatenate(a), np.concatenate(b))  # what they connect, in at most one edge for each class
         return pd.DataFrame({"a": x, "b": y})
 
-    return asked.groupBy("bucket").cogroup(held.groupBy("bucket")).applyInPandas(compare, schema)
+    return asked.groupBy("bucket").cogroup(sets.groupBy("bucket")).applyInPandas(compare, "a long, b long")
 
 
-def _common(s: np.ndarray, t: np.ndarray) -> int:
-    """How many tokens two sets share; the first is in order."""
-    at = np.searchsorted(s, t)
-    at[at == len(s)] = 0
-    return int(np.count_nonzero(s[at] == t))
+class _Block:
+    """Sets that others are compared with: one by one, or if many are asked for, by the owners of each token."""
 
+    def __init__(self, classes: np.ndarray, sets: list[np.ndarray]) -> None:
+        self.classes, self.sets, self.size = classes, sets, np.array([len(s) for s in sets], dtype=np.int64)
+        self.token: np.ndarray | None = None
 
-def _share_prefix(percent: int):
-    """Whether two sets' sizes allow a link and their prefixes share as many tokens as links must, given their returned tokens."""
-    return lambda s, t, n, m: 100 * min(n, m) >= percent * max(n, m) and _common(s, t) >= min(_lengths(n)[-1], _lengths(m)[-1])
+    def linked(self, s: np.ndarray, ys: np.ndarray, percent: int) -> np.ndarray:
+        """Those of the classes ``ys`` that are in the block and link with the set ``s``."""
+        at = np.searchsorted(self.classes, ys).clip(max=len(self.classes) - 1)
+        at = at[self.classes[at] == ys]
+        at = at[100 * np.minimum(self.size[at], len(s)) >= percent * np.maximum(self.size[at], len(s))]
+        same = self._by_owner(s)[at] if len(at) > 8 else np.array([_common(s, self.sets[k]) for k in at], dtype=np.int64)
+        return self.classes[at[100 * same >= percent * (len(s) + self.size[at] - same)]]
 
+    def _by_owner(self, s: np.ndarray) -> np.ndarray:
+        """How many tokens of ``s`` each set of the block has."""
+        if self.token is None:
+            token = np.concatenate(self.sets)
+            order = np.argsort(token, kind="stable")
+            self.token, self.owner = token[order], np.repeat(np.arange(len(self.sets)), self.size)[order]
+        a, b = np.searchsorted(self.token, s), np.searchsorted(self.token, s, "right")
+        n = b - a
+        return np.bincount(self.owner[np.arange(n.sum()) + np.repeat(a - np.cumsum(n) + n, n)], minlength=len(self.sets))
 
-def _link(percent: int):
-    def test(s: np.ndarray, t: np.ndarray, n: int, m: int) -> bool:
-        same = _common(s, t) if 100 * min(n, m) >= percent * max(n, m) else 0
-        return 100 * same >= percent * (n + m - same)
 
-    return test
+def _common(s: np.ndarray, t: np.ndarray) -> int:
+    """How many tokens two sets share; the first is in order."""
+    at = np.searchsorted(s, t)
+    at[at == len(s)] = 0
+    return int(np.count_nonzero(s[at] == t))
