@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -14,8 +15,12 @@ from pyspark.sql import DataFrame
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split())
 #: Elements that never have an end tag.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose text is no part of an article, wherever they stand.
-SKIP = frozenset("head nav header footer aside script style noscript template iframe object svg math canvas button select textarea dialog menu audio video".split())
+#: Elements whose text nobody sees as text; it is on no line.
+UNSEEN = frozenset("head script style noscript template iframe object svg math canvas select textarea audio video".split())
+#: Elements whose lines are lines of the page but no part of an article, wherever they stand.
+ASIDE = frozenset("nav header footer aside button dialog menu".split())
+#: What stands for them among the marks of a piece of text.
+OUT = -1
 #: Roles and words of class or id that mark the same.
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 WORDS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer header masthead cookie cookies consent notice gdpr popup modal overlay newsletter subscribe signup login share sharing social related recommended recommendations comment comments respond disqus widget pagination pager toolbar skip".split())
@@ -28,36 +33,47 @@ SPACE = re.compile(r"\s+")
 HOLDERS = frozenset("body article main section div td blockquote".split())
 
 
+class Line(NamedTuple):
+    text: str
+    length: int
+    tags: int
+    holders: tuple[int, ...]
+    heading: bool
+
+
 class _Lines(HTMLParser):
-    """Lines of text that is not skipped, with the tags met since the line before and the elements that hold them.
+    """All lines of the page, with the tags met since the line before and the elements that hold them.
 
-    Whether the text of a form or of an element with a marked class is kept is known only at the end of the page.
+    Whether the text of a form or of an element with a marked class may be kept is known only at the end of the page.
     """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, bool, tuple[int, ...], tuple[int, ...]]] = [("", False, (0,), ())]
-        self.pieces: list[tuple[list[tuple[str, tuple[int, ...]]], int, tuple[int, ...]]] = []
+        self.pieces: list[tuple[list[tuple[str, tuple[int, ...]]], int, tuple[int, ...], bool]] = []
         self.buffer: list[tuple[str, tuple[int, ...]]] = []
         self.tags = self.holders = 0
         self.articles: set[int] = set()
+        self.bodies = {0}
         self.forms: list[bool] = []
         self.wraps: set[int] = set()
 
     def _end_line(self) -> None:
         if self.buffer:
-            self.pieces.append((self.buffer, self.tags, self.stack[-1][2]))
+            self.pieces.append((self.buffer, self.tags, self.stack[-1][2], any(x[0] in HEADINGS for x in self.stack)))
             self.buffer = []
             self.tags = 0
 
-    def lines(self) -> list[tuple[str, int, tuple[int, ...]]]:
-        """(text, tags, holders) of each line, without the marked elements that are not the page itself."""
-        gone = self._gone()
+    def lines(self) -> list[Line]:
+        """Each line: its text without asides and the marked elements that are not the page itself, and the length of
+        all that is seen there."""
+        gone = self._gone() | {OUT}
         out, before = [], 0
-        for pieces, tags, holders in self.pieces:
+        for pieces, tags, holders, heading in self.pieces:
             before += tags
-            if text := SPACE.sub(" ", "".join(x for x, marks in pieces if not marks or gone.isdisjoint(marks))).strip():
-                out.append((text, before, holders))
+            if seen := SPACE.sub(" ", "".join(x for x, _ in pieces)).strip():
+                kept = [x for x, marks in pieces if not marks or gone.isdisjoint(marks)]
+                out.append(Line(seen if len(kept) == len(pieces) else SPACE.sub(" ", "".join(kept)).strip(), len(seen), before, holders, heading))
                 before = 0
         return out
 
@@ -69,8 +85,10 @@ class _Lines(HTMLParser):
         if not self.forms:
             return set()
         size, total, free, article = [0] * len(self.forms), 0, 0, 0
-        for pieces, _, holders in self.pieces:
+        for pieces, _, holders, _ in self.pieces:
             for x, marks in pieces:
+                if OUT in marks:
+                    continue
                 n = len(x.strip())
                 total += n
                 for m in marks:
@@ -93,7 +111,9 @@ class _Lines(HTMLParser):
             self._close_open(tag)
         _, skip, holders, marks = self.stack[-1]
         if not skip:
-            skip = tag in SKIP
+            skip = tag in UNSEEN
+            if tag in ASIDE:
+                marks = (*marks, OUT)
             if tag in ("article", "main"):
                 self.wraps.update(marks)
             elif tag == "form" or (bool(attrs) and tag not in ("html", "body") and _marked(tag, attrs)):
@@ -104,6 +124,8 @@ class _Lines(HTMLParser):
                 holders = (*holders, self.holders)
                 if tag in ("article", "main"):
                     self.articles.add(self.holders)
+                elif tag == "body":
+                    self.bodies.add(self.holders)
         self.stack.append((tag, skip, holders, marks))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -158,7 +180,7 @@ def _names_other(name: str) -> bool:
     return not WORDS.isdisjoint(words) and words <= WORDS | BESIDE
 
 
-def smoothed(ratios: np.ndarray, sigma: float = 2.0) -> np.ndarray:
+def smoothed(ratios: np.ndarray, sigma: float = 1.0) -> np.ndarray:
     """``ratios`` under a Gaussian of ``sigma`` lines, cut at three sigma, ends weighted by what is there."""
     reach = max(1, int(3 * sigma))
     kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
@@ -166,14 +188,22 @@ def smoothed(ratios: np.ndarray, sigma: float = 2.0) -> np.ndarray:
     return full(ratios) / full(np.ones(len(ratios)))
 
 
-def main_text(html: str | None, sigma: float = 2.0, share: float = 0.5, cover: float = 0.8) -> str:
+def ratios(lines: list[Line]) -> np.ndarray:
+    """Text to tags of every line of the page, asides and menus too."""
+    return np.array([x.length / max(1, x.tags) for x in lines])
+
+
+def main_text(html: str | None, sigma: float = 1.0, share: float = 0.8) -> str:
     """The article of a page: its lines, white space as one space, joined by a line feed.
 
-    Lines above ``share`` of the deviation of the smoothed text-to-tag ratios form the content. The deepest
-    element that holds at least ``cover`` of their text is the core; the article or main element around it, or
-    without one the deepest element that holds all of their text, is the content region, and all its lines that aren't in
-    menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or comments are kept, short ones
-    too. Null or empty html, or a page without text, gives an empty text.
+    Lines whose smoothed text-to-tag ratio is above ``share`` of its deviation are content, and runs of them the
+    clusters. The cluster with most text, the first if several tie, is the main one, and the deepest element that holds at least half of it the
+    core. Names of elements and classes only support that: lines in menus, headers, footers, sidebars, notices, adverts,
+    forms and comments count in the ratios but are in no cluster, and an article or main element around
+    the core bounds the text, all its other lines being kept, short ones too. Without one, content is what shares an element below
+    the body with the core, or the main cluster alone if it stands in none; all lines of the core are kept, those of content
+    outside it but thin ones at the ends of a run, and what lies between them.
+    Null or empty html, or a page without text, gives an empty text.
     """
     if not html:
         return ""
@@ -182,27 +212,40 @@ def main_text(html: str | None, sigma: float = 2.0, share: float = 0.5, cover: f
     parser.close()
     parser._end_line()
     lines = parser.lines()
-    if not lines:
+    if not any(x.text for x in lines):
         return ""
-    smooth = smoothed(np.array([len(text) / max(1, tags) for text, tags, _ in lines]), sigma)
-    content = smooth >= share * smooth.std()
-    weight: dict[int, int] = {}
-    depth: dict[int, int] = {}
-    total = 0
-    for good, (text, _, holders) in zip(content, lines, strict=True):
-        if good:
-            total += len(text)
-            for d, h in enumerate(holders):
-                weight[h] = weight.get(h, 0) + len(text)
-                depth[h] = d
-    core = max((h for h in weight if weight[h] >= cover * total), key=lambda h: depth[h])
-    # A heading may stand in the article beside the element that holds the paragraphs.
-    around = next(holders for _, _, holders in lines if core in holders)
+    ratio = ratios(lines)
+    smooth = smoothed(ratio, sigma)
+    least = share * smooth.std()
+    kept = np.array([bool(x.text) for x in lines])
+    content = (smooth >= least) & kept
+    content = content if content.any() else kept
+    # Runs of content; what is out breaks them as thin lines do.
+    run = np.cumsum(content & ~np.append(False, content[:-1])) * content
+    size = np.array([len(x.text) for x in lines])
+    main = run == np.argmax(np.bincount(run[content], weights=size[content]))
+    held: dict[int, int] = {}
+    for k in np.flatnonzero(main):
+        for h in lines[k].holders:
+            held[h] = held.get(h, 0) + int(size[k])
+    core = max(h for h in held if 2 * held[h] >= size[main].sum())  # elements are numbered as they begin: the deepest
+    around = next(x.holders for x in lines if core in x.holders)
     around = around[: around.index(core) + 1]
-    # Without an article, nothing that is content may be left beside the core.
-    whole = max((h for h in around if weight[h] == total), key=lambda h: depth[h])
-    region = next((h for h in around if h in parser.articles), whole)
-    return "\n".join(text for text, _, holders in lines if region in holders)
+    if article := next((h for h in around if h in parser.articles), None):
+        return "\n".join(x.text for x in lines if x.text and article in x.holders)
+    inner = [h for h in around if h not in parser.bodies]
+    own = np.array([bool(inner) and core in x.holders for x in lines])
+    chosen = content & np.array([bool(inner) and inner[0] in x.holders for x in lines]) | main
+    # Smoothing lifts thin lines beside dense ones: at the ends of a run they go, unless they are headings.
+    firm = (ratio >= least) | own | np.array([x.heading for x in lines])
+    for edge in (slice(None), slice(None, None, -1)):
+        for k in np.flatnonzero(chosen[edge] & ~np.append(False, chosen[edge][:-1])):
+            while k < len(lines) and chosen[edge][k] and not firm[edge][k]:
+                chosen[edge][k] = False
+                k += 1
+    if (at := np.flatnonzero(chosen)).size:
+        chosen[at[0] : at[-1] + 1] = True
+    return "\n".join(lines[k].text for k in np.flatnonzero((chosen | own if at.size else main) & kept))
 
 
 def extract(pages: DataFrame, html: str = "html", text: str = "text") -> DataFrame:

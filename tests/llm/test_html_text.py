@@ -66,3 +66,49 @@ def test_marked_elements_beside_the_text_stay_out():
     comments = "<section id=comments><article>" + dense(9, "Comment") + "</article></section>"
     for page in (f"<div>{BODY}{others}<form><p>Sign up</p></form></div>", f"<article>{BODY}{others}</article>{comments}"):
         assert html_text.main_text(page).count("\n") == 4
+
+
+def unmarked(k):
+    """A page whose elements have no telling name: a menu, ten paragraphs of which the last stands apart, a list of links."""
+    links = "".join(f"<div><a href=/{j}>Go {j}</a></div>" for j in range(6 + k))
+    text = "".join(f"<p>Part {j} of text {k} tells the story at such length that the line is dense, as lines are.</p>" for j in range(9))
+    return f"<body><div class=x>{links}</div><div class=y>{text}</div><div class=z><p>The closing part stands apart from the others, yet it is dense as well.</p></div><div class=q>{links}</div></body>"
+
+
+def test_the_ratios_decide_where_no_element_is_named(monkeypatch):
+    import numpy as np
+
+    pages = [unmarked(k) for k in range(5)]
+    found = [html_text.main_text(p).split("\n") for p in pages]
+    assert [len(x) for x in found] == [10] * 5 and all(x[0].startswith("Part 0") and x[-1].startswith("The closing") for x in found)
+    monkeypatch.setattr(html_text, "ratios", lambda lines: np.full(len(lines), 7.0))
+    assert all("Go 1" in html_text.main_text(p).split("\n") for p in pages)
+
+
+def test_clusters_as_by_hand():
+    """Ratios, smoothing and threshold of an unmarked page, computed line by line in plain Python."""
+    import math
+
+    page = unmarked(2)
+    parser = html_text._Lines()
+    parser.feed(page)
+    parser.close()
+    parser._end_line()
+    lines = parser.lines()
+    ratio = [x.length / max(1, x.tags) for x in lines]
+    smooth = []
+    for i in range(len(ratio)):
+        w = {j: math.exp(-0.5 * (i - j) ** 2) for j in range(max(0, i - 3), min(len(ratio), i + 4))}
+        smooth.append(sum(w[j] * ratio[j] for j in w) / sum(w.values()))
+    mean = sum(smooth) / len(smooth)
+    least = 0.8 * math.sqrt(sum((x - mean) ** 2 for x in smooth) / len(smooth))
+    content = [x.text for x, y in zip(lines, smooth, strict=True) if y >= least]
+    firm = [x.text for x, y, z in zip(lines, smooth, ratio, strict=True) if y >= least and z >= least]
+    assert len(content) >= len(firm) == 10 and html_text.main_text(page).split("\n") == firm
+
+
+def test_ties_repeated_rows_and_clashing_names(spark):
+    same = "<div>{0}</div><nav>menu</nav><div>{0}</div>".format(dense(3, "Equal"))
+    assert html_text.main_text(same) == html_text.main_text(same) and html_text.main_text(same).count("\n") == 2
+    rows = spark.createDataFrame([(1, "a", same, "html", 3)] * 2, "page_id long, n_chars string, html string, text string, lines long")
+    assert [r["text"].count("\n") for r in html_text.extract(rows).collect()] == [2, 2]
