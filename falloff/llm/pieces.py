@@ -1,4 +1,4 @@
-"""SentencePiece unigram encoding and decoding: Viterbi as a max-plus scan, giant documents in parallel chunks."""
+"""SentencePiece unigram encoding and decoding: Viterbi as a max-plus scan over the chunks of each document."""
 
 from __future__ import annotations
 
@@ -19,8 +19,6 @@ NEVER = np.int64(-(1 << 62))
 UNKNOWN = 10.0
 #: Scores are integers, in 1/64 nat, so that sums are exact and chunks combine to what the whole text gives.
 NAT = 64
-#: Words whose scores a task remembers.
-MEMORY = 300_000
 
 
 class Pieces:
@@ -52,7 +50,14 @@ class Pieces:
         if any(" " in self.text[k].lstrip(" ") or "\n" in self.text[k] for k in usual):
             self.unit, self.cut = re.compile(r".+", re.S), None
         self.bytes_of = {k: bytes([b]) for b, k in enumerate(byte_ids)}
-        self.scores: dict[str, int] = {}
+        #: What an id adds to a path; the bytes of an unknown character count once, at its first.
+        self.worth = np.zeros(len(pieces), dtype=np.int64)
+        for hit in self.known.values():
+            if hit is not None:
+                self.worth[hit[0]] = hit[1]
+        self.worth[[k for b, k in enumerate(byte_ids) if b & 0xC0 != 0x80]] = self.unknown
+        #: So many characters have a sum that a 32-bit float holds exactly.
+        self.exact = (1 << 24) // -self.unknown
 
     @classmethod
     def load(cls, path: str) -> Pieces:
@@ -64,7 +69,7 @@ class Pieces:
         return cls([file.id_to_piece(k) for k in range(n)], byte_ids, {k for k in range(n) if file.is_unknown(k) or file.is_control(k)}, file.unk_id())
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"scores": {}, "kernel": None}
+        return self.__dict__ | {"kernel": None}
 
     def steps(self, text: str, at: int) -> Iterator[tuple[int, int, int]]:
         """(end, id, score) of the pieces that begin at ``at``; id -1 for an unknown character."""
@@ -138,7 +143,7 @@ class Pieces:
         """
         out: list[int] = []
         for stretch in self._stretches(text):
-            if len(stretch) <= 16384 and "▁" not in stretch and "\0" not in stretch:
+            if len(stretch) <= self.exact and "▁" not in stretch and "\0" not in stretch:
                 out += self._kernel().encode(stretch, num_threads=1)
             else:
                 for u in self.unit.findall(stretch):
@@ -195,21 +200,11 @@ class Pieces:
         start = np.full((states, states), NEVER)
         np.fill_diagonal(start, 0)
         first = self._lattice(text[:head], start, head)[0][:, head]
-        inner = sum(self.score(u) for u in self.unit.findall(text[head:tail]))
+        inner = int(self.worth[self.encode_plain(text[head:tail])].sum())
         last = self._lattice(text[tail:], np.zeros((1, 1), dtype=np.int64), size - tail)[0][0, size - tail : size - tail + states]
         both = first[:, None] + last[None, :]
         return np.where((first[:, None] == NEVER) | (last[None, :] == NEVER), NEVER, both + inner)
 
-    def score(self, unit: str) -> int:
-        """What the best path of a unit scores."""
-        if (found := self.scores.get(unit)) is None:
-            found = self._best(unit)[0][-1]
-            if len(unit) < 48:
-                if len(self.scores) >= MEMORY:
-                    self.scores.clear()
-                self.scores[unit] = found
-        return found
-
     def _split(self, text: str, size: int) -> tuple[int | None, int, int]:
         """The first and last forced cut of a chunk, after all begin states and before its end, if there are two."""
         cuts = [m.start() for m in self.unit.finditer(text, 0, size)]
@@ -299,21 +294,22 @@ def scan(steps: DataFrame, states: int, block: int = 64) -> DataFrame:
     return v
 
 
-def encode(docs: DataFrame, vocabulary: Pieces, id: str = "doc_id", text: str = "text", giant: int = 1 << 16, chunk: int = 1 << 14) -> DataFrame:
-    """(id, part, ids, n_chars, exact, n_ids, sum_ids, dot_ids): the ids of every document, a giant one in parts in order.
+def encode(docs: DataFrame, vocabulary: Pieces, id: str = "doc_id", text: str = "text", chunk: int = 1 << 13) -> DataFrame:
+    """(id, part, ids, n_chars, exact, n_ids, sum_ids, dot_ids): the ids of every document, one longer than a chunk in parts in order.
 
     Parts of a document put one after the other are the ids of the whole text, whatever the chunks. exact tells
     that the ids decode to what was encoded; dot_ids is the sum of (place in the part + 1) * id. Null texts and empty ones have one part; null has null ids, an
-    empty text the ids of the space before it. Texts of up to ``giant`` characters are encoded where they are read.
-    Longer ones are cut into chunks; each yields a matrix of best scores between its boundary states, the
+    empty text the ids of the space before it. A text of one chunk, up to ``chunk`` characters, is encoded where it is read.
+    All longer ones are cut into chunks; each yields a matrix of best scores between its boundary states, the
     matrices are combined by an associative scan, each chunk then traces its own path back from its exit states,
-    and a second scan, backwards, tells the exit state of each. Repeated rows give repeated results.
+    and a second scan, backwards, tells the exit state of each. Repeated rows give repeated results. An empty table gives an empty one; other columns are
+    ignored, whatever their names.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(vocabulary)
     rows = docs.select(F.col(id).alias("doc"), F.col(text).alias("text"))
     kind = dict(rows.dtypes)["doc"]
-    large = F.coalesce(F.length("text") > giant, F.lit(False))
+    large = F.coalesce(F.length("text") > chunk, F.lit(False))
 
     def small(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = shared.value

@@ -165,6 +165,13 @@ def test_pieces_equal_the_whole_lattice_and_decode_exactly(known):
     for t in TEXTS:
         ids = known.encode(t)
         assert ids.tolist() == whole(known, t) and known.decode(ids) == t
+        assert known.worth[ids].sum() == known._best(" " + t)[0][-1]
+
+
+def test_stretches_for_the_library_have_exact_sums(known):
+    assert known.exact * -known.unknown <= 1 << 24 < (known.exact + 1) * -known.unknown
+    t = "\u4e7f" * 9 + "\u30fd" * (known.exact - 20) + " end" + "\u30fd" * 20_000
+    assert known.encode(t).tolist() == whole(known, t)
 
 
 def test_giant_documents_in_chunks_equal_the_whole(spark, known):
@@ -172,7 +179,7 @@ def test_giant_documents_in_chunks_equal_the_whole(spark, known):
     giants = ["".join(r.choice([" alpha", " beta", "\n", "  ", "ßé", "longword" * 9, " 中文", "▁"]) for _ in range(400)) for _ in range(3)] + ["z" * 1500, " " * 1100]
     rows = [(k, t) for k, t in enumerate(TEXTS + giants)] + [(100, None), (101, giants[0]), (101, giants[0])]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    parts = pieces.encode(docs, known, giant=500, chunk=130)
+    parts = pieces.encode(docs, known, chunk=130)
     got = {}
     for x in parts.collect():
         assert x["exact"]
@@ -198,6 +205,6 @@ def test_giant_documents_in_chunks_equal_the_whole(spark, known):
 def test_giant_documents_without_an_id_keep_their_rows(spark, known):
     text = " alpha beta" * 200
     rows = [(None, text), (None, text), (None, text + "x"), (1, text), (None, "alpha")]
-    parts = pieces.encode(spark.createDataFrame(rows, "doc_id long, text string"), known, giant=500, chunk=130)
+    parts = pieces.encode(spark.createDataFrame(rows, "doc_id long, text string"), known, chunk=130)
     got = sorted(((x["doc_id"], x["n_chars"], x["n_ids"], x["exact"]) for x in pieces.digests(parts).collect()), key=str)
     assert got == sorted(((i, len(t), len(known.encode(t)), True) for i, t in rows), key=str)
