@@ -39,7 +39,8 @@ def search(codes: DataFrame, queries: DataFrame, k: int = 10, id: str = "vec_id"
     Distinct codes are hashed into shards of about ``shard_codes``. In a shard each 16-bit segment has a table of
     the values that occur. For each query of a block, segment by segment, buckets at radius 0, 1, 2, ... are verified until the
     k-th distance found is at most radius * segments + segment: by the pigeonhole principle every nearer code has then
-    been met. Blocks of queries meet all shards; each meeting leaves k + 1 codes for a query.
+    been met. Blocks of queries meet all shards; each meeting leaves k + 1 codes for a query. Other columns are ignored, whatever
+    their names; codes may have any number of segments.
     """
     kinds = dict(codes.dtypes)
     every = codes.where(F.col(id).isNotNull() & F.col(code).isNotNull()).groupBy(F.col(id).alias("id")).agg(F.min(code).alias("code"))
@@ -54,9 +55,12 @@ def search(codes: DataFrame, queries: DataFrame, k: int = 10, id: str = "vec_id"
     wanted = asked.select("code").distinct()
     blocks = max(1, -(-wanted.count() // block))
     wanted = wanted.withColumn("block", F.pmod(F.xxhash64(F.lit(1), "code"), F.lit(blocks)).cast("int")).groupBy("block").applyInPandas(_pack_queries, "block int, asked binary, n_asked int")
-    wanted = wanted.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    met = wanted.repartition(max(shards * blocks, 1), "shard", "block").join(packed, "shard")
-    near = met.mapInPandas(lambda it: _search(it, k + 1), "code array<int>, found array<struct<d:int,low:long,code:array<int>>>")
+    # A shard meets up to 16 blocks in a task, and with few shards fewer, so that there is work for many tasks.
+    salts = max(1, min(blocks, max(-(-blocks // 16), -(-64 // shards))))
+    wanted = wanted.select(F.pmod("block", F.lit(salts)).alias("salt"), "asked", "n_asked", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+    packed = packed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    met = wanted.groupBy("shard", "salt").cogroup(packed.groupBy("shard", "salt"))
+    near = met.applyInPandas(lambda asked, shard: _search(asked, shard, k + 1), "code array<int>, found array<struct<d:int,low:long,code:array<int>>>")
     # k + 1 codes from each shard; the best k + 1 of them all.
     near = near.groupBy("code").agg(F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, k + 1).alias("found")).select("code", F.explode("found").alias("f")).select("code", "f.d", F.col("f.code").alias("other"))
     listed = near.join(entries.withColumnRenamed("code", "other"), "other").select("code", "d", F.explode("ids").alias("id")).select("code", F.struct("d", "id").alias("f"))
@@ -133,12 +137,13 @@ class Tables:
         return rows[keep], dist[keep]
 
 
-def _search(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for r in batch.itertuples():
-            tables = Tables(np.frombuffer(r.codes, np.uint16).reshape(r.n, r.segments), np.frombuffer(r.lows, np.int64))
-            out = []
-            for query in np.frombuffer(r.asked, np.uint16).reshape(r.n_asked, r.segments):
+def _search(asked: pd.DataFrame, shard: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k nearest codes of a shard to each query of some blocks."""
+    out = []
+    for s in shard.itertuples():
+        tables = Tables(np.frombuffer(s.codes, np.uint16).reshape(s.n, s.segments), np.frombuffer(s.lows, np.int64))
+        for r in asked.itertuples():
+            for query in np.frombuffer(r.asked, np.uint16).reshape(r.n_asked, s.segments):
                 rows, dist = tables.nearest(query, k)
                 out.append((query.astype(np.int32), [{"d": int(d), "low": int(tables.lows[i]), "code": tables.codes[i].astype(np.int32)} for i, d in zip(rows, dist, strict=True)]))
-            yield pd.DataFrame(out, columns=["code", "found"])
+    return pd.DataFrame(out, columns=["code", "found"])

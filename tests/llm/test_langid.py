@@ -55,3 +55,24 @@ def test_slices_count_every_gram_once():
     assert len(text) > 2 * langid.SLICE and count.sum() == 3 * (len(text) + 2) - 3
     short = langid.sparse("ab c")[1].sum()
     assert short == 6 + 5 + 4
+
+
+def test_temperature_is_found_again_and_has_no_edge():
+    r = np.random.default_rng(4)
+    z = r.normal(size=(20_000, 4)) * 2
+    p = np.exp(z - z.max(axis=1, keepdims=True))
+    y = np.array([r.choice(4, p=x / x.sum()) for x in p])
+    for t in (0.2, 1.0, 7.0):
+        assert abs(langid.temperature(z * t, y) / t - 1) < 0.06
+    apart = np.eye(4)[np.arange(400) % 4] * 30.0  # told apart without an error
+    t = langid.temperature(apart, np.arange(400) % 4)
+    score = 1 / (1 + 3 * np.exp(-30.0 / t))
+    assert abs(score - 401 / 404) < 1e-4
+
+
+def test_too_many_labels_are_refused(spark):
+    import pytest
+
+    docs = spark.createDataFrame([(k, "some text", f"l{k}") for k in range(40)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError):
+        langid.fit(docs, most=10)
