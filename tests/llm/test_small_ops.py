@@ -98,7 +98,7 @@ def test_shards_are_equal_in_bytes_and_keep_equal_texts(spark):
     r = random.Random(5)
     texts = ["ä" * r.randrange(0, 900) + str(k) for k in range(1500)]
     rows = [(k, r.choice(texts), r.choice(["en", "de", None]), r.choice(["x", "y", "z"])) for k in range(4000)] + [(9000 + k, "copy " * 300, "en", "x") for k in range(400)] + [(99_000, None, None, None), (99_001, "", "en", None)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumns({"shard": F.lit("a"), "size": F.lit(None), "h": F.lit(1), "mode": F.lit(2)})
     got = {x["doc_id"]: x for x in sharding.assign(docs).collect()}
     assert len(got) == len(rows)
     load, slots, homes = [0] * 16, [[] for _ in range(16)], {}
@@ -120,6 +120,34 @@ def test_shards_of_nothing_and_of_one_text(spark):
     assert len(same) == 16 and all(9 <= r["count"] <= 11 for r in same)
 
 
+def test_coarse_units_stay_near_their_place_and_shares_equal(spark):
+    r = random.Random(12)
+    rows = [(k, "x" * r.choice([5, 20, 40, 3000, 9000]) + str(k), r.choice(["en", "de", "fr", "es"]), r.choice("abcdefgh")) for k in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got, load = {x["doc_id"]: x for x in sharding.assign(docs, whole=0.01).collect()}, [0] * 16
+    for x in got.values():
+        load[x["shard"]] += x["size"]
+    assert max(load) - min(load) <= 0.02 * sum(load) / 16
+    langs = [len({lang for k, _, lang, _ in rows if got[k]["shard"] == s}) for s in range(16)]
+    assert sum(langs) / 16 < 2.6  # four, were units dealt out anywhere
+
+
+def test_settling_and_rooms():
+    assert sharding.settle([(5, 4), (6, 4), (95, 9), (94, 2)], 10, 10) == ([0, 0, 9, 8], [8, 0, 0, 0, 0, 0, 0, 0, 2, 9])
+    assert sharding.settle([(1, 10), (1, 10), (1, 10)], 10, 2)[1] == [20, 10]
+    assert sharding.rooms([0, 4, 9], 5) == [4.5, 0.5, 0.0] and sharding.rooms([1, 1], 0) == [0, 0]
+
+
+def test_written_shards_hold_every_row(spark, tmp_path):
+    rows = [(k % 90, f"text {k}", r, None) for k, r in enumerate(["en", "de"] * 50)] + [(None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("slot", F.lit("clash"))
+    plan = sharding.assign(docs)
+    sharding.write(docs, plan, str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted((str(x["doc_id"]), x["text"]) for x in back.collect()) == sorted((str(a), b) for a, b, *_ in rows)
+    sharding.write(docs.limit(0), plan.limit(0), str(tmp_path / "none"))
+
+
 # Exact top-k search
 
 def test_search_as_brute_force(spark):
@@ -130,7 +158,8 @@ def test_search_as_brute_force(spark):
     rows = [(k, [int(x) for x in c]) for k, c in enumerate(codes)] + [(5000, None), (None, [1, 2, 3, 4]), (3, [int(x) for x in codes[3]])]
     df = spark.createDataFrame(rows, "vec_id long, code array<int>")
     got = {}
-    for x in hamming.search(df, df.where("vec_id % 20 = 0"), k=7, shard_codes=200).collect():
+    clash = df.withColumns({"shard": F.lit("a"), "salt": F.lit(None), "block": F.lit(3), "query_id": F.lit(1)})
+    for x in hamming.search(clash, clash.where("vec_id % 20 = 0"), k=7, shard_codes=200, block=5).collect():
         got.setdefault(x["query_id"], []).append((x["rank"], x["distance"], x["vec_id"]))
     for q in range(0, 700, 20):
         d = np.bitwise_count((codes ^ codes[q]).astype(np.uint16)).sum(axis=1)
