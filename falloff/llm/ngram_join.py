@@ -21,8 +21,10 @@ LENGTHS = (0.0, 0.03, 0.1, 0.2)
 FIRST = 0.05
 #: A set's first tokens: by the first few it finds leaders, by all of them it chooses one.
 HEADS, MEETINGS, LEADERS = 32, 8, 6
-#: Sets of one group that are held in one block.
-BLOCK = 256
+#: Sets of one group that are held in one block, and so many of a block in a token's list that the block is met whole.
+BLOCK, DENSE = 256, 32
+#: Stands for all classes of a block.
+ALL = np.iinfo(np.int64).min
 #: Bytes of text that are hashed at a time.
 _SLICE = 1 << 20
 #: Bits of the map of wanted rows that is broadcast: 2 MB whatever the input.
@@ -486,20 +488,37 @@ def _candidates(entries: DataFrame, homes: DataFrame, buckets: int, percent: int
     def across(token, owner, probe, component, size, need, place, block) -> Iterator[pd.DataFrame]:
         """All pairs of fitting size of different components, in frames of bounded size.
 
-        A pair needs more overlap than either set alone: its token must stand in prefixes shortened by that.
+        A pair needs more overlap than either set alone: its token must stand in prefixes shortened by that. Where many of a
+        list are in one block, sets meet that block as a whole, which names no pairs.
         """
         low = place * size // 256
         _, run = np.unique(token, return_inverse=True)
         least, most = _needed(size, percent), 100 * size // percent
+        asks = np.flatnonzero(probe > 0)
+        asks = asks[np.argsort(run[asks], kind="stable")]
+        ask_run = run[asks]
+        order = np.lexsort((block, run))
+        at = np.flatnonzero(np.append(True, (np.diff(run[order]) != 0) | (np.diff(block[order]) != 0)))
+        width = np.diff(np.append(at, len(order)))
+        alone = np.sort(order[np.repeat(width < DENSE, width)])
+        x, y = [asks[:0]], [block[:0]]
+        for start, n in zip(at[width >= DENSE].tolist(), width[width >= DENSE].tolist(), strict=True):
+            one = order[start : start + n]
+            mine = asks[np.searchsorted(ask_run, run[one[0]]) : np.searchsorted(ask_run, run[one[0]], "right")]
+            mine = mine[(least[mine] <= size[one].max()) & (most[mine] >= size[one].min())]
+            low_of, high_of = component[one].min(), component[one].max()
+            mine = mine[(component[mine] != low_of) | (component[mine] != high_of)]
+            x.append(mine)
+            y.append(np.full(len(mine), block[one[0]], dtype=np.int32))
+        x, to = _different(owner[np.concatenate(x)], np.concatenate(y))
+        yield from _dealt(to, x=x, y=np.full(len(x), ALL))
         # Those of one component in a token's list: large ones are met one by one, so that none meets itself.
-        order = np.lexsort((size, component, run))
-        at = np.flatnonzero(np.append(True, (np.diff(run[order]) != 0) | (np.diff(component[order]) != 0)))
+        order = alone[np.lexsort((size[alone], component[alone], run[alone]))]
+        at = np.flatnonzero(np.append(True, (np.diff(run[order]) != 0) | (np.diff(component[order]) != 0))) if len(order) else order
         width = np.diff(np.append(at, len(order)))
         little = order[np.repeat(width <= 32, width)]
         little = little[np.lexsort((size[little], run[little]))]
         key = run[little] * (1 << 40) + size[little]
-        asks = np.flatnonzero(probe > 0)
-        asks = asks[np.argsort(run[asks], kind="stable")]
         a, b = np.searchsorted(key, run[asks] * (1 << 40) + least[asks]), np.searchsorted(key, run[asks] * (1 << 40) + most[asks], "right")
 
         def fit(who: np.ndarray, other: np.ndarray) -> np.ndarray:
@@ -509,7 +528,6 @@ def _candidates(entries: DataFrame, homes: DataFrame, buckets: int, percent: int
 
         found = _Found(owner, block, fit)
         yield from found.ranges(asks, a, b, little)
-        ask_run = run[asks]
         for start, n in zip(at[width > 32].tolist(), width[width > 32].tolist(), strict=True):
             one = order[start : start + n]
             mine = asks[np.searchsorted(ask_run, run[one[0]]) : np.searchsorted(ask_run, run[one[0]], "right")]
@@ -591,12 +609,13 @@ class _Found:
 
 
 def _requests(candidates: DataFrame) -> DataFrame:
-    """(bucket, x, ys) of candidates (bucket, x, y): what each x is to be compared with in a bucket, once."""
+    """(bucket, x, ys) of candidates (bucket, x, y): what each x is to be compared with in a bucket, once, or ALL alone."""
 
     def requests(rows: pd.DataFrame) -> pd.DataFrame:
         x, y = _different(_joined(rows, "x", np.int64), _joined(rows, "y", np.int64))
         at = np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, dtype=int)
-        return pd.DataFrame({"bucket": np.int32(rows["bucket"].iloc[0]), "x": x[at], "ys": np.split(y, at[1:]) if len(at) else []})
+        ys = [k[:1] if k[0] == ALL else k for k in np.split(y, at[1:])] if len(at) else []
+        return pd.DataFrame({"bucket": np.int32(rows["bucket"].iloc[0]), "x": x[at], "ys": ys})
 
     return candidates.groupBy("bucket").applyInPandas(requests, "bucket int, x long, ys array<long>")
 
@@ -610,7 +629,9 @@ def _compared(asked: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): a forest of the links among those asked for, (bucket, x, ys). Sets (class, tokens, bucket) come to the bucket
     of y: that of each y once, that of x once for each bucket with candidates; those that nobody asks for stay where they are."""
     asked = cut(asked, "ngram-asked")
-    met = cut(asked.mapInPandas(_classes_in, "class long").distinct(), "ngram-met")
+    whole = asked.where(F.array_contains("ys", ALL)).select("bucket").distinct()
+    met = asked.mapInPandas(_classes_in, "class long").union(sets.select("class", "bucket").join(whole, "bucket", "left_semi").select("class"))
+    met = cut(met.distinct(), "ngram-met")
     sets = sets.join(F.broadcast(met) if met.count() * 16 <= BROADCAST_BYTES else met, "class", "left_semi")
     asked = asked.join(sets.select(F.col("class").alias("x"), F.col("tokens").alias("xs")), "x")
 
@@ -640,7 +661,7 @@ class _Block:
     def linked(self, s: np.ndarray, ys: np.ndarray, percent: int) -> np.ndarray:
         """Those of the classes ``ys`` that are in the block and link with the set ``s``."""
         at = np.searchsorted(self.classes, ys).clip(max=len(self.classes) - 1)
-        at = at[self.classes[at] == ys]
+        at = at[self.classes[at] == ys] if ALL not in ys else np.arange(len(self.classes))
         at = at[100 * np.minimum(self.size[at], len(s)) >= percent * np.maximum(self.size[at], len(s))]
         same = self._by_owner(s)[at] if len(at) > 8 else np.array([_common(s, self.sets[k]) for k in at], dtype=np.int64)
         return self.classes[at[100 * same >= percent * (len(s) + self.size[at] - same)]]
