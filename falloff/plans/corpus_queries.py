@@ -198,8 +198,8 @@ def separate_destinations(spark, sf_dir):
 def merge_keeps(spark, sf_dir):
     k = F.col("o_orderkey")
     rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("rel"), k.alias("path"), "o_orderstatus", "o_orderpriority")
-    old = rows.where("path % 3 <> 0").select("rel", "path", F.when(F.col("o_orderstatus") == "F", "delivered").when(F.col("o_orderstatus") == "O", "failed").otherwise("other").alias("status"), F.lit("old").alias("message"))
-    new = rows.where("path % 2 = 0").select("rel", "path", F.when(F.col("o_orderpriority") < "3", "delivered").otherwise("skipped").alias("status"), F.lit("new").alias("message"))
+    old = rows.select("rel", "path", F.when(F.col("o_orderstatus") == "F", "delivered").when(F.col("o_orderstatus") == "O", "failed").otherwise("other").alias("status"), F.lit("old").alias("message"))
+    new = rows.select("rel", F.when(F.col("path") % 2 == 0, F.col("path")).otherwise(-F.col("path")).alias("path"), F.when(F.col("o_orderpriority") < "3", "delivered").otherwise("skipped").alias("status"), F.lit("new").alias("message"))
     return corpus.merge_keeps(old, new)
 
 
@@ -240,7 +240,8 @@ def log_row(spark, sf_dir):
 
 def upsert_log(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("test_id"), F.col("o_totalprice").alias("value"), F.col("o_orderstatus").alias("status"))
-    return log.upsert(orders.where("test_id % 3 <> 0"), orders.where("test_id % 2 = 0").select("test_id", (F.col("value") * 2).alias("value")))
+    new = F.when(F.col("test_id") % 2 == 0, F.col("test_id")).otherwise(-F.col("test_id"))
+    return log.upsert(orders, orders.select(new.alias("test_id"), (F.col("value") * 2).alias("value")))
 
 
 def orphans(spark, sf_dir):
@@ -262,9 +263,10 @@ def next_new(spark, sf_dir):
 
 
 def dayfirst_sniff(spark, sf_dir):
-    d, m, y = F.dayofmonth("ts").cast("string"), F.month("ts").cast("string"), F.year("ts").cast("string")
+    most = 10 + F.col("user_id") % 7  # days over a user's most are written as a day before
+    d, m, y = (F.pmod(F.dayofmonth("ts") - 1, most) + 1).cast("string"), F.month("ts").cast("string"), F.year("ts").cast("string")
     text = F.when(F.col("user_id") % 2 == 1, F.concat_ws("/", d, m, y)).otherwise(F.concat_ws("/", m, d, y))
-    rows = table(spark, sf_dir, "events").where(F.dayofmonth("ts") <= 10 + F.col("user_id") % 7).select("user_id", text.alias("date"))
+    rows = table(spark, sf_dir, "events").select("user_id", text.alias("date"))
     return rows.groupBy("user_id").agg(tx.day_first("date").alias("day_first"))
 
 
@@ -416,8 +418,8 @@ WHERE status NOT IN ('', 'unsure') AND (g.rel IS NULL OR n_wells <> 1 OR decided
 r AS (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY src) AS r FROM m), t AS (SELECT src, r, CASE WHEN r = 1 THEN dst ELSE 'out/' || named || '.csv' END AS t FROM r),
 k AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY r, src) AS k FROM t)
 SELECT src, CASE WHEN k = 1 THEN t ELSE left(t, length(t) - 4) || ' (' || k || ').csv' END AS dst FROM k""",
-    "merge_keeps": """WITH b AS (SELECT o_custkey AS rel, o_orderkey AS path, CASE o_orderstatus WHEN 'F' THEN 'delivered' WHEN 'O' THEN 'failed' ELSE 'other' END AS status, 'old' AS message, 0 AS run FROM orders WHERE o_orderkey % 3 <> 0
-  UNION ALL SELECT o_custkey, o_orderkey, CASE WHEN o_orderpriority < '3' THEN 'delivered' ELSE 'skipped' END, 'new', 1 FROM orders WHERE o_orderkey % 2 = 0)
+    "merge_keeps": """WITH b AS (SELECT o_custkey AS rel, o_orderkey AS path, CASE o_orderstatus WHEN 'F' THEN 'delivered' WHEN 'O' THEN 'failed' ELSE 'other' END AS status, 'old' AS message, 0 AS run FROM orders
+  UNION ALL SELECT o_custkey, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey ELSE -o_orderkey END, CASE WHEN o_orderpriority < '3' THEN 'delivered' ELSE 'skipped' END, 'new', 1 FROM orders)
 SELECT rel, path, status, message FROM b QUALIFY row_number() OVER (PARTITION BY rel, path ORDER BY CASE WHEN status = 'delivered' THEN 2 WHEN status IN ('failed', 'skipped') THEN 1 ELSE 0 END DESC, run DESC) = 1""",
     "status": _STATUS,
     "infer_steps": "SELECT o_orderkey, concat_ws(',', " + ", ".join(f"CASE WHEN (o_orderkey >> {k}) % 3 = 0 THEN '{x}' END" for k, x in enumerate(log.STEPS)) + ") AS steps FROM orders",
@@ -425,12 +427,12 @@ SELECT rel, path, status, message FROM b QUALIFY row_number() OVER (PARTITION BY
     "log_row": _ALL
     + """SELECT test_id, '' AS closure_quality, '' AS pp_confidence, CASE WHEN ce IS NOT NULL THEN 'compliance' WHEN te_ IS NOT NULL THEN 'tangent' ELSE '' END AS net_pressure_source, round(qmax, 4) AS max_rate, round(apparent, 3) AS "apparent_ISIP",
   round(ce, 2) AS "effective_ISIP", round(cp - 75, 2) AS "Shmin_compliance", round(ct / 60, 2) AS closure_time_compliance_min, round(tt / 60, 2) AS closure_time_tangent_min, round(apparent - ref, 2) AS near_wellbore_complexity FROM res""",
-    "upsert_log": """SELECT o_orderkey AS test_id, o_totalprice AS value, o_orderstatus AS status FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey % 2 <> 0
-UNION ALL SELECT o_orderkey, o_totalprice * 2, NULL FROM orders WHERE o_orderkey % 2 = 0""",
+    "upsert_log": """SELECT o_orderkey AS test_id, o_totalprice AS value, o_orderstatus AS status FROM orders WHERE o_orderkey % 2 <> 0
+UNION ALL SELECT CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey ELSE -o_orderkey END, o_totalprice * 2, NULL FROM orders""",
     "orphans": "SELECT o_custkey AS test_id, o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)",
     "queue_progress": f"SELECT count(*) AS total, count(*) FILTER (WHERE status IN ('done', 'skipped')) AS finished FROM ({_STATUS})",
     "next_new": "SELECT arg_min(c_custkey, (c_custkey - 701 + 1000 * n) % n) AS ord FROM customer, (SELECT count(*) AS n FROM customer) WHERE c_custkey % 97 = 3",
-    "dayfirst_sniff": """WITH x AS (SELECT user_id, day(ts) AS d, month(ts) AS m FROM events WHERE day(ts) <= 10 + user_id % 7)
+    "dayfirst_sniff": """WITH x AS (SELECT user_id, (day(ts) - 1) % (10 + user_id % 7) + 1 AS d, month(ts) AS m FROM events)
 SELECT user_id, CASE WHEN user_id % 2 = 1 THEN max(d) > 12 OR (count(DISTINCT m) = 1 AND count(DISTINCT d) > 1) ELSE FALSE END AS day_first FROM x GROUP BY user_id""",
     "parse_cascade": """SELECT event_id, CASE WHEN event_id % 5 IN (0, 2) THEN strftime(ts, '%Y-%m-%d %H:%M:%S') WHEN event_id % 5 = 1 THEN strftime(ts, '%Y-%m-%d 12:00:00') WHEN event_id % 5 = 3 THEN strftime(ts, '%Y-%m-%d 00:00:00') END AS parsed FROM events""",
     "ms_colon": "SELECT event_id, hour(ts) || strftime(ts, ':%M:%S.') || lpad((event_id % 1000)::VARCHAR, 3, '0') AS fixed FROM events",

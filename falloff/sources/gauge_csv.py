@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import csv
 import io
+import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import pairwise
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,12 +18,14 @@ from falloff.operators import series as s
 from falloff.plans.staging import staged
 from falloff.sources.files import listing
 
-#: Words in column names that tell a channel's role, and units of elapsed time in seconds.
-FLOW_WORDS = ("rate", "volume", "vol", "total", "press", "temp")
-UNITS = {"s": 1.0, "sec": 1.0, "secs": 1.0, "seconds": 1.0, "m": 60.0, "min": 60.0, "mins": 60.0, "minutes": 60.0, "h": 3600.0, "hr": 3600.0, "hrs": 3600.0, "hours": 3600.0, "d": 86400.0, "days": 86400.0}
+#: Words in column names that tell a channel's role, words that rule it out, and units of elapsed time in seconds.
+PRESSURE, BOTTOMHOLE, RATE, VOLUME = ("press", "bhp", "whp", "psi"), ("bhp", "bottom"), ("rate", "bpm", "flow", "slurry"), ("vol", "bbl")
+CLOCK, ELAPSED = ("date", "time"), ("delta", "elapsed")
+NO_VOLUME, NO_CLOCK, NO_ELAPSED = ("rate",), ("rate", "vol", "press"), ("rate", "vol", "press", "temp")
+UNITS = {"s": 1.0, "sec": 1.0, "secs": 1.0, "second": 1.0, "seconds": 1.0, "min": 60.0, "mins": 60.0, "minute": 60.0, "minutes": 60.0, "hr": 3600.0, "hrs": 3600.0, "hour": 3600.0, "hours": 3600.0}
 PROBE = 20
 
-ROWS = "path string, idx long, date string, time string, elapsed double, channels map<string,double>, error string"
+ROWS = "path string, idx long, date string, time string, elapsed double, channels map<string,double>, p double, rate double, volume double, p_is_bhp boolean, error string"
 
 
 def is_number(field: str) -> bool:
@@ -43,60 +47,74 @@ def header_line(rows: list[list[str]]) -> int:
 
 
 def roles(names: list[str]) -> dict[str, int | None]:
-    """Columns of date, time of day and elapsed time, and the first of pressure, rate and volume, by their names."""
+    """Columns of date, time of day, pressure (one at the bottom of the hole first), rate and volume: the first in the file whose
+    name has a word of the role. A first clock that is named like a channel is none; a time of day counts only beside a date
+    without one."""
     low = [n.strip().lower() for n in names]
-    flow = [any(w in n for w in FLOW_WORDS) for n in low]
-    first = lambda test: next((k for k, n in enumerate(low) if test(n, flow[k])), None)
-    date = first(lambda n, f: not f and any(w in n for w in ("date", "timestamp")) and "elapsed" not in n and "delta" not in n)
-    if date is None:
-        date = first(lambda n, f: not f and "time" in n and "elapsed" not in n and "delta" not in n)
-    time = first(lambda n, f: not f and n == "time") if date is not None and "time" not in low[date] else None
-    return {
-        "date": date, "time": None if time == date else time, "elapsed": first(lambda n, f: not f and ("elapsed" in n or "delta" in n)),
-        "pressure": first(lambda n, f: "press" in n), "rate": first(lambda n, f: "rate" in n), "volume": first(lambda n, f: "vol" in n or "total" in n),
-    }
 
+    def first(words: tuple[str, ...], without: tuple[str, ...] = ()) -> int | None:
+        return next((k for k, n in enumerate(low) if any(w in n for w in words) and not any(w in n for w in without)), None)
 
-def elapsed_unit(name: str) -> float:
-    """Seconds of the unit in a name's round brackets, or at its end; minutes if there is none."""
-    low = name.lower().replace(")", "").replace("(", " ").replace("_", " ").split()
-    return next((UNITS[w] for w in reversed(low) if w in UNITS), 60.0)
+    date, bottom = first(CLOCK), first(BOTTOMHOLE)
+    date = None if date is not None and any(w in low[date] for w in NO_CLOCK) else date
+    alone = date is not None and "time" not in low[date]
+    time = next((k for k, n in enumerate(low) if n.split("(")[0].strip() == "time"), None) if alone else None
+    return {"date": date, "time": time, "bottom": bottom, "pressure": first(PRESSURE) if bottom is None else bottom, "rate": first(RATE), "volume": first(VOLUME, NO_VOLUME)}
+
+
+def elapsed_unit(name: str) -> float | None:
+    """Seconds of the unit in a name's first round brackets; null if there is none that is known."""
+    inside = name.lower().partition("(")[2].partition(")")
+    return UNITS.get(inside[0].strip()) if inside[1] else None
+
+
+def elapsed_of(names: list[str], rows: list[list[str]]) -> list[float | None] | None:
+    """Elapsed seconds of the rows from the first column that is named so, has a unit, never falls and rises at all."""
+    for k, name in enumerate(n.lower() for n in names):
+        unit = elapsed_unit(name)
+        if unit is None or not any(w in name for w in ELAPSED) or any(w in name for w in NO_ELAPSED):
+            continue
+        values = [float(r[k]) if k < len(r) and is_number(r[k]) else math.nan for r in rows]
+        known = [v for v in values if math.isfinite(v)]
+        if len(known) >= 2 and known[-1] > known[0] and all(a <= b for a, b in pairwise(known)):
+            return [v * unit if math.isfinite(v) else None for v in values]
+    return None
 
 
 def parse(content: bytes) -> Iterator[tuple]:
-    """(idx, date, time, elapsed, channels, error) of a file; one row with an error if it can't be told apart into columns.
+    """(idx, date, time, elapsed, channels, p, rate, volume, p_is_bhp, error) of a file; one row with an error if it can't be told apart into columns.
 
     A row wider than both header and first row of data is an error unless what stands above the true header explains it;
     short rows are filled up with nothing, a last field that is empty in every row is dropped.
     """
     rows = [r for r in csv.reader(io.StringIO(content.decode("utf-8-sig", "replace"))) if r]
     if len(rows) < 2:
-        yield 0, None, None, None, None, "no rows"
+        yield 0, *[None] * 8, "no rows"
         return
     head = 0
     if max(map(len, rows)) > max(len(rows[0]), len(rows[1])):
         head = header_line(rows)
         if head == 0 or max(len(r) for r in rows[head:]) > max(len(rows[head]), len(rows[min(head + 1, len(rows) - 1)])):
-            yield 0, None, None, None, None, "rows are wider than the header"
+            yield 0, *[None] * 8, "rows are wider than the header"
             return
     names = [n.strip() for n in rows[head]]
     wide = max((len(r) for r in rows[head + 1 :]), default=0)
     if wide > len(names) and any(f.strip() for r in rows[head + 1 :] for f in r[len(names) :]):
-        yield 0, None, None, None, None, "rows are wider than the header"
+        yield 0, *[None] * 8, "rows are wider than the header"
         return
     at = roles(names)
     date = at["date"] if at["date"] is not None else 0
-    unit = elapsed_unit(names[at["elapsed"]]) if at["elapsed"] is not None else 0.0
+    elapsed = elapsed_of(names, rows[head + 1 :])
     values = [k for k in range(len(names)) if k not in (date, at["time"])]
     for idx, r in enumerate(rows[head + 1 :]):
         r = [*r, *[""] * (len(names) - len(r))]
         channels = {names[k]: float(r[k]) for k in values if is_number(r[k])}
-        elapsed = float(r[at["elapsed"]]) * unit if at["elapsed"] is not None and is_number(r[at["elapsed"]]) else None
-        yield idx, r[date].strip() or None, r[at["time"]].strip() or None if at["time"] is not None else None, elapsed, channels, None
+        p, rate, volume = (float(r[at[c]]) if at[c] is not None and is_number(r[at[c]]) else None for c in ("pressure", "rate", "volume"))
+        yield idx, r[date].strip() or None, r[at["time"]].strip() or None if at["time"] is not None else None, elapsed[idx] if elapsed else None, channels, p, rate, volume, at["bottom"] is not None, None
 
 
 def _rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = ["path", "idx", "date", "time", "elapsed", "channels", "error"]
+    columns = ["path", "idx", "date", "time", "elapsed", "channels", "p", "rate", "volume", "p_is_bhp", "error"]
     for batch in batches:
         for path, content in zip(batch["path"], batch["content"], strict=True):
             held = []
@@ -126,22 +144,12 @@ def timed(rows: DataFrame, key: str = "path") -> DataFrame:
 
 
 def read_gauge_csv(spark: SparkSession, root: str) -> DataFrame:
-    """(path, idx, ts, t_s, channels, error, test_id) of every csv under ``root``; a file is parsed in one task."""
+    """(path, idx, ts, t_s, channels, p, rate, volume, p_is_bhp, error, test_id) of every csv under ``root``; a file is parsed in one task."""
     found = listing(spark, root, "*.[cC][sS][vV]", content=True).select("path", "content")
     return timed(staged(found.mapInPandas(_rows, ROWS), "gauge-csv"))
 
 
 
-def channel(rows: DataFrame, needle: str) -> DataFrame:
-    """(path, name): of each file the first channel, by name, that holds ``needle``."""
-    names = rows.where(F.col("channels").isNotNull()).select("path", F.explode(F.map_keys("channels")).alias("name")).where(F.contains(F.lower("name"), F.lit(needle)))
-    return names.groupBy("path").agg(F.min("name").alias("name"))
-
-
 def as_samples(rows: DataFrame) -> DataFrame:
-    """(test_id, idx, t_s, p, rate, volume) by the names of channels; null where a file has none."""
-    out = rows
-    for needle, column in (("press", "p"), ("rate", "rate"), ("vol", "volume")):
-        found = channel(rows, needle).withColumnsRenamed({"path": "_path", "name": "_name"})
-        out = out.join(found, F.col("path") == F.col("_path"), "left").withColumn(column, F.when(F.col("_name").isNotNull(), F.try_element_at("channels", F.col("_name")))).drop("_path", "_name")
-    return out.select("test_id", F.col("idx"), "t_s", "p", "rate", "volume")
+    """(test_id, idx, t_s, p, rate, volume) of files that could be read; null where a file has no such channel."""
+    return rows.where(F.col("error").isNull()).select("test_id", "idx", "t_s", "p", "rate", "volume")

@@ -9,14 +9,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from falloff.sources.files import listing
+from falloff.sources.gauge_csv import roles
 
 #: Fixed values of the layout: magic bytes, offsets of the header, bytes of a channel's record.
 MAGIC = b"\x77\xef\xcd\xab"
 CHANNELS_AT, SAMPLES_AT, INTERVAL_AT, DATA_AT, HEADER, RECORD = 0x2B4, 0x2B8, 0x2C0, 0x2CC, 0x334, 84
 
-ROWS = "path string, idx long, t_s double, channels map<string,double>, error string"
+ROWS = "path string, idx long, t_s double, channels map<string,double>, p double, rate double, volume double, p_is_bhp boolean, error string"
 
 
 def channel_names(records: list[bytes]) -> list[str]:
@@ -57,16 +59,21 @@ def _rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             try:
                 names, rows, seconds = parse(content)
             except ValueError as e:
-                yield pd.DataFrame({"path": [path], "idx": [0], "t_s": [None], "channels": [None], "error": [str(e)]})
+                yield pd.DataFrame({"path": [path], "idx": [0]} | {c: [None] for c in ("t_s", "channels", "p", "rate", "volume", "p_is_bhp")} | {"error": [str(e)]})
                 continue
-            for at in range(0, len(rows), 50_000):
-                part = rows[at : at + 50_000]
+            at = roles(names)
+            for begin in range(0, len(rows), 50_000):
+                part = rows[begin : begin + 50_000]
                 values = part["v"].astype(float)
                 maps = [{n: v for n, v in zip(names, r, strict=True) if math.isfinite(v)} for r in values.tolist()]
-                yield pd.DataFrame({"path": path, "idx": np.arange(at, at + len(part)), "t_s": part["idx"] * seconds, "channels": maps, "error": None})
+                mine = {c: None if at[r] is None else np.where(np.isfinite(values[:, at[r]]), values[:, at[r]], np.nan) for c, r in (("p", "pressure"), ("rate", "rate"), ("volume", "volume"))}
+                yield pd.DataFrame({"path": path, "idx": np.arange(begin, begin + len(part)), "t_s": part["idx"] * seconds, "channels": maps, **mine, "p_is_bhp": at["bottom"] is not None, "error": None})
 
 
 def read_gauge_dbs(spark: SparkSession, root: str) -> DataFrame:
-    """(path, idx, t_s, channels, error) of every .dbs under ``root``; a file that can't be read is one row with its error."""
+    """(path, idx, ts, t_s, channels, p, rate, volume, p_is_bhp, error, test_id) of every .dbs under ``root``; a file that can't
+    be read is one row with its error. ts counts from 1970."""
     found = listing(spark, root, "*.[dD][bB][sS]", content=True).select("path", "content")
-    return found.mapInPandas(_rows, ROWS)
+    ts = F.expr("timestamp_ntz'1970-01-01 00:00:00'") + F.make_dt_interval(secs=F.col("t_s").cast("decimal(18,6)"))
+    number = {c: F.nanvl(F.col(c), F.lit(None)) for c in ("p", "rate", "volume")}
+    return found.mapInPandas(_rows, ROWS).withColumns({**number, "ts": ts, "test_id": F.col("path")})

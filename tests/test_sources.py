@@ -79,9 +79,9 @@ def test_csv_shapes(spark, tmp_path):
 
 
 def test_roles_and_headers():
-    assert gauge_csv.roles(["Date", "Time", "Rate (bpm)", "Total Volume", "Casing Pressure"]) == {"date": 0, "time": 1, "elapsed": None, "pressure": 4, "rate": 2, "volume": 3}
+    assert gauge_csv.roles(["Date", "Time", "Rate (bpm)", "Total Volume", "Casing Pressure"]) == {"date": 0, "time": 1, "bottom": None, "pressure": 4, "rate": 2, "volume": 3}
     assert gauge_csv.header_line([["x"], ["a", "b"], ["1", "2"], ["3", "4"]]) == 1
-    assert gauge_csv.elapsed_unit("Elapsed (sec)") == 1 and gauge_csv.elapsed_unit("Delta(Hrs)") == 3600 and gauge_csv.elapsed_unit("delta") == 60
+    assert gauge_csv.elapsed_unit("Elapsed (sec)") == 1 and gauge_csv.elapsed_unit("Delta(Hrs)") == 3600 and gauge_csv.elapsed_unit("delta") is None
 
 
 def dbf(fields, records, cut_at=None):
@@ -140,3 +140,36 @@ def test_state_tolerates_other_versions(spark, tmp_path):
     assert [tuple(r) for r in state.read_log(spark, str(tmp_path / "log"), columns).collect()] == [("007", 1.5, None)]
     state.write_json(spark.createDataFrame([("a", ["x"])], "rel string, keeps array<string>"), str(tmp_path / "ledger"))
     assert state.read_json(spark, str(tmp_path / "ledger"), state.LEDGER).select("keeps", "status").collect() == [(["x"], None)]
+
+
+@pytest.mark.parametrize("names, date, time, pressure, rate, volume", [
+    (["Date/Time", "Casing (psi)", "BHP", "Slurry (bpm)", "Volume Rate", "Stage Vol (bbl)"], 0, None, 2, 3, 5),
+    (["Date", "Time (MST)", "WHP", "Flow"], 0, 1, 2, 3, None),
+    (["Date/Time", "Time", "Bottom Gauge", "Press"], 0, None, 2, None, None),
+    (["Rate time", "Date", "Pressure"], None, None, 2, 0, None),
+    (["idx", "Total bbl", "x"], None, None, None, None, 1),
+])
+def test_roles_of_columns(names, date, time, pressure, rate, volume):
+    at = gauge_csv.roles(names)
+    assert (at["date"], at["time"], at["pressure"], at["rate"], at["volume"]) == (date, time, pressure, rate, volume)
+    assert (at["bottom"] is not None) == any("bhp" in n.lower() or "bottom" in n.lower() for n in names)
+
+
+def test_elapsed_columns_need_a_unit_and_must_rise():
+    of = lambda name, *v: gauge_csv.elapsed_of(["a", name], [["", str(x)] for x in v])
+    assert of("Delta(Hrs)", 1, "x", 1.5) == [3600.0, None, 5400.0] and of("Elapsed (MIN)", 0, 0, 2) == [0, 0, 120]
+    assert of("Delta", 1, 2) is None and of("Elapsed (days)", 1, 2) is None and of("Delta Pressure(min)", 1, 2) is None
+    assert of("Delta(s)", 2, 1) is None and of("Delta(s)", 1, 1) is None and of("Delta(s)", 1) is None
+
+
+def test_one_reader_for_all_kinds(spark, tmp_path):
+    from falloff.sources import gauge
+
+    (tmp_path / "a.csv").write_text("Date/Time,Volume Rate,Casing (psi),BHP (kPa)\n1/2/2020 0:00:00,1,2,3\n1/2/2020 0:00:05,4,x,6\n")
+    (tmp_path / "b.dbs").write_bytes(dbs([("PA", "WHP"), ("RA", "Pump rate")], [(0, [7, 8]), (2, [math.nan, 9])]))
+    (tmp_path / "c.dbs").write_bytes(b"broken")
+    rows = gauge.read_gauge(spark, str(tmp_path)).withColumn("test_id", F.regexp_extract("test_id", r"([^/]+)$", 1)).cache()
+    got = [tuple(r) for r in gauge_csv.as_samples(rows).orderBy("test_id", "idx").collect()]
+    assert [(a, b, round(t, 3), *x) for a, b, t, *x in got] == [("a.csv", 0, 0, 3, 1, None), ("a.csv", 1, 5, 6, 4, None), ("b.dbs", 0, 0, 7, 8, None), ("b.dbs", 1, 2, None, 9, None)]
+    assert {(r["test_id"], r["p_is_bhp"]) for r in rows.collect()} == {("a.csv", True), ("b.dbs", False), ("c.dbs", None)}
+    assert [(r["test_id"], r["samples"], r["error"], r["channels"]) for r in gauge.list_tests(rows).collect()] == [("a.csv", 2, None, ["BHP (kPa)", "Casing (psi)", "Volume Rate"]), ("b.dbs", 2, None, ["Pump rate", "WHP"]), ("c.dbs", 0, "no gauge record", [])]
