@@ -294,7 +294,7 @@ def scan(steps: DataFrame, states: int, block: int = 64) -> DataFrame:
     return v
 
 
-def encode(docs: DataFrame, vocabulary: Pieces, id: str = "doc_id", text: str = "text", chunk: int = 1 << 13) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: Pieces, id: str = "doc_id", text: str = "text", chunk: int = 1 << 15) -> DataFrame:
     """(id, part, ids, n_chars, exact, n_ids, sum_ids, dot_ids): the ids of every document, one longer than a chunk in parts in order.
 
     Parts of a document put one after the other are the ids of the whole text, whatever the chunks. exact tells
