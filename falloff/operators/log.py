@@ -59,15 +59,42 @@ def next_new(entries: DataFrame, current: int) -> DataFrame:
     return entries.join(F.broadcast(total)).where(F.col("status") == "new").agg(F.min_by("ord", turn).alias("ord"))
 
 
+#: Quality and trend by the prefix of a scenario.
+CLOSURE_QUALITY = {"C-A": "clear", "C-B": "adequate", "C-C": "no-contact", "C-D": "rapid"}
+POSTCLOSURE_TREND = {"PC-A": "linear", "PC-B": "false-radial", "PC-C": "mixed", "PC-D": "mixed", "PC-E": "none", "PC-F": "none"}
+
+
+def by_prefix(scenario: Column, words: dict[str, str]) -> Column:
+    """The word of the prefix that ``scenario`` has; empty if it has none."""
+    out = F.lit("")
+    for head, word in words.items():
+        out = F.when(scenario.startswith(head), word).otherwise(out)
+    return out
+
+
+def low_confidence(postclosure: Column) -> Column:
+    return F.when(postclosure.startswith("PC-E") | postclosure.startswith("PC-F"), "low").otherwise("")
+
+
 def log_row(results: DataFrame) -> DataFrame:
-    """Log columns of interpretation results: units as logged, quality words by scenario prefix."""
+    """The log's 45 columns from interpretation results; what ``results`` lacks of a test's description is null.
+
+    Descriptions are file, well_name, formation, status, interpreter, review_date, is_bhp, tvd_ft, mw_ppg, t_start_inj, notes;
+    pressures count as WHP where is_bhp is false. Times in seconds go to minutes; orientation, fluid and play are left to the reader.
+    """
+    has = lambda c, kind: (F.col(c) if c in results.columns else F.lit(None)).cast(kind)
     closure, post = F.coalesce("closure_scenario", F.lit("")), F.coalesce("postclosure_scenario", F.lit(""))
-    head = F.substring(closure, 1, 3)
-    quality = F.when(head == "C-A", "clear").when(head == "C-B", "adequate").when(head == "C-C", "none").when(head == "C-D", "rapid").otherwise("")
-    minutes = lambda c: F.col(c) / 60.0
-    return results.select(
-        "test_id", F.col("t_shutin"), F.col("te"), F.col("vinj").alias("Vinj"), F.col("qmax").alias("max_rate"), F.col("apparent_isip").alias("apparent_ISIP"), F.col("eff_isip_compliance").alias("effective_ISIP"),
-        closure.alias("closure_scenario"), quality.alias("closure_quality"), F.col("pressure_compliance").alias("contact_pressure"), F.col("shmin_compliance").alias("Shmin_compliance"), F.col("shmin_tangent").alias("Shmin_tangent"),
-        post.alias("postclosure_scenario"), "pore_pressure", F.when(post.startswith("PC-E") | post.startswith("PC-F"), "low").otherwise("").alias("pp_confidence"), "net_pressure_compliance", "net_pressure_tangent", "delta_closure",
-        minutes("closure_time_compliance").alias("closure_time_compliance_min"), minutes("closure_time_tangent").alias("closure_time_tangent_min"), "net_pressure_source", F.col("complexity").alias("near_wellbore_complexity"),
-    )
+    minutes = {f"closure_time_{m}_min": F.col(f"closure_time_{m}") / 60.0 for m in ("compliance", "tangent", "variable")}
+    columns = {
+        "file": has("file", "string"), "test_id": F.col("test_id"), "well_name": has("well_name", "string"), "formation": has("formation", "string"), "status": has("status", "string"),
+        "interpreter": has("interpreter", "string"), "review_date": has("review_date", "date"), "orientation": F.lit(""), "fluid_type": F.lit(""), "play": F.lit(""),
+        "pressure_source": F.when(has("is_bhp", "boolean"), "BHP").when(~has("is_bhp", "boolean"), "WHP"), "tvd": has("tvd_ft", "double"), "fluid_density": has("mw_ppg", "double"), "t_start_inj": has("t_start_inj", "double"),
+        "t_shutin": F.col("t_shutin"), "te": F.col("te"), "Vinj": F.col("vinj"), "max_rate": F.col("qmax"), "apparent_ISIP": F.col("apparent_isip"), "effective_ISIP": F.col("eff_isip_compliance"),
+        "closure_scenario": closure, "closure_quality": by_prefix(closure, CLOSURE_QUALITY), "contact_pressure": F.col("pressure_compliance"), "Shmin_compliance": F.col("shmin_compliance"),
+        "Shmin_tangent": F.col("shmin_tangent"), "tangent_Gc": F.col("closure_G"), "postclosure_scenario": post, "postclosure_trend": by_prefix(post, POSTCLOSURE_TREND),
+        "pore_pressure": F.col("pore_pressure"), "pp_axis": has("pp_axis", "string"), "pp_confidence": low_confidence(post), "net_pressure_compliance": F.col("net_pressure_compliance"),
+        "net_pressure_tangent": F.col("net_pressure_tangent"), "delta_closure": F.col("delta_closure"), "notes": has("notes", "string"), "effective_ISIP_tangent": F.col("eff_isip_tangent"),
+        "effective_ISIP_variable": F.col("eff_isip_variable"), "Shmin_variable": F.col("shmin_variable"), "Shmin_rapid": F.col("shmin_rapid"), "net_pressure_variable": F.col("net_pressure_variable"), **minutes,
+        "net_pressure_isip_source": F.col("net_pressure_source"), "near_wellbore_complexity": F.col("complexity"),
+    }
+    return results.select(*[value.alias(name) for name, value in columns.items()])

@@ -235,7 +235,7 @@ def step_gate(spark, sf_dir):
 
 def log_row(spark, sf_dir):
     out = log.log_row(plan.interpret_all(samples(spark, sf_dir), step=STEP))
-    return out.select("test_id", "closure_quality", "pp_confidence", "net_pressure_source", *[F.round(F.col(c), n).alias(c) for c, n in {"max_rate": 4, "apparent_ISIP": 3, "effective_ISIP": 2, "Shmin_compliance": 2, "closure_time_compliance_min": 2, "closure_time_tangent_min": 2, "near_wellbore_complexity": 2}.items()])
+    return out.select("test_id", "closure_quality", "pp_confidence", "net_pressure_isip_source", *[F.round(F.col(c), n).alias(c) for c, n in {"max_rate": 4, "apparent_ISIP": 3, "effective_ISIP": 2, "Shmin_compliance": 2, "closure_time_compliance_min": 2, "closure_time_tangent_min": 2, "near_wellbore_complexity": 2}.items()])
 
 
 def upsert_log(spark, sf_dir):
@@ -425,7 +425,7 @@ SELECT rel, path, status, message FROM b QUALIFY row_number() OVER (PARTITION BY
     "infer_steps": "SELECT o_orderkey, concat_ws(',', " + ", ".join(f"CASE WHEN (o_orderkey >> {k}) % 3 = 0 THEN '{x}' END" for k, x in enumerate(log.STEPS)) + ") AS steps FROM orders",
     "step_gate": "SELECT o_orderkey, CASE WHEN o_orderkey % 6 = 2 AND o_orderkey % 4 <> 0 THEN 'closure scenario' WHEN o_orderkey % 6 = 4 AND o_orderkey % 5 = 0 THEN 'postclosure scenario' END AS missing FROM orders",
     "log_row": _ALL
-    + """SELECT test_id, '' AS closure_quality, '' AS pp_confidence, CASE WHEN ce IS NOT NULL THEN 'compliance' WHEN te_ IS NOT NULL THEN 'tangent' ELSE '' END AS net_pressure_source, round(qmax, 4) AS max_rate, round(apparent, 3) AS "apparent_ISIP",
+    + """SELECT test_id, '' AS closure_quality, '' AS pp_confidence, CASE WHEN ce IS NOT NULL THEN 'compliance' WHEN te_ IS NOT NULL THEN 'tangent' ELSE '' END AS net_pressure_isip_source, round(qmax, 4) AS max_rate, round(apparent, 3) AS "apparent_ISIP",
   round(ce, 2) AS "effective_ISIP", round(cp - 75, 2) AS "Shmin_compliance", round(ct / 60, 2) AS closure_time_compliance_min, round(tt / 60, 2) AS closure_time_tangent_min, round(apparent - ref, 2) AS near_wellbore_complexity FROM res""",
     "upsert_log": """SELECT o_orderkey AS test_id, o_totalprice AS value, o_orderstatus AS status FROM orders WHERE o_orderkey % 2 <> 0
 UNION ALL SELECT CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey ELSE -o_orderkey END, o_totalprice * 2, NULL FROM orders""",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from falloff.functions import formulas as fx
@@ -25,6 +25,22 @@ def with_all_picks(picks: DataFrame, step: float = 30.0) -> DataFrame:
     return out.withColumn("resample_step", F.coalesce("resample_step", F.lit(float(step))))
 
 
+def with_bottomhole(samples: DataFrame, channels: DataFrame) -> DataFrame:
+    """``samples`` with p at bottomhole, from channels (test_id, is_bhp, mw_ppg, tvd_ft).
+
+    Surface pressure takes the hydrostatic head of its fluid; where density or depth is null, or a test has no row in
+    ``channels``, p is null, since it can't be told.
+    """
+    known = channels.select(KEY, "is_bhp", "mw_ppg", "tvd_ft")
+    out = samples.join(known, KEY, "left").withColumn("p", fx.bottomhole_pressure(F.col("p"), F.col("is_bhp"), F.col("mw_ppg"), F.col("tvd_ft")))
+    return out.select(samples.columns)
+
+
+def inputs_ready(is_bhp: Column, ppg: Column, tvd_ft: Column) -> Column:
+    """Whether a test's pressure can be told at bottomhole."""
+    return F.coalesce(is_bhp, F.lit(False)) | (ppg.isNotNull() & tvd_ft.isNotNull())
+
+
 def pumping(samples: DataFrame, picks: DataFrame) -> DataFrame:
     """(test_id, t_shutin, qmax, vinj.., te): what the injection window gives."""
     window = picks.where(F.col("start_idx").isNotNull() & F.col("shutin_idx").isNotNull()).select(KEY, "start_idx", "shutin_idx", "qmax_bpm")
@@ -42,12 +58,14 @@ def falloff(samples: DataFrame, picks: DataFrame, pumped: DataFrame) -> DataFram
     return kept.withColumn("n_kept", F.count("*").over(s.whole())).where(F.col("n_kept") >= 3).join(pumped.select(KEY, "te"), KEY)
 
 
-def interpret(samples: DataFrame, picks: DataFrame, alpha: float = 1.0, step: float = 30.0) -> DataFrame:
+def interpret(samples: DataFrame, picks: DataFrame, alpha: float = 1.0, step: float = 30.0, channels: DataFrame | None = None) -> DataFrame:
     """One row for each test of ``picks``: every derived value its picks support, null where they don't.
 
     ``samples`` has test_id, idx, t_s, p, rate, volume. All tests are computed together: each table below is keyed
-    by test_id, and after resampling holds a few hundred rows a test.
+    by test_id, and after resampling holds a few hundred rows a test. With ``channels`` p is first brought to bottomhole.
     """
+    if channels is not None:
+        samples = staged(with_bottomhole(samples, channels), "bottomhole")
     picks = with_all_picks(picks, step)
     pumped = staged(pumping(samples, picks), "pumped")
     resampled = staged(falloff(samples, picks, pumped), "resampled")

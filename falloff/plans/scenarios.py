@@ -35,3 +35,44 @@ def scenario_contacts(diag: DataFrame, picks: DataFrame, refresh: bool = False)
     hint = F.when(missed & is_("C-A"), "no rise after the minimum").when(missed, "no inflection")
     contact = F.when(is_("C-C", "C-D"), F.lit(None)).otherwise(F.coalesce("_contact", "contact_G"))
     return out.withColumn("contact_G", contact).withColumn("hint", hint).drop("_n", "_low", "_ruled", "_contact")
+
+
+def reset_contacts(diag: DataFrame, picks: DataFrame) -> DataFrame:
+    """``picks`` as their scenario would suggest them anew, with ``hint``; what was dragged by hand is given up.
+
+    A blank scenario takes the minimum of dP/dG and its hump again, where a test has more than five diagnostic rows; C-A its
+    minimum and contact; C-B its contact, the minimum stays where there is one; C-C and C-D lose the contact.
+    """
+    out = scenario_contacts(diag, picks, refresh=True)
+    many = diag.withColumn("_n", F.count("*").over(s.whole())).where("_n > 5").drop("_n")
+    low = s.min_dpdg(many).select(KEY, F.col("min_G").alias("_low"))
+    hump = many.where(F.col("dPdG").isNotNull()).groupBy(KEY).agg(F.max_by("G", F.struct(F.col("dPdG"), -F.col("i"))).alias("_hump"))
+    blank = F.coalesce("closure_scenario", F.lit("")) == ""
+    out = out.join(low, KEY, "left").join(hump, KEY, "left")
+    for pick, new in (("min_dpdg_G", "_low"), ("contact_G", "_hump")):
+        out = out.withColumn(pick, F.when(blank, F.coalesce(new, pick)).otherwise(F.col(pick)))
+    return out.drop("_low", "_hump")
+
+
+def move_isip(samples: DataFrame, picks: DataFrame, edits: DataFrame, half: int = 30) -> DataFrame:
+    """``picks`` (isip_x, isip_y, isip_slope) after edits (test_id, kind, x, y, slope), one a test.
+
+    ``anchor`` snaps to the sample nearest to x and fits the slope of its neighbours; ``body`` moves the line and keeps its
+    slope, ``end`` turns it about its anchor; a line that isn't there yet is taken from the edit. Other kinds change nothing.
+    """
+    snapped = s.tangent_at(samples, edits.where("kind = 'anchor'").select(KEY, "x"), "t_s", "p", "x", half=half, order="idx").withColumnRenamed("slope", "slope_fit")
+    out = picks.join(edits, KEY, "left").join(snapped, KEY, "left")
+    body, end, snap = (F.coalesce(F.col("kind") == k, F.lit(False)) for k in ("body", "end", "anchor"))
+    new = {
+        "isip_x": F.when(snap, F.col("anchor_x")).when(body, F.col("x")).when(end, F.coalesce("isip_x", "x")),
+        "isip_y": F.when(snap, F.col("anchor_y")).when(body, F.col("y")).when(end, F.coalesce("isip_y", "y")),
+        "isip_slope": F.when(snap, F.col("slope_fit")).when(body, F.coalesce("isip_slope", "slope")).when(end, F.col("slope")),
+    }
+    return out.select(*[F.coalesce(new[c], F.col(c)).alias(c) if c in new else F.col(c) for c in picks.columns])
+
+
+def set_picks(picks: DataFrame, edits: DataFrame, names: tuple[str, ...] = ("min_dpdg_G", "contact_G", "closure_G", "closure_slope")) -> DataFrame:
+    """``picks`` with the values of ``edits`` (test_id and any of ``names``) where they aren't null."""
+    given = [c for c in names if c in edits.columns]
+    new = edits.select(KEY, *[F.col(c).alias(f"_{c}") for c in given])
+    return picks.join(new, KEY, "left").select(*[F.coalesce(f"_{c}", c).alias(c) if c in given else F.col(c) for c in picks.columns])
