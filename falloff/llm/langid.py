@@ -174,114 +174,6 @@ def fit(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "la
     return model
 
 
-def predict(self, text: str) -> tuple[str, float]:
-        z = self.logits(text) / self.temperature
-        p = np.exp(z - z.max())
-        p /= p.sum()
-        k = int(p.argmax())
-        return self.labels[k], float(p[k])
-
-
-def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.01, epochs: int = 3, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and bias by follow-the-regularised-leader (proximal) with L1 and L2 penalties.
-
-    rows: buckets, values and class of each document.
-    """
-    z, n = np.zeros((SIZE + 1, classes)), np.zeros((SIZE + 1, classes))
-
-    def weights(at: np.ndarray) -> np.ndarray:
-        zz = z[at]
-        return np.where(np.abs(zz) <= l1, 0.0, (np.sign(zz) * l1 - zz) / ((beta + np.sqrt(n[at])) / alpha + l2))
-
-    order = np.random.default_rng(seed)
-    for _ in range(epochs):
-        for k in order.permutation(len(rows)):
-            at, x, y = rows[k]
-            at, x = np.append(at, SIZE), np.append(x, 1.0)
-            w = weights(at)
-            logit = x @ w
-            p = np.exp(logit - logit.max())
-            p /= p.sum()
-            p[y] -= 1.0
-            g = x[:, None] * p[None, :]
-            old = n[at]
-            new = old + g * g
-            z[at] += g - (np.sqrt(new) - np.sqrt(old)) / alpha * w
-            n[at] = new
-    w = weights(np.arange(SIZE + 1))
-    return w[:SIZE], w[SIZE]
-
-
-def temperature(logits: np.ndarray, y: np.ndarray) -> float:
-    """The temperature of least cross-entropy on documents that the logits' model hasn't seen.
-
-    Targets are smoothed as Platt's are: of n documents and K labels the right label has (n + 1) / (n + K), each other one
-    1 / (n + K), so that documents told apart without an error don't drive it to 0. The loss is convex
-    in 1 / T; a golden-section search on its logarithm finds the least.
-    """
-    n, labels = logits.shape
-    target = np.full((n, labels), 1.0 / (n + labels))
-    target[np.arange(n), y] = (n + 1.0) / (n + labels)
-
-    def loss(log_beta: float) -> float:
-        z = logits * np.exp(log_beta)
-        z = z - z.max(axis=1, keepdims=True)
-        return float((np.log(np.exp(z).sum(axis=1)) - (target * z).sum(axis=1)).mean())
-
-    low, high, ratio = -10.0, 10.0, (np.sqrt(5.0) - 1) / 2
-    while high - low > 1e-6:
-        a, b = high - ratio * (high - low), low + ratio * (high - low)
-        low, high = (low, b) if loss(a) < loss(b) else (a, high)
-    return float(np.exp(-(low + high) / 2))
-
-
-def held_out(id: Column) -> Column:
-    return F.coalesce(F.crc32(id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
-
-
-def fit(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = 4000, most: int = 500) -> Model:
-    """A model of the rows of ``docs`` whose label is not null and that are not held out.
-
-    Document frequencies come from all those rows: each task adds up one count for each of the 65,536 buckets,
-    and the counts of tasks are added by ranges of buckets. The classifier itself is fitted on a bounded sample of
-    about ``sample`` labelled rows, as many of each label, chosen by a hash of id. The temperature comes from models of
-    either half of the sample and their logits on the other half. Rows with null text or without letters teach nothing. Without any labelled row the
-    model has no labels; more than ``most`` labels are refused, as the model (256 kB for each) is broadcast. Repeated rows count as often
-    as they stand there; other columns are ignored.
-    """
-    usable = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(F.col(id))).select(F.col(id).cast("string").alias("id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
-    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
-    labels = sorted(counts)
-    if len(labels) > most:
-        raise ValueError(f"{len(labels)} labels; at most {most}")
-    if not labels:
-        return Model([], np.ones(SIZE), np.zeros((SIZE, 0)), np.zeros(0))
-    parts = usable.select("text").mapInPandas(_document_counts, "chunk int, n long, df binary")
-    df, total = np.zeros(SIZE), 0
-    for r in parts.groupBy("chunk").applyInPandas(_add_counts, "chunk int, n long, df binary").collect():  # 64 rows of 8 kB
-        got = np.frombuffer(r["df"], dtype=np.int64)
-        df[r["chunk"] * len(got) : (r["chunk"] + 1) * len(got)] = got
-        total = r["n"]
-    idf = np.log((1.0 + total) / (1.0 + df)) + 1.0
-
-    per = max(1, sample // len(labels))
-    share = F.coalesce(*[F.when(F.col("lang") == name, F.lit(min(1.0, per / counts[name]))) for name in labels])
-    chance = F.pmod(F.xxhash64(F.lit(11), "id"), F.lit(1 << 30)) / float(1 << 30)
-    chosen = usable.where(chance < share).mapInPandas(_sparse_rows, "lang string, at binary, count binary, fold long")
-    rows, held = [], []
-    scale = Model.scale
-    for r in chosen.orderBy("fold").limit(2 * sample).collect():  # about ``sample`` rows by the share; the limit bounds them
-        at, count = np.frombuffer(r["at"], dtype=np.uint16).astype(np.int64), np.frombuffer(r["count"], dtype=np.uint32)
-        row = at, count / count.sum() * idf[at] * scale, labels.index(r["lang"])
-        (held if r["fold"] % 5 == 0 else rows).append(row)
-    weights, bias = ftrl(rows, len(labels))
-    model = Model(labels, idf, weights, bias)
-    if held:
-        logits = np.stack([x @ weights[at] + bias for at, x, _ in held])
-        model.temperature = temperature(logits, np.array([y for *_, y in held]))
-    return model
-
-
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with lang_pred and score, in place of columns of those names.
 

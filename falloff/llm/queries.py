@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from falloff.llm import hamming, hnsw, html_text, langid, lines, mixing, ngram_join, pieces, privacy, sharding
+from falloff.llm import hamming, hnsw, html_text, langid, lines, mixing, ngram_join, pieces, privacy, sharding, trie, whitening
 from falloff.llm.common import table
 
 
@@ -65,6 +65,16 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.build(*trie.rebuild(trie.ordered(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding").where(whitening.usable(F.col("embedding")))
+    steps = F.transform("embedding", lambda c: F.floor(c.cast("double") * 1024) + 100000)
+    return whitening.whiten(vectors.select("vec_id", steps.alias("embedding")))
+
+
 QUERIES = {
     "op1_topk_search": op1_topk_search,
     "op2_embedding_dedup": op2_embedding_dedup,
@@ -76,6 +86,8 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_hilbert_shards": op9_hilbert_shards,
     "op10_html_text": op10_html_text,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_whitening": op12_whitening,
 }
 
 ORACLE_SQL = {
@@ -111,4 +123,38 @@ agg AS (
 SELECT d.doc_id, coalesce(a.n_lines, 0)::BIGINT AS n_lines, coalesce(a.n_dropped, 0)::BIGINT AS n_dropped,
        length(a.txt)::BIGINT AS n_chars, md5(a.txt) AS text_md5
 FROM documents d LEFT JOIN agg a USING (doc_id)""",
+    "op11_prefix_trie": r"""
+WITH RECURSIVE steps AS (
+  SELECT n, n AS c, 0 AS k FROM (SELECT unnest(range(256)) AS n)
+  UNION ALL SELECT n, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM steps WHERE k < 8),
+crc AS (
+  SELECT conv_id, conv_id::VARCHAR AS s, 0 AS i, 4294967295 AS c FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL
+  SELECT conv_id, s, i + 1, xor(crc.c >> 8, t.c) FROM crc JOIN steps t ON t.k = 8 AND t.n = xor(crc.c, ascii(s[i + 1])) & 255 WHERE i < length(s)),
+ids AS (SELECT conv_id, conv_id - conv_id % 20 AS base, xor(c, 4294967295) % 4 AS h FROM crc WHERE i = length(s)),
+own AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos,
+         coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+built AS (
+  SELECT i.conv_id, o.pos, role, text FROM ids i JOIN own o ON o.conv_id = i.base AND o.pos <= i.h
+  UNION ALL
+  SELECT i.conv_id, o.pos - i.h + (SELECT count(*) FROM own b WHERE b.conv_id = i.base AND b.pos <= i.h), role, text
+  FROM ids i JOIN own o ON o.conv_id = i.conv_id AND o.pos > i.h),
+rows_ AS (
+  SELECT conv_id, pos AS d, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS w,
+         list(struct_pack(role := role, text := text)) OVER (PARTITION BY conv_id ORDER BY pos) AS prefix FROM built
+  UNION ALL SELECT conv_id, 0, 0, [] FROM ids),
+named AS (SELECT *, min(conv_id) OVER (PARTITION BY d, prefix) AS node, max(d) OVER (PARTITION BY conv_id) AS last FROM rows_),
+nodes AS (
+  SELECT node, d, min(w) AS w, count(*) AS n, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE d = last), '') AS ends
+  FROM named GROUP BY node, d),
+up AS (SELECT DISTINCT b.node, b.d, a.node AS parent FROM named b JOIN named a ON a.conv_id = b.conv_id AND a.d = b.d - 1),
+kids AS (SELECT parent AS node, d - 1 AS d, count(*) AS n_children FROM up GROUP BY ALL),
+under AS (SELECT DISTINCT a.node, a.d, b.node AS low, b.d AS low_d FROM named a JOIN named b ON a.conv_id = b.conv_id AND b.d >= a.d),
+sums AS (
+  SELECT u.node, u.d, count(*) FILTER (WHERE k.node IS NULL) AS n_leaves, sum((v.n - 1) * v.w) AS saved
+  FROM under u JOIN nodes v ON v.node = u.low AND v.d = u.low_d LEFT JOIN kids k ON k.node = u.low AND k.d = u.low_d GROUP BY ALL)
+SELECT n.node AS conv_id, n.d AS depth, up.parent AS parent_conv_id, n.n AS n_convs, coalesce(k.n_children, 0)::BIGINT AS n_children,
+       s.n_leaves, s.saved::BIGINT AS saved_tokens, sha256(n.ends) AS ends_sha256
+FROM nodes n JOIN sums s USING (node, d) LEFT JOIN up USING (node, d) LEFT JOIN kids k USING (node, d)""",
 }
