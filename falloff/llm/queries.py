@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from falloff.llm import hamming, hnsw, html_text, langid, lines, mixing, ngram_join, pieces, privacy, sharding, trie, whitening
+from falloff.llm import hamming, hnsw, html_text, langid, lines, lm, mixing, ngram_join, pieces, privacy, sharding, trie, whitening
 from falloff.llm.common import table
 
 
@@ -75,6 +75,12 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(vectors.select("vec_id", steps.alias("embedding")))
 
 
+def op13_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
+    return lm.score(docs, ~held)
+
+
 QUERIES = {
     "op1_topk_search": op1_topk_search,
     "op2_embedding_dedup": op2_embedding_dedup,
@@ -88,6 +94,7 @@ QUERIES = {
     "op10_html_text": op10_html_text,
     "op11_prefix_trie": op11_prefix_trie,
     "op12_whitening": op12_whitening,
+    "op13_context_mixing": op13_context_mixing,
 }
 
 ORACLE_SQL = {
