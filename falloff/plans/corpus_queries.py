@@ -369,6 +369,43 @@ def fuzzy_match(spark, sf_dir):
     return match.fuzzy_match(asked, parts)
 
 
+def fuzzy_fallback(spark, sf_dir):
+    """Parts' names with their first letter changed, so that no key begins like them: held against the whole registry."""
+    parts = table(spark, sf_dir, "part").select(tx.normal_name(F.concat("p_name", "p_type", "p_brand")).alias("key"))
+    asked = parts.select(F.concat(F.lit("9"), F.expr("substring(key, 2)")).alias("key"))
+    return match.fuzzy_match(asked, parts)
+
+
+def _records(spark, sf_dir):
+    """Suppliers as directional records and customers as wells, with labels, operators and places."""
+    sup, cust = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "customer")
+    label = lambda c, k: F.concat(F.lit(c), F.lpad((k % 40).cast("string"), 3, "0"), F.lit("-"), k.cast("string"), F.lit("-00"))
+    record = lambda rows, c: rows.select(label(c, F.col("s_suppkey")).alias("label"), F.concat(F.lit("op"), F.col("s_nationkey")).alias("operator"), F.col("s_name").alias("name"), F.col("s_acctbal").cast("double").alias("lat"), F.col("s_nationkey").cast("double").alias("lon"))
+    none = lambda c: F.lit(None).cast("string").alias(c)
+    wells = cust.select(tx.api_key(label("42-", F.col("c_custkey"))).alias("api"), label("42-", F.col("c_custkey")).alias("label"), F.col("c_mktsegment").alias("operator"), F.col("c_name").alias("title"), none("name"), none("number"), none("location"), F.col("c_acctbal").cast("double").alias("lat"), F.col("c_nationkey").cast("double").alias("lon"))
+    return record(sup, "42-").union(record(sup.where("s_suppkey % 10 = 0"), "41-")), wells
+
+
+def _asked(spark, sf_dir):
+    k = F.col("p_partkey")
+    number = lambda n: F.lpad((k % n).cast("string"), 9, "0")
+    name = F.when(k % 6 == 0, F.concat(F.lit("SUPPLIER "), number(15))).when(k % 6 == 1, F.concat(F.lit("customer-"), number(200))).when(k % 6 == 2, " ").when(k % 6 == 3, "ab").when(k % 6 == 4, F.col("p_name"))
+    return table(spark, sf_dir, "part").select("p_partkey", name.alias("name"))
+
+
+def resolve_names(spark, sf_dir):
+    return match.resolve(_asked(spark, sf_dir).select("name"), *_records(spark, sf_dir))
+
+
+def located_rows(spark, sf_dir):
+    """A part is an entry, its key modulo 7 the questionnaire: missing, unreadable, or naming the part's well."""
+    k = F.col("p_partkey")
+    asked = _asked(spark, sf_dir)
+    entries = asked.select(k.alias("test_id"), F.when(k % 7 != 0, F.concat(F.lit("q"), k)).alias("document"))
+    papers = asked.where(k % 7 != 1).select(F.concat(F.lit("q"), k).alias("path"), F.col("name").alias("well"), F.when(k % 7 == 2, "BadZipFile").alias("error"))
+    return match.located_rows(entries, papers, *_records(spark, sf_dir)).select("test_id", "well_name", "label", "surf_lat", "btmh_lat", "source")
+
+
 _REGISTRY = """WITH dir AS (SELECT regexp_replace(upper(s_name), '[^A-Z0-9]', '', 'g') AS key, '42-' || lpad((s_suppkey % 40)::VARCHAR, 3, '0') || '-' || s_suppkey || '-00' AS label, s_suppkey AS k FROM supplier
   UNION ALL SELECT regexp_replace(upper(s_name), '[^A-Z0-9]', '', 'g'), '41-' || lpad((s_suppkey % 40)::VARCHAR, 3, '0') || '-' || s_suppkey || '-00', s_suppkey FROM supplier WHERE s_suppkey % 10 = 0),
 well AS (SELECT regexp_replace(upper(c_name), '[^A-Z0-9]', '', 'g') AS key, '42-' || lpad((c_custkey % 40)::VARCHAR, 3, '0') || '-' || c_custkey || '-00' AS label, c_custkey AS k, c_acctbal AS lat, c_nationkey::DOUBLE AS lon FROM customer)
@@ -379,11 +416,25 @@ QUERIES = {
     for f in (
         dedup_in_group, same_bytes_elsewhere, files_fingerprint, file_profile, file_profile_peak, verdict_histogram, subtree_names, well_roots, group_document, entries, basin_lookup, well_folder,
         plan_moves, plan_warnings, review_progress, separate_destinations, merge_keeps, status, infer_steps, step_gate, log_row, upsert_log, orphans, queue_progress, next_new, dayfirst_sniff,
-        parse_cascade, ms_colon, column_units, answer_blocks, density_rule, depth_rule, norm_name, api_key, ambiguous_pick, exact_match, registry_keys, surface_place, bottomhole, fuzzy_match,
+        parse_cascade, ms_colon, column_units, answer_blocks, density_rule, depth_rule, norm_name, api_key, ambiguous_pick, exact_match, registry_keys, surface_place, bottomhole, fuzzy_match, fuzzy_fallback, resolve_names, located_rows,
     )
 }
 
+_RESOLVED = """WITH asked AS (SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'SUPPLIER ' || lpad((p_partkey % 15)::VARCHAR, 9, '0') WHEN 1 THEN 'customer-' || lpad((p_partkey % 200)::VARCHAR, 9, '0') WHEN 2 THEN ' ' WHEN 3 THEN 'ab' WHEN 4 THEN p_name END AS name FROM part),
+keyed AS (SELECT *, regexp_replace(upper(name), '[^A-Z0-9]', '', 'g') AS key FROM asked),
+lab AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 10 = 0 THEN '41-' ELSE '42-' END || lpad((s_suppkey % 40)::VARCHAR, 3, '0') || '-' || s_suppkey || '-00' AS label FROM supplier),
+d AS (SELECT regexp_replace(upper(s_name), '[^A-Z0-9]', '', 'g') AS key, s_name AS db_name, label, 'op' || s_nationkey AS operator, c_acctbal::DOUBLE AS surf_lat, c_nationkey::DOUBLE AS surf_lon, s_acctbal::DOUBLE AS btmh_lat, s_nationkey::DOUBLE AS btmh_lon, 'directional-exact' || CASE WHEN s_suppkey % 10 = 0 THEN ' (2 candidates)' ELSE '' END AS source FROM supplier JOIN lab ON k = s_suppkey LEFT JOIN customer ON c_custkey = s_suppkey),
+w AS (SELECT regexp_replace(upper(c_name), '[^A-Z0-9]', '', 'g') AS key, c_name AS db_name, '42-' || lpad((c_custkey % 40)::VARCHAR, 3, '0') || '-' || c_custkey || '-00' AS label, c_mktsegment AS operator, c_acctbal::DOUBLE AS surf_lat, c_nationkey::DOUBLE AS surf_lon, s_acctbal::DOUBLE AS btmh_lat, s_nationkey::DOUBLE AS btmh_lon, 'wells-exact' AS source FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey),
+r AS (SELECT p_partkey, name, coalesce(d.db_name, w.db_name) AS db_name, coalesce(d.label, w.label) AS label, coalesce(d.operator, w.operator) AS operator, CASE WHEN d.key IS NULL THEN w.surf_lat ELSE d.surf_lat END AS surf_lat, CASE WHEN d.key IS NULL THEN w.surf_lon ELSE d.surf_lon END AS surf_lon, CASE WHEN d.key IS NULL THEN w.btmh_lat ELSE d.btmh_lat END AS btmh_lat, CASE WHEN d.key IS NULL THEN w.btmh_lon ELSE d.btmh_lon END AS btmh_lon,
+  CASE WHEN name IS NULL OR trim(name) = '' THEN 'no-well-name' WHEN length(keyed.key) < 4 THEN 'name-too-generic' ELSE coalesce(d.source, w.source, 'no-match') END AS source, CASE WHEN coalesce(d.source, w.source) IS NOT NULL THEN 1.0::DOUBLE END AS score
+  FROM keyed LEFT JOIN d USING (key) LEFT JOIN w USING (key))
+"""
+
 ORACLE_SQL = {
+    "resolve_names": _RESOLVED + "SELECT DISTINCT name, db_name, label, operator, surf_lat, surf_lon, btmh_lat, btmh_lon, source, score FROM r",
+    "located_rows": _RESOLVED
+    + """SELECT p_partkey AS test_id, CASE WHEN p_partkey % 7 > 2 THEN name END AS well_name, CASE WHEN p_partkey % 7 > 2 THEN label END AS label, CASE WHEN p_partkey % 7 > 2 THEN surf_lat END AS surf_lat, CASE WHEN p_partkey % 7 > 2 THEN btmh_lat END AS btmh_lat,
+  CASE WHEN p_partkey % 7 = 0 THEN 'no-questionnaire' WHEN p_partkey % 7 <= 2 THEN 'questionnaire-error' ELSE source END AS source FROM r""",
     "dedup_in_group": _FILES + "SELECT path, path <> min(path) OVER w AS duplicate, nullif(min(path) OVER w, path) AS dup_of FROM f WINDOW w AS (PARTITION BY grp, sig)",
     "same_bytes_elsewhere": _FILES + "SELECT a.path, count(*) AS n_elsewhere, min(b.path) AS first_elsewhere FROM f a JOIN f b ON a.sig = b.sig AND a.grp <> b.grp GROUP BY a.path",
     "files_fingerprint": _FILES + ", p AS (SELECT grp, string_split(sig, ':')[2][1:4] AS part, sha256(string_agg(sig, chr(10) ORDER BY sig)) AS h FROM f GROUP BY ALL)\nSELECT grp, sha256(string_agg(part || ':' || h, chr(10) ORDER BY part || ':' || h)) AS files_sig FROM p GROUP BY grp",
