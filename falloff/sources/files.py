@@ -19,7 +19,7 @@ def listing(spark: SparkSession, root: str, pattern: str | None = None, content:
         reader = reader.option("pathGlobFilter", pattern)
     base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
     top = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(base).toUri().getPath().rstrip("/")
-    rel = F.regexp_replace(F.url_decode(F.regexp_replace("path", r"\+", "%2B")), rf"^.*?\Q{top}\E/", "")
+    rel = F.regexp_replace("path", rf"^.*?\Q{top}\E/", "")
     files = reader.load(root).withColumn("rel", rel)
     name = F.element_at(F.split("rel", "/"), -1)
     files = files.withColumn("folder", F.regexp_replace("rel", "/?[^/]*$", "")).withColumn("stem", F.regexp_replace(name, r"\.[^.]*$", "")).withColumn("ext", F.lower(F.regexp_extract(name, r"\.([^.]*)$", 1)))

@@ -173,3 +173,33 @@ def test_one_reader_for_all_kinds(spark, tmp_path):
     assert [(a, b, round(t, 3), *x) for a, b, t, *x in got] == [("a.csv", 0, 0, 3, 1, None), ("a.csv", 1, 5, 6, 4, None), ("b.dbs", 0, 0, 7, 8, None), ("b.dbs", 1, 2, None, 9, None)]
     assert {(r["test_id"], r["p_is_bhp"]) for r in rows.collect()} == {("a.csv", True), ("b.dbs", False), ("c.dbs", None)}
     assert [(r["test_id"], r["samples"], r["error"], r["channels"]) for r in gauge.list_tests(rows).collect()] == [("a.csv", 2, None, ["BHP (kPa)", "Casing (psi)", "Volume Rate"]), ("b.dbs", 2, None, ["Pump rate", "WHP"]), ("c.dbs", 0, "no gauge record", [])]
+
+
+def test_one_record_is_read_by_many_tasks(spark, tmp_path):
+    rows = [(i % 700, [float(i), math.nan if i % 9 == 0 else float(-i)]) for i in range(1000)]
+    (tmp_path / "a b%20").mkdir()
+    (tmp_path / "a b%20" / "long one.dbs").write_bytes(dbs([("PA", "Pressure"), ("RA", "Rate")], rows))
+    split, whole = (gauge_dbs.read_gauge_dbs(spark, str(tmp_path), samples=n) for n in (70, 10_000))
+    assert split.select(F.spark_partition_id().alias("k")).distinct().count() > 3
+    columns = ["idx", "t_s", "p", "rate", "channels", "error"]
+    a, b = (sorted((tuple(r) for r in x.select(columns).collect()), key=lambda r: r[0]) for x in (split, whole))
+    assert a == b and len(a) == 1000 and a[10][2:4] == (10.0, -10.0) and a[9][3] is None
+    bare = gauge_dbs.read_gauge_dbs(spark, str(tmp_path), with_channels=False, samples=300)
+    assert sorted((r["idx"], r["p"]) for r in bare.collect()) == [(r[0], r[2]) for r in a]
+    assert bare.where("channels is not null").count() == 0
+
+
+def test_one_table_is_read_by_many_tasks_and_a_short_one_warned_of(spark, tmp_path):
+    content = dbf([("NAME", 10), ("API", 8)], [(i % 10 == 3, f"Well {i}", f"42-{i}") for i in range(500)])
+    (tmp_path / "whole").mkdir()
+    (tmp_path / "whole" / "t.dbf").write_bytes(content)
+    rows = registry_dbf.read_dbf(spark, str(tmp_path / "whole"), ["API"], records=40, indexed=True)
+    assert rows.select(F.spark_partition_id().alias("k")).distinct().count() > 3
+    assert sorted((r["idx"], r["API"]) for r in rows.collect()) == [(i, f"42-{i}") for i in range(500) if i % 10 != 3]
+    assert registry_dbf.dbf_problems(spark, str(tmp_path / "whole")).count() == 0
+    (tmp_path / "cut").mkdir()
+    (tmp_path / "cut" / "t.dbf").write_bytes(content[:-30])
+    (tmp_path / "cut" / "no.dbf").write_bytes(b"nothing")
+    with pytest.warns(UserWarning, match="500 records named, 498 there"):
+        assert registry_dbf.read_dbf(spark, str(tmp_path / "cut"), ["NAME"]).count() == 448
+    assert {r["path"].rsplit("/")[-1]: r["error"] for r in registry_dbf.dbf_problems(spark, str(tmp_path / "cut")).collect()} == {"t.dbf": "500 records named, 498 there", "no.dbf": "no table header"}
