@@ -83,12 +83,6 @@ def axis_exponent(axis: Column) -> Column:
     return F.when(axis == "tm12", F.lit(-0.5)).otherwise(F.lit(-1.0))
 
 
-def closure_quality(scenario: Column) -> Column:
-    """Quality of a closure pick by its scenario's prefix."""
-    head = F.substring(scenario, 1, 3)
-    return F.when(head == "C-A", "clear").when(head == "C-B", "adequate").when(head == "C-C", "none").when(head == "C-D", "rapid").otherwise("")
-
-
 def minutes_from(t_s: Column, origin_s: Column) -> Column:
     return (t_s - origin_s) / 60.0
 

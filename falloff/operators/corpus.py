@@ -48,7 +48,7 @@ def unit_guess(p_max: Column) -> Column:
 
 def verdict(n_finite: Column, hours: Column, drop: Column, unit: Column, after_hours: Column, decline: Column) -> Column:
     least = F.when(unit == "kPa", MIN_DROP_PSI * KPA_PER_PSI).otherwise(MIN_DROP_PSI)
-    return F.when(n_finite < MIN_SAMPLES, "no_pressure").when(hours < MIN_HOURS, "too_short").when(drop.isNull() | (drop < least), "flat").when(after_hours.isNull() | (after_hours < MIN_AFTER_HOURS), "short_falloff").when(decline.isNull() | (decline < MIN_DECLINE), "noisy").otherwise("likely_dfit")
+    return F.when(n_finite < MIN_SAMPLES, "no_pressure").when(hours.isNull() | (hours < MIN_HOURS), "too_short").when(drop.isNull() | (drop < least), "flat").when(after_hours.isNull() | (after_hours < MIN_AFTER_HOURS), "short_falloff").when(decline.isNull() | (decline < MIN_DECLINE), "noisy").otherwise("likely_dfit")
 
 
 def suggested_keeper(profiles: DataFrame, group: str = "group") -> DataFrame:

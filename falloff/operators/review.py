@@ -71,15 +71,16 @@ def seeded_keeps(groups: DataFrame, decisions: DataFrame, in_progress: DataFrame
 
 
 def decide(decisions: DataFrame, actions: DataFrame, groups: DataFrame) -> DataFrame:
-    """``decisions`` (rel, status, keeps, decided_sig) after actions (rel, action, keeps), one for each group at most.
+    """``decisions`` (rel, status, keeps, decided_sig) after actions (rel, action, keeps, and ts where a group has several).
 
-    ``accept`` records its keeps, unless there are none; ``none`` records no keeps; ``unsure`` keeps what is chosen. Anything
+    Of the actions on a group that record anything the last by ts counts, of equal ones the greater. ``accept`` records its keeps, unless there are none; ``none`` records no keeps; ``unsure`` keeps what is chosen. Anything
     else, and actions on groups that aren't there, record nothing. Decisions carry the signature of the group's files.
     """
     status = F.when((F.col("action") == "accept") & (F.size("keeps") > 0), "decided").when(F.col("action") == "none", "none").when(F.col("action") == "unsure", "unsure")
     made = actions.join(groups.select("rel", F.col("files_sig").alias("decided_sig")), "rel").withColumn("status", status).where(F.col("status").isNotNull())
     keeps = F.when(F.col("status") == "none", F.array().cast("array<string>")).otherwise(F.array_sort("keeps"))
-    made = made.select("rel", "status", keeps.alias("keeps"), "decided_sig")
+    order = ["ts"] if "ts" in actions.columns else []
+    made = made.withColumn("keeps", keeps).groupBy("rel").agg(F.max_by(F.struct("status", "keeps", "decided_sig"), F.struct(*order, "status", "keeps")).alias("m")).select("rel", "m.*")
     return decisions.select(made.columns).join(made, "rel", "left_anti").unionByName(made)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from falloff.functions import formulas as fx
+from falloff.operators import log
 from falloff.operators import series as s
 from falloff.plans import interpret as plan
 from falloff.plans.views import PUMPED, STEP, samples, table
@@ -59,7 +60,7 @@ def shmin_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
     compliance, tangent = F.when(F.col("o_orderkey") % 3 != 0, F.col("o_totalprice") * 0.95), F.when(F.col("o_orderkey") % 2 != 0, F.col("o_totalprice") * 0.93)
     ref = fx.reference_isip(compliance, tangent)
     return orders.select(
-        "o_orderkey", fx.closure_quality(scenario).alias("quality"), F.round(fx.shmin_compliance(contact), 4).alias("shmin_compliance"), F.round(fx.shmin_rapid(scenario, apparent), 4).alias("shmin_rapid"),
+        "o_orderkey", log.by_prefix(scenario, log.CLOSURE_QUALITY).alias("quality"), F.round(fx.shmin_compliance(contact), 4).alias("shmin_compliance"), F.round(fx.shmin_rapid(scenario, apparent), 4).alias("shmin_rapid"),
         fx.reference_source(compliance, tangent).alias("source"), F.round(ref - fx.shmin_compliance(contact), 4).alias("net"), F.round(apparent - ref, 4).alias("complexity"),
         fx.rapid_text(fx.shmin_rapid(scenario, apparent)).alias("rapid_text"),
     )
@@ -136,7 +137,7 @@ UNION ALL SELECT p_partkey, NULL, CASE WHEN p_size % 2 = 0 THEN round(p_retailpr
     "pump_time": "SELECT l_orderkey, l_linenumber, round(CASE WHEN l_quantity - 5 > 0 AND l_extendedprice - 1000 > 0 THEN (l_extendedprice - 1000) / (l_quantity - 5) * 60.0 END, 6) AS te FROM lineitem",
     "shmin_methods": """WITH a AS (SELECT *, CASE o_orderkey % 5 WHEN 0 THEN 'C-A' WHEN 1 THEN 'C-B' WHEN 2 THEN 'C-C' WHEN 3 THEN 'C-D' ELSE '' END AS s, CASE WHEN o_orderkey % 11 <> 0 THEN o_totalprice END AS ap,
   CASE WHEN o_orderkey % 3 <> 0 THEN o_totalprice * 0.9 END AS co, CASE WHEN o_orderkey % 3 <> 0 THEN o_totalprice * 0.95 END AS ce, CASE WHEN o_orderkey % 2 <> 0 THEN o_totalprice * 0.93 END AS te FROM orders)
-SELECT o_orderkey, CASE s WHEN 'C-A' THEN 'clear' WHEN 'C-B' THEN 'adequate' WHEN 'C-C' THEN 'none' WHEN 'C-D' THEN 'rapid' ELSE '' END AS quality, round(co - 75, 4) AS shmin_compliance, round(CASE WHEN s = 'C-D' THEN ap - 175 END, 4) AS shmin_rapid,
+SELECT o_orderkey, CASE s WHEN 'C-A' THEN 'clear' WHEN 'C-B' THEN 'adequate' WHEN 'C-C' THEN 'no-contact' WHEN 'C-D' THEN 'rapid' ELSE '' END AS quality, round(co - 75, 4) AS shmin_compliance, round(CASE WHEN s = 'C-D' THEN ap - 175 END, 4) AS shmin_rapid,
   CASE WHEN ce IS NOT NULL THEN 'compliance' WHEN te IS NOT NULL THEN 'tangent' ELSE '' END AS source, round(coalesce(ce, te) - (co - 75), 4) AS net, round(ap - coalesce(ce, te), 4) AS complexity,
   CASE WHEN s = 'C-D' AND ap IS NOT NULL THEN printf('%.0f', ap - 175) || ' ±75' END AS rapid_text FROM a""",
     "postclosure_axis": "SELECT o_orderkey, CASE WHEN o_orderkey % 6 IN (0, 2, 4) THEN 'tm12' WHEN o_orderkey % 6 = 1 THEN 'tm1' END AS axis, CASE WHEN o_orderkey % 6 IN (0, 2, 4) THEN 0.5 ELSE 0.25 END::DOUBLE AS x FROM orders",

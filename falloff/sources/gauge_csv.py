@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from falloff.functions import text as tx
 from falloff.operators import series as s
 from falloff.plans.staging import staged
+from falloff.sources import ranges
 from falloff.sources.files import listing
 
 #: Words in column names that tell a channel's role, words that rule it out, and units of elapsed time in seconds.
@@ -27,6 +28,8 @@ PROBE = 20
 
 ROWS = "path string, idx long, date string, time string, elapsed double, channels map<string,double>, p double, rate double, volume double, p_is_bhp boolean, error string"
 
+COLUMNS = ["path", "idx", "date", "time", "elapsed", "channels", "p", "rate", "volume", "p_is_bhp", "error"]
+
 
 def is_number(field: str) -> bool:
     try:
@@ -114,16 +117,15 @@ def parse(content: bytes) -> Iterator[tuple]:
 
 
 def _rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = ["path", "idx", "date", "time", "elapsed", "channels", "p", "rate", "volume", "p_is_bhp", "error"]
     for batch in batches:
         for path, content in zip(batch["path"], batch["content"], strict=True):
             held = []
             for row in parse(content):
                 held.append((path, *row))
                 if len(held) == 50_000:
-                    yield pd.DataFrame(held, columns=columns)
+                    yield pd.DataFrame(held, columns=COLUMNS)
                     held = []
-            yield pd.DataFrame(held, columns=columns)
+            yield pd.DataFrame(held, columns=COLUMNS)
 
 
 def timed(rows: DataFrame, key: str = "path") -> DataFrame:
@@ -149,6 +151,22 @@ def read_gauge_csv(spark: SparkSession, root: str) -> DataFrame:
     return timed(staged(found.mapInPandas(_rows, ROWS), "gauge-csv"))
 
 
+def read_csv_files(files: DataFrame) -> DataFrame:
+    """The same for given files (path), which tasks open themselves: nothing but these files is read."""
+
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path in batch["path"]:
+                try:
+                    with ranges.opened(path) as file:
+                        content = file.read()
+                except OSError as e:
+                    yield pd.DataFrame([(path, 0, *[None] * 8, str(e))], columns=COLUMNS)
+                    continue
+                yield from _rows(iter([pd.DataFrame({"path": [path], "content": [content]})]))
+
+    return timed(staged(files.select("path").mapInPandas(of, ROWS), "gauge-csv"))
+
 
 def as_samples(rows: DataFrame) -> DataFrame:
     """(test_id, idx, t_s, p, rate, volume) of files that could be read; null where a file has no such channel."""

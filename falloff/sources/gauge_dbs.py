@@ -73,7 +73,12 @@ def read_gauge_dbs(spark: SparkSession, root: str, with_channels: bool = True, s
     A record is read in ranges of ``samples`` by as many tasks, each of which reads only its range. Without
     ``with_channels`` the map of all channels is null and only pressure, rate and volume are decoded.
     """
-    parts = ranges.split(listing(spark, root, "*.[dD][bB][sS]"), _count, samples)
+    return read_dbs_files(listing(spark, root, "*.[dD][bB][sS]"), with_channels, samples)
+
+
+def read_dbs_files(files: DataFrame, with_channels: bool = True, samples: int = ranges.RECORDS) -> DataFrame:
+    """The same for given files (path, length)."""
+    parts = ranges.split(files, _count, samples)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -28,11 +30,42 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def append_actions(actions: DataFrame, path: str) -> None:
+    """Add timed actions (rel, keeps, status, files_sig, and ts if they have it, else now) to a ledger.
+
+    Each call writes a folder of its own, so appends at the same time lose nothing and nothing is rewritten.
+    """
+    timed = actions if "ts" in actions.columns else actions.withColumn("ts", F.current_timestamp())
+    timed.write.json(f"{path.rstrip('/')}/{uuid.uuid4().hex}")
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """The latest action on each group (rel): by ts, the greater status and keeps of equal times; empty if there is no ledger.
+
+    Unknown columns are dropped, missing ones null; rows that can't be read are left out.
+    """
+    known = StructType.fromDDL(LEDGER)
+    if not there(spark, path):
+        return spark.createDataFrame([], known)
+    rows = spark.read.schema(known.add("_corrupt", "string")).option("recursiveFileLookup", "true").option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    rest = ["status", "keeps", "files_sig"]
+    last = F.max_by(F.struct("ts", *rest), F.struct("ts", *rest)).alias("last")
+    return rows.where(F.col("_corrupt").isNull() & F.col("rel").isNotNull()).groupBy("rel").agg(last).select("rel", "last.keeps", "last.status", "last.ts", "last.files_sig")
+
+
+def compact_ledger(spark: SparkSession, path: str, to: str) -> None:
+    """Write a ledger's latest actions as one new ledger; the old one is left as it is."""
+    append_actions(read_ledger(spark, path), to)
+
+
+def there(spark: SparkSession, path: str) -> bool:
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs_path)
+
+
 def read_log(spark: SparkSession, path: str, columns: dict[str, str]) -> DataFrame:
     """The log's ``columns`` (name: type); those the file lacks are null, test_id stays a string; empty if there is no log."""
-    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    there = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs_path)
-    rows = spark.read.option("header", "true").csv(path) if there else spark.createDataFrame([], "test_id string")
+    rows = spark.read.option("header", "true").csv(path) if there(spark, path) else spark.createDataFrame([], "test_id string")
     value = lambda c, kind: F.col(f"`{c}`").try_cast(kind) if c in rows.columns else F.lit(None).cast(kind)
     return rows.select(*[value(c, kind).alias(c) for c, kind in columns.items()])
 
