@@ -334,7 +334,7 @@ def link_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", words:
 
 def keep_first(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 75) -> DataFrame:
     """The rows of ``docs`` that are the first of their class by id; rows without words all stay. Ids should be unique:
-    rows that repeat the first id all stay."""
+    rows that repeat the first id all stay, and every row goes whose id a later member of a class has, whatever its own text."""
     found = link_classes(docs, id, text, words, percent).where(F.col(id) != F.col("component_id")).select(F.col(id).alias("_gone")).distinct()
     return docs.join(found, F.col(id) == F.col("_gone"), "left_anti")
 

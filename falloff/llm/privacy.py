@@ -95,7 +95,8 @@ def detect(docs: DataFrame, id: str = "doc_id", text: str = "text", reveal: floa
     stands in a single text too. A term that no other row has gives away 0.585 bits less than all of such an entity,
     which is enough from 58 rows on. Such terms in the documents of e are
     added as spans of kind ``term``; documents without personal data get none. An entity in every row has no
-    information and adds none. Null and empty texts have no spans. Repeated rows get equal answers.
+    information and adds none. Null and empty texts have no spans. Repeated rows get equal answers. Other columns are ignored, whatever
+    their names. A very long text with many entities and terms has their pairs made a piece at a time.
 
     Every pass reads whole texts, counts are added by key with partial aggregation, and the filters that are
     broadcast are bitmaps of 128 kB whatever the input; exact joins follow them. Texts are not shuffled.
@@ -207,20 +208,27 @@ def _terms(text: str, spans: list[Span]) -> Iterator[tuple[int, int, int]]:
             yield _h(m.group().lower()), a, b
 
 
+#: Pairs of a document's entities and terms that are made at a time.
+_AT_ONCE = 500_000
+
+
 def _pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         e, t, each, size = [], [], [], 0
         for text in batch["text"]:
             if spans := base_spans(text):
-                held = {entity(text, s) for s in spans}
+                held = list({entity(text, s) for s in spans})
                 terms = np.fromiter({name for name, *_ in _terms(text, spans)}, dtype=np.int64)
-                e += held
-                t += [terms] * len(held)
-                each += [len(terms)] * len(held)
-                size += len(terms) * len(held)
-                if size > 1_000_000:
-                    yield _paired(e, t, each)
-                    e, t, each, size = [], [], [], 0
+                step = max(1, _AT_ONCE // max(1, len(terms)))
+                for at in range(0, len(held), step):
+                    some = held[at : at + step]
+                    e += some
+                    t += [terms] * len(some)
+                    each += [len(terms)] * len(some)
+                    size += len(terms) * len(some)
+                    if size > _AT_ONCE:
+                        yield _paired(e, t, each)
+                        e, t, each, size = [], [], [], 0
         if e:
             yield _paired(e, t, each)
 
@@ -253,9 +261,14 @@ def _term_counts(batches: Iterator[pd.DataFrame], terms: np.ndarray) -> Iterator
 
 def _places(batches: Iterator[pd.DataFrame], told: np.ndarray) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        out = []
         for id, text in zip(batch["id"], batch["text"], strict=True):
             if spans := base_spans(text):
-                page, held = _page(text), {entity(text, s) for s in spans}
-                out += [(id, page, e, t, a, b) for t, a, b in _terms(text, spans) if told[t % _BITS] for e in held]
-        yield pd.DataFrame(out, columns=["id", "page", "e", "t", "a", "b"]).astype({"id": batch["id"].dtype})
+                page, held = _page(text), np.array(list({entity(text, s) for s in spans}), dtype=np.int64)
+                found = [x for x in _terms(text, spans) if told[x[0] % _BITS]]
+                step = max(1, _AT_ONCE // max(1, len(held)))
+                for at in range(0, len(found), step):
+                    some = np.array(found[at : at + step], dtype=np.int64)
+                    t, a, b = np.repeat(some, len(held), axis=0).T
+                    out = pd.DataFrame({"page": page, "e": np.tile(held, len(some)), "t": t, "a": a, "b": b})
+                    out.insert(0, "id", pd.Series([id] * len(out), dtype=batch["id"].dtype))
+                    yield out

@@ -76,3 +76,14 @@ def test_too_many_labels_are_refused(spark):
     docs = spark.createDataFrame([(k, "some text", f"l{k}") for k in range(40)], "doc_id long, text string, lang string")
     with pytest.raises(ValueError):
         langid.fit(docs, most=10)
+
+
+def test_temperature_comes_from_models_of_halves(spark, monkeypatch):
+    """The model learns from every sampled row, and its temperature from logits of rows that models of either half haven't seen."""
+    rows = [(i, w * 3, lang) for i in range(80) for lang, w in (("a", f"alpha beta {i % 7} "), ("b", f"gamma delta {i % 5} "))]
+    fitted, calibrated, own, heat = [], [], langid.ftrl, langid.temperature
+    monkeypatch.setattr(langid, "ftrl", lambda some, n: fitted.append(len(some)) or own(some, n))
+    monkeypatch.setattr(langid, "temperature", lambda z, y: calibrated.append(z.shape) or heat(z, y))
+    langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(fitted) == 3 and fitted[0] == fitted[1] + fitted[2] and abs(fitted[1] - fitted[2]) <= 1
+    assert calibrated == [(fitted[0], 2)]

@@ -2,6 +2,9 @@ import hashlib
 import random
 import re
 
+import numpy as np
+import pandas as pd
+
 from falloff.llm import privacy
 
 PATTERNS = {
@@ -127,3 +130,17 @@ def test_entities_of_one_or_two_texts_have_telling_terms(spark):
     out = {x["doc_id"]: x["text"] for x in privacy.sanitise(docs, privacy.detect(docs)).collect()}
     assert all(out[k] == "steady market report window, asks [term] at [email]" for k in range(60))
     assert all(out[100 + k] == "garden [term] again [email]" for k in range(20)) and out[200] == "steady market garden"
+
+
+def test_many_entities_and_terms_in_one_text_come_in_pieces(monkeypatch):
+    text = " ".join(f"user{i}@mail{i}.example word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300))
+    frame = lambda: iter([pd.DataFrame({"id": [1], "text": [text]})])
+    told = np.ones(privacy._BITS, dtype=bool)
+    whole = pd.concat(privacy._pairs(frame())), pd.concat(privacy._places(frame(), told))
+    monkeypatch.setattr(privacy, "_AT_ONCE", 1000)
+    pieces = list(privacy._pairs(frame())), list(privacy._places(frame(), told))
+    for one, some in zip(whole, pieces, strict=True):
+        assert len(some) >= 50 and max(map(len, some)) <= 2000
+        columns = [c for c in ("id", "e", "t", "a", "b") if c in one]
+        assert sorted(map(tuple, one[columns].to_numpy().tolist())) == sorted(map(tuple, pd.concat(some)[columns].to_numpy().tolist()))
+    assert len(whole[0]) == 300 * len(set(whole[0]["t"])) and set(whole[0]["e"]) == set(whole[1]["e"])
