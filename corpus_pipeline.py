@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from falloff.llm import langid, lines, mixing, ngram_join, pieces
-from falloff.llm.common import cut
+from falloff.llm.common import cut, drop_cut
 from falloff.llm.queries import vocabulary
 
 
@@ -18,12 +18,19 @@ def _columns(out: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told; those without text or letters, or told with a score under 0.4, go."""
+    """Documents whose language is told; those without text or letters, or told with a score under 0.4, go.
+
+    Whole texts are read, slice by slice; repeated rows stay or go together; other columns are kept, whatever their names.
+    """
     return langid.keep_known(docs).select(docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that are boilerplate of their source."""
+    """All documents, without the lines that are boilerplate of their source.
+
+    A null text stays null, one of such lines alone becomes empty; repeated rows lose the same lines; very long texts are split by lines
+    like others; columns named like the operator's own are given back as they were.
+    """
     return _columns(lines.drop_boilerplate(docs), docs)
 
 
@@ -33,13 +40,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mixture takes it: not at all, once or twice."""
+    """Each document as often as the mixture takes it: not at all, once or twice.
+
+    Rows that repeat id and text are taken alike; a very long text is one document with its size in words; documents without
+    words are not taken; a null source is a source. Other columns are kept, whatever their names.
+    """
     out = mixing.mix(docs).where(F.col("copies") > 0)
     return out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, part, n_chars, n_ids, ids, exact): the pieces of every document, a giant one in parts in order."""
+    """(doc_id, part, n_chars, n_ids, ids, exact): the pieces of every document, a giant one in parts in order.
+
+    Repeated rows are encoded each; an empty or null text has no pieces; other columns are left out.
+    """
     return pieces.encode(docs, vocabulary()).select("doc_id", "part", "n_chars", "n_ids", "ids", "exact")
 
 
@@ -56,8 +70,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the documents of ``sf_dir``; a stage's table goes once the next one is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            drop_cut(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
