@@ -42,8 +42,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mixture takes it: not at all, once or twice.
 
-    Rows that repeat id and text are taken alike; a very long text is one document with its size in words; documents without
-    words are not taken; a null source is a source. Other columns are kept, whatever their names.
+    Rows that repeat id and text are taken alike; a very long text is one document with its size in words; one without
+    words is as often there as its source's certain copies say; a null source is a source. Other columns are kept, whatever their names.
     """
     out = mixing.mix(docs).where(F.col("copies") > 0)
     return out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(docs.columns)
@@ -52,7 +52,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, part, n_chars, n_ids, ids, exact): the pieces of every document, a giant one in parts in order.
 
-    Repeated rows are encoded each; an empty or null text has no pieces; other columns are left out.
+    Repeated rows are encoded each; a null text has one part with null ids; other columns are left out.
     """
     return pieces.encode(docs, vocabulary()).select("doc_id", "part", "n_chars", "n_ids", "ids", "exact")
 
