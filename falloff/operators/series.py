@@ -141,7 +141,12 @@ def injected_volume(rows: DataFrame, window: DataFrame, rate: str = "rate", volu
     within = (F.col(order) >= F.col("start_idx")) & (F.col(order) < F.col("shutin_idx"))
     nxt = F.lead(rate).over(along(order)), F.lead("t_s").over(along(order)), F.lead(order).over(along(order))
     area = F.when(within & (nxt[2] < F.col("shutin_idx")), (F.col(rate) + nxt[0]) / 2 * (nxt[1] - F.col("t_s")) / 60.0)
-    per = seg.withColumn("_area", area).groupBy(KEY).agg(
+    return volumes(seg.withColumn("_area", area), volume, order)
+
+
+def volumes(seg: DataFrame, volume: str, order: str) -> DataFrame:
+    """What ``injected_volume`` returns, from rows with their window and the area under the rate up to the next row."""
+    per = seg.groupBy(KEY).agg(
         (F.max(F.when(F.col(order) == F.col("shutin_idx"), F.col(volume))) - F.max(F.when(F.col(order) == F.col("start_idx"), F.col(volume)))).alias("vinj_delta"),
         F.coalesce(F.sum("_area"), F.lit(0.0)).alias("vinj_integral"),
     )

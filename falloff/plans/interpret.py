@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from falloff.functions import formulas as fx
 from falloff.operators import series as s
+from falloff.operators.segments import Segments
 from falloff.plans.staging import staged
 
 KEY = s.KEY
@@ -41,34 +42,37 @@ def inputs_ready(is_bhp: Column, ppg: Column, tvd_ft: Column) -> Column:
     return F.coalesce(is_bhp, F.lit(False)) | (ppg.isNotNull() & tvd_ft.isNotNull())
 
 
-def pumping(samples: DataFrame, picks: DataFrame) -> DataFrame:
+def pumping(samples: DataFrame, picks: DataFrame, scans: Segments | None = None) -> DataFrame:
     """(test_id, t_shutin, qmax, vinj.., te): what the injection window gives."""
+    ops = scans or s
     window = picks.where(F.col("start_idx").isNotNull() & F.col("shutin_idx").isNotNull()).select(KEY, "start_idx", "shutin_idx", "qmax_bpm")
-    t0 = samples.join(window, KEY).where(F.col("idx") == F.col("shutin_idx")).select(KEY, F.col("t_s").alias("t_shutin"), "qmax_bpm")
-    out = t0.join(s.max_sustained_rate(samples, window.drop("qmax_bpm")), KEY, "left").join(s.injected_volume(samples, window.drop("qmax_bpm")), KEY, "left")
+    t0 = samples.join(window.select(KEY, F.col("shutin_idx").alias("idx"), "qmax_bpm"), [KEY, "idx"]).select(KEY, F.col("t_s").alias("t_shutin"), "qmax_bpm")
+    out = t0.join(ops.max_sustained_rate(samples, window.drop("qmax_bpm")), KEY, "left").join(ops.injected_volume(samples, window.drop("qmax_bpm")), KEY, "left")
     out = out.withColumn("qmax", F.coalesce(F.when(F.col("qmax_bpm") != 0, F.col("qmax_bpm")), "qmax"))
     return out.withColumn("te", fx.effective_pump_time(F.col("vinj"), F.col("qmax"))).drop("qmax_bpm")
 
 
-def falloff(samples: DataFrame, picks: DataFrame, pumped: DataFrame) -> DataFrame:
+def falloff(samples: DataFrame, picks: DataFrame, pumped: DataFrame, scans: Segments | None = None) -> DataFrame:
     """Resampled pressure after shut-in with te of its test, of tests with a positive te and three rows at least."""
-    after = samples.join(pumped.where(F.col("te").isNotNull()).select(KEY, "t_shutin", "te"), KEY).join(picks.select(KEY, "resample_step"), KEY)
+    per = pumped.where(F.col("te").isNotNull()).select(KEY, "t_shutin", "te").join(picks.select(KEY, "resample_step"), KEY)
+    after = scans.spread(samples, per) if scans else samples.join(per, KEY)
     after = after.withColumn("dt", F.col("t_s") - F.col("t_shutin")).where(F.col("dt") >= 0)
-    kept = s.resample_increment(after, F.col("resample_step"))
+    kept = (scans or s).resample_increment(after, F.col("resample_step"))
     return kept.withColumn("n_kept", F.count("*").over(s.whole())).where(F.col("n_kept") >= 3).join(pumped.select(KEY, "te"), KEY)
 
 
-def interpret(samples: DataFrame, picks: DataFrame, alpha: float = 1.0, step: float = 30.0, channels: DataFrame | None = None) -> DataFrame:
+def interpret(samples: DataFrame, picks: DataFrame, alpha: float = 1.0, step: float = 30.0, channels: DataFrame | None = None, scans: Segments | None = None) -> DataFrame:
     """One row for each test of ``picks``: every derived value its picks support, null where they don't.
 
     ``samples`` has test_id, idx, t_s, p, rate, volume. All tests are computed together: each table below is keyed
     by test_id, and after resampling holds a few hundred rows a test. With ``channels`` p is first brought to bottomhole.
+    With ``scans`` long records are scanned by many tasks each; without, a test's samples are one task's.
     """
     if channels is not None:
         samples = staged(with_bottomhole(samples, channels), "bottomhole")
     picks = with_all_picks(picks, step)
-    pumped = staged(pumping(samples, picks), "pumped")
-    resampled = staged(falloff(samples, picks, pumped), "resampled")
+    pumped = staged(pumping(samples, picks, scans), "pumped")
+    resampled = staged(falloff(samples, picks, pumped, scans), "resampled")
     diag = staged(s.g_diagnostics(resampled, F.col("te"), alpha), "diagnostics")
     late = s.loglog_diagnostics(resampled)
     has = resampled.select(KEY).distinct().withColumn("has_diag", F.lit(True))
@@ -114,14 +118,15 @@ RESULTS = [
 ]
 
 
-def auto_picks(samples: DataFrame, alpha: float = 1.0, step: float = 30.0, isip_after_s: float = 60.0) -> DataFrame:
+def auto_picks(samples: DataFrame, alpha: float = 1.0, step: float = 30.0, isip_after_s: float = 60.0, scans: Segments | None = None) -> DataFrame:
     """Picks seeded from the data: main cycle, ISIP tangent, minimum, contact at the hump of dP/dG, departure, late window."""
-    window = staged(s.main_cycle(samples), "window")
+    ops = scans or s
+    window = staged(ops.main_cycle(samples), "window")
     base = with_all_picks(window, step)
-    pumped = staged(pumping(samples, base), "pumped")
+    pumped = staged(pumping(samples, base, scans), "pumped")
     at = pumped.select(KEY, (F.col("t_shutin") + isip_after_s).alias("isip_at"))
-    isip = s.tangent_at(samples, at, "t_s", "p", "isip_at", half=30, order="idx").select(KEY, F.col("anchor_x").alias("isip_x"), F.col("anchor_y").alias("isip_y"), F.col("slope").alias("isip_slope"))
-    resampled = staged(falloff(samples, base, pumped), "resampled")
+    isip = ops.tangent_at(samples, at, "t_s", "p", "isip_at", half=30, order="idx").select(KEY, F.col("anchor_x").alias("isip_x"), F.col("anchor_y").alias("isip_y"), F.col("slope").alias("isip_slope"))
+    resampled = staged(falloff(samples, base, pumped, scans), "resampled")
     diag = staged(s.g_diagnostics(resampled, F.col("te"), alpha), "diagnostics")
     many = F.col("n_kept") > 5
     hump = diag.where(many & F.col("dPdG").isNotNull()).groupBy(KEY).agg(F.max_by("G", F.struct(F.col("dPdG"), -F.col("i"))).alias("contact_G"))
@@ -131,7 +136,7 @@ def auto_picks(samples: DataFrame, alpha: float = 1.0, step: float = 30.0, isip_
     return window.join(isip, KEY, "left").join(hump, KEY, "left").join(least, KEY, "left").join(closure, KEY, "left").join(late, KEY, "left").withColumn("resample_step", F.lit(float(step)))
 
 
-def interpret_all(samples: DataFrame, alpha: float = 1.0, step: float = 30.0) -> DataFrame:
+def interpret_all(samples: DataFrame, alpha: float = 1.0, step: float = 30.0, scans: Segments | None = None) -> DataFrame:
     """Seed the picks of every test, then interpret with them."""
     samples = staged(samples, "samples")
-    return interpret(samples, staged(auto_picks(samples, alpha, step), "picks"), alpha, step)
+    return interpret(samples, staged(auto_picks(samples, alpha, step, scans=scans), "picks"), alpha, step, scans=scans)
