@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from falloff.functions import text as tx
 from falloff.operators import series as s
+from falloff.plans.staging import staged
 
 #: Fixed values of the profile's verdict.
 MIN_SAMPLES, MIN_HOURS, MIN_DROP_PSI, MIN_AFTER_HOURS, MIN_DECLINE, MIN_DIFFS, KPA_ABOVE, PSI_ABOVE, KPA_PER_PSI = 50, 1.0, 50.0, 4.0, 0.6, 10, 40000.0, 100.0, 6.895
@@ -185,19 +186,64 @@ def plan_warnings(groups: DataFrame, decisions: DataFrame) -> DataFrame:
     return excluded.unionByName(decided.join(groups, "rel", "left_anti").select("rel", F.lit("unknown_group").alias("reason")))
 
 
-def separate_destinations(moves: DataFrame) -> DataFrame:
-    """Moves with one destination each: a second source for one gets its folder's name before its own, a third a number."""
+def _numbers_taken(names: DataFrame) -> DataFrame:
+    """(stem, n): numbers that ``names`` (name) take: a name itself is 1 of its own stem, one ending in " (n)" is n of the stem before."""
+    end = r"^(.*) \(([2-9]|[1-9][0-9]{1,8})\)((?:\.[^./]*)?)$"
+    own = names.select(F.col("name").alias("stem"), F.lit(1).alias("n"))
+    counted = names.where(F.col("name").rlike(end)).select(
+        F.concat(F.regexp_extract("name", end, 1), F.regexp_extract("name", end, 3)).alias("stem"), F.regexp_extract("name", end, 2).cast("int").alias("n")
+    )
+    return own.unionByName(counted).distinct()
+
+
+def _numbered(stem: Column, n: Column) -> Column:
+    """``stem`` for 1, else with " (n)" before its extension."""
+    head, tail = F.regexp_replace(stem, r"(\.[^./]*)?$", ""), F.regexp_extract(stem, r"(\.[^./]*)$", 1)
+    return F.when(n == 1, stem).otherwise(F.concat(head, F.lit(" ("), n.cast("string"), F.lit(")"), tail))
+
+
+def _offered(open_: DataFrame, taken: DataFrame) -> DataFrame:
+    """``open_`` (src, stem, ..) with ``to``: for the r-th source of a stem, in order, the r-th name that is not taken."""
+    ranked = open_.withColumn("_r", F.row_number().over(Window.partitionBy("stem").orderBy("src")))
+    numbers = _numbers_taken(taken).join(open_.select("stem").distinct(), "stem", "left_semi")
+    # A taken number with g free ones below it moves every rank above g on by one.
+    below = F.col("n") - F.row_number().over(Window.partitionBy("stem").orderBy("n")) + 1
+    both = ranked.withColumn("_moves", F.lit(0)).unionByName(numbers.select("stem", below.alias("_r"), F.lit(1).alias("_moves")), allowMissingColumns=True)
+    on = F.sum("_moves").over(Window.partitionBy("stem").orderBy("_r", F.desc("_moves")).rowsBetween(Window.unboundedPreceding, 0))
+    placed = both.withColumn("_n", (F.col("_r") + on).cast("int")).where(F.col("_moves") == 0)
+    return placed.withColumn("to", _numbered(F.col("stem"), F.col("_n"))).drop("_r", "_moves", "_n")
+
+
+def separate_destinations(moves: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+    """Moves with one destination each, and ``skipped`` where ``existing`` (path) is given.
+
+    Of the sources for one destination the first keeps it. The others get their folder's name before it, and a number where that is
+    taken too: by another move, as planned or as renamed, or by a path of ``existing``. Renaming is repeated over both until nothing
+    clashes; each round settles one name at least of every clash. A move whose planned destination exists is skipped and keeps it.
+    """
     moves = moves.dropDuplicates(["src", "dst"])
-    r = F.row_number().over(Window.partitionBy("dst").orderBy("src"))
-    parts = F.split("src", "/")
-    folder, base = F.element_at(parts, -2), F.element_at(parts, -1)
-    head = F.regexp_replace("dst", "[^/]*$", "")
-    first = moves.withColumn("_r", r).withColumn("_to", F.when(F.col("_r") == 1, F.col("dst")).otherwise(F.concat(head, folder, F.lit(" - "), base)))
-    again = F.row_number().over(Window.partitionBy("_to").orderBy("_r", "src"))
-    numbered = F.regexp_replace("_to", r"(\.[^./]*)?$", "")
-    out = first.withColumn("_k", again)
-    suffix = F.regexp_extract("_to", r"(\.[^./]*)$", 1)
-    return out.withColumn("dst", F.when(F.col("_k") == 1, F.col("_to")).otherwise(F.concat(numbered, F.lit(" ("), F.col("_k").cast("string"), F.lit(")"), suffix))).drop("_r", "_to", "_k")
+    if existing is not None:
+        there = existing.select(F.col("path").alias("dst")).distinct().withColumn("_there", F.lit(True))
+        moves = moves.join(there, "dst", "left").withColumn("skipped", F.when(F.col("_there"), F.lit("destination exists"))).drop("_there")
+    names = [c for c in moves.columns if c not in ("src", "dst")]
+    out = names + ["src", "dst"]
+    stands = F.col("skipped").isNotNull() if existing is not None else F.lit(False)
+    parts, head, base = F.split("src", "/"), F.regexp_extract("dst", "^(.*/)?", 0), F.regexp_extract("dst", "[^/]*$", 0)
+    ranked = moves.withColumn("_first", stands | (F.row_number().over(Window.partitionBy("dst").orderBy("src")) == 1))
+    ranked = staged(ranked.withColumn("stem", F.concat(head, F.coalesce(F.try_element_at(parts, F.lit(-2)), F.lit("")), F.lit(" - "), base)), "destinations")
+    done = ranked.where("_first").select(out)
+    taken = done.select(F.col("dst").alias("name"))
+    if existing is not None:
+        taken = taken.unionByName(existing.select(F.col("path").alias("name")))
+    left = ranked.where("NOT _first").select(*names, "src", "stem")
+    while not left.isEmpty():
+        given = _offered(left, taken).withColumn("_wins", F.row_number().over(Window.partitionBy("to").orderBy("stem", "src")) == 1)
+        given = staged(given, "destinations")
+        won = given.where("_wins").select(*names, "src", F.col("to").alias("dst"))
+        done = done.unionByName(won)
+        taken = taken.unionByName(won.select(F.col("dst").alias("name")))
+        left = given.where("NOT _wins").select(*names, "src", "stem")
+    return done
 
 
 def merge_keeps(old: DataFrame, new: DataFrame) -> DataFrame:
