@@ -30,7 +30,7 @@ _PACKAGE = "http://schemas.openxmlformats.org/package/2006"
 _TYPES = "application/vnd.openxmlformats-officedocument.spreadsheetml"
 _HEAD = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n'
 _FROZEN = '<sheetViews><sheetView workbookViewId="0"><pane ySplit="1" topLeftCell="A2" activePane="bottomLeft" state="frozen"/></sheetView></sheetViews>'
-_FORBIDDEN = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f￾￿\ud800-\udfff]")
+_FORBIDDEN = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\ufffe\uffff\ud800-\udfff]")
 
 
 def column_name(k: int) -> str:
