@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from falloff.operators import series as s
+from falloff.plans.staging import staged
 
 KEY = s.KEY
 CHUNK = "_chunk"
@@ -98,9 +99,16 @@ class Segments:
         per = rows.groupBy(KEY, CHUNK).agg(F.min_by(value, order).alias("_first")).select(KEY, CHUNK, F.lead("_first").over(s.along(CHUNK)).alias("_first"))
         return _join(rows, per).withColumn("_next", F.coalesce(F.lead(value).over(_within(order)), F.col("_first"))).drop("_first")
 
+    def between(self, rows: DataFrame, window: DataFrame, order: str = "idx") -> DataFrame:
+        """Rows of each test from start_idx to shutin_idx with both, joined on the chunks that these reach; needs no pass over the rows first."""
+        first, last = F.floor(F.col("start_idx") / self.size), F.floor(F.col("shutin_idx") / self.size)
+        reached = window.where(F.col("start_idx") <= F.col("shutin_idx")).select(KEY, "start_idx", "shutin_idx", F.explode(F.sequence(first, last)).alias(CHUNK))
+        return self.cut(rows, order).join(reached, [KEY, CHUNK]).where(F.col(order).between(F.col("start_idx"), F.col("shutin_idx")))
+
     def positions(self, rows: DataFrame, order: str = "idx") -> DataFrame:
-        """``_pos``: each row's number in its test from 0, without gaps; needs ``cut``."""
-        per = rows.groupBy(KEY, CHUNK).agg(F.count("*").alias("_n")).select(KEY, CHUNK, F.coalesce(F.sum("_n").over(_earlier(s.along(CHUNK))), F.lit(0)).alias("_n"))
+        """``_pos``, each row's number in its test from 0 without gaps, and ``_size``, its test's rows; needs ``cut``."""
+        per = rows.groupBy(KEY, CHUNK).agg(F.count("*").alias("_n"))
+        per = per.select(KEY, CHUNK, F.coalesce(F.sum("_n").over(_earlier(s.along(CHUNK))), F.lit(0)).alias("_n"), F.sum("_n").over(s.whole()).alias("_size"))
         return _join(rows, per).withColumn("_pos", F.col("_n") + F.row_number().over(_within(order)) - 1).drop("_n")
 
     def elapsed_seconds(self, rows: DataFrame, ts: str = "ts", order: str = "idx") -> DataFrame:
@@ -137,12 +145,15 @@ class Segments:
         per = per.select(KEY, CHUNK, F.sum("_n").over(s.whole()).alias("n_raw"), F.min("_m").over(_earlier(s.along(CHUNK))).alias("_m"))
         low = F.least(F.min(p).over(_earlier(_within(order))), F.col("_m"))
         found = _join(rows.where(good), per).withColumn("_low", low)
-        cut = found.groupBy(KEY, CHUNK).agg(F.min(F.when(F.col(p) > F.col("_low") + F.col("_rise"), F.col(order))).alias("_c"), F.first("n_raw").alias("n_raw"))
-        cut = cut.select(KEY, CHUNK, "n_raw", F.min("_c").over(s.whole()).alias("_cut"))
-        lows = _join(found.drop("n_raw"), cut.drop("n_raw")).where((F.col("_cut").isNull() | (F.col(order) < F.col("_cut"))) & (F.col("_low").isNull() | (F.col(p) < F.col("_low"))))
-        kept = _fold(lows.select(KEY, F.col(order), F.col(dt).cast("double").alias("dt"), F.col(p).cast("double").alias("p"), F.col("_step").cast("double").alias("_step")), order)
-        tests = cut.groupBy(F.col(KEY).alias("_k")).agg(F.first("n_raw").alias("n_raw"), F.first("_cut").alias("_cut"))
-        out = kept.join(tests, F.col(KEY).eqNullSafe(F.col("_k")))
+        risen = F.when(F.col(p) > F.col("_low") + F.col("_rise"), F.col(order))
+        # Of what rises a chunk's first row is enough; with the new lows this is all that goes on.
+        found = found.withColumn("_rose", F.coalesce(F.min(risen).over(Window.partitionBy(KEY, CHUNK)) == F.col(order), F.lit(False)))
+        found = found.withColumn("_new", F.col("_low").isNull() | (F.col(p) < F.col("_low"))).where(F.col("_rose") | F.col("_new"))
+        marked = staged(found.select(KEY, F.col(order), F.col(dt).cast("double").alias("dt"), F.col(p).cast("double").alias("p"), F.col("_step").cast("double").alias("_step"), "n_raw", "_rose", "_new"), "lows")
+        tests = marked.groupBy(F.col(KEY).alias("_k")).agg(F.first("n_raw").alias("n_raw"), F.min(F.when(F.col("_rose"), F.col(order))).alias("_cut"))
+        same = F.col(KEY).eqNullSafe(F.col("_k"))
+        lows = marked.where("_new").drop("n_raw").join(tests, same).where(F.col("_cut").isNull() | (F.col(order) < F.col("_cut")))
+        out = _fold(lows, order).join(tests, same)
         return out.select(KEY, "i", "dt", "p", "n_raw", F.when(F.col("_cut").isNotNull(), F.count("*").over(s.whole()).cast("int")).alias("guarded_at"))
 
     def injection_window(self, rows: DataFrame, rate: str = "rate", threshold: float = 0.1, order: str = "idx") -> DataFrame:
@@ -152,14 +163,16 @@ class Segments:
     def main_cycle(self, rows: DataFrame, rate: str = "rate", volume: str = "volume", threshold: float = 0.1, order: str = "idx") -> DataFrame:
         """As in ``series``: a stretch that goes on in the next chunk is one, numbered over all chunks."""
         w = _within(order)
-        out = self.following(self.cut(rows, order), [order, volume], order)
-        out = out.withColumn("_on", F.coalesce(F.col(rate) > threshold, F.lit(False)))
+        value = F.struct(F.col(order).alias("o"), F.col(volume).alias("v"))
+        out = self.cut(rows, order).withColumn("_on", F.coalesce(F.col(rate) > threshold, F.lit(False))).withColumn("_next", F.lead(value).over(w))
         out = out.withColumn("_new", F.when(F.col("_on") & ~F.coalesce(F.lag("_on").over(w), F.lit(False)), 1).otherwise(0))
-        per = out.groupBy(KEY, CHUNK).agg(F.sum("_new").alias("_n"), F.min_by("_on", order).alias("_a"), F.max_by("_on", order).alias("_z"))
-        per = per.withColumn("_same", F.when(F.col("_a") & F.coalesce(F.lag("_z").over(s.along(CHUNK)), F.lit(False)), 1).otherwise(0))
-        per = per.select(KEY, CHUNK, (F.coalesce(F.sum(F.col("_n") - F.col("_same")).over(_earlier(s.along(CHUNK))), F.lit(0)) - F.col("_same")).alias("_add"))
-        out = _join(out, per).withColumn("_stretch", F.col("_add") + F.sum("_new").over(w))
-        next_o, next_v = F.col("_next")[order], F.col("_next")[volume]
+        per = out.groupBy(KEY, CHUNK).agg(F.sum("_new").alias("_n"), F.min_by("_on", order).alias("_a"), F.max_by("_on", order).alias("_z"), F.min_by(value, order).alias("_first"))
+        by = s.along(CHUNK)
+        per = per.withColumn("_same", F.when(F.col("_a") & F.coalesce(F.lag("_z").over(by), F.lit(False)), 1).otherwise(0))
+        added = F.coalesce(F.sum(F.col("_n") - F.col("_same")).over(_earlier(by)), F.lit(0)) - F.col("_same")
+        out = _join(out, per.select(KEY, CHUNK, added.alias("_add"), F.lead("_first").over(by).alias("_after")))
+        out = out.withColumn("_stretch", F.col("_add") + F.sum("_new").over(w)).withColumn("_next", F.coalesce("_next", "_after"))
+        next_o, next_v = F.col("_next")["o"], F.col("_next")["v"]
         ends = out.where("_on").groupBy(KEY, "_stretch").agg(
             F.min(order).alias("start_idx"), F.min_by(volume, order).alias("_v0"),
             F.max_by(F.coalesce(next_o, F.col(order)), order).alias("shutin_idx"), F.max_by(F.when(F.col("_next").isNull(), F.col(volume)).otherwise(next_v), order).alias("_v1"),
@@ -177,18 +190,16 @@ class Segments:
 
     def max_sustained_rate(self, rows: DataFrame, window: DataFrame, rate: str = "rate", width: int = 15, order: str = "idx") -> DataFrame:
         """As in ``series``; stretches shorter than ``width`` go to ``series`` itself."""
-        seg = self.spread(rows, window, order).where((F.col(order) >= F.col("start_idx")) & (F.col(order) < F.col("shutin_idx")))
-        sizes = seg.groupBy(KEY).agg(F.count("*").alias("_size"))
-        long, short = sizes.where(F.col("_size") >= width).select(KEY), sizes.where(F.col("_size") < width).select(KEY)
-        placed = self.positions(self.cut(self.spread(seg, long, order), order), order)
+        seg = staged(self.between(rows.select(KEY, order, rate), window, order).where(F.col(order) < F.col("shutin_idx")).select(KEY, order, rate), "pumped-rows")
+        placed = self.positions(self.cut(seg, order), order)
         before, after = width // 2, (width - 1) // 2
         mean = F.sum(rate).over(_within("_pos").rowsBetween(-before, after)) / float(width)
-        peaks = self.haloed(placed, before, after).withColumn("_mean", mean).where("_own").groupBy(KEY).agg(F.max("_mean").alias("qmax"))
-        few = self.spread(seg, short, order).select(KEY, order, rate)
+        peaks = self.haloed(placed.where(F.col("_size") >= width), before, after).withColumn("_mean", mean).where("_own").groupBy(KEY).agg(F.max("_mean").alias("qmax"))
+        few = placed.where(F.col("_size") < width).select(KEY, order, rate)
         return peaks.unionByName(s.max_sustained_rate(few, window, rate, width, order))
 
     def injected_volume(self, rows: DataFrame, window: DataFrame, rate: str = "rate", volume: str = "volume", order: str = "idx") -> DataFrame:
-        seg = self.following(self.cut(self.spread(rows, window, order), order), [rate, "t_s", order], order)
+        seg = self.following(self.between(rows, window, order), [rate, "t_s", order], order)
         within = (F.col(order) >= F.col("start_idx")) & (F.col(order) < F.col("shutin_idx"))
         nxt = F.col("_next")
         area = F.when(within & (nxt[order] < F.col("shutin_idx")), (F.col(rate) + nxt[rate]) / 2 * (nxt["t_s"] - F.col("t_s")) / 60.0)
@@ -201,5 +212,5 @@ class Segments:
         near = placed.where(F.col(x).isNotNull())
         best = F.min_by(F.struct(F.col(x).alias("anchor_x"), F.col(y).alias("anchor_y"), F.col("_pos").alias("_p")), F.struct(F.round(F.abs(F.col(x) - F.col("_at")), 9), F.col(order)))
         found = near.groupBy(KEY).agg(best.alias("b")).select(KEY, "b.*")
-        around = self.spread(placed.drop(CHUNK), found, order).where(F.abs(F.col("_pos") - F.col("_p")) <= half)
+        around = self.spread(placed.drop(CHUNK, "_size"), found, order).where(F.abs(F.col("_pos") - F.col("_p")) <= half)
         return around.groupBy(KEY).agg(F.first("anchor_x").alias("anchor_x"), F.first("anchor_y").alias("anchor_y"), F.coalesce(F.regr_slope(y, x), F.lit(0.0)).alias("slope"))

@@ -34,8 +34,7 @@ def from_log_bound(position: Column) -> Column:
 def _thinned(rows: DataFrame, most: int, scans: Segments) -> DataFrame:
     """Every k-th row of what was kept of each test, by position, ``most`` at most; no test's rows are sorted in one task."""
     placed = scans.positions(scans.cut(rows)).drop(CHUNK)
-    sizes = placed.groupBy(KEY).agg(F.greatest(F.ceil(F.count("*") / most), F.lit(1)).alias("_step"))
-    return scans.spread(placed, sizes).where(F.col("_pos") % F.col("_step") == 0).drop("_step", "_pos")
+    return placed.where(F.col("_pos") % F.greatest(F.ceil(F.col("_size") / most), F.lit(1)) == 0).drop("_size", "_pos")
 
 
 def _long(rows: DataFrame, step: str, x: Column, ys: dict[str, Column]) -> DataFrame:
