@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -86,26 +87,34 @@ class Pieces:
 
     def viterbi(self, text: str) -> list[int]:
         """Ids of the best path; of equal ones, that whose last piece is longest, and so on backwards."""
-        n = len(text)
-        back = self._best(text)[1]
-        ids: list[int] = []
-        while n:
-            at, k = back[n]
-            ids += [k] if k >= 0 else [self.byte_ids[b] for b in reversed(text[at:n].encode("utf-8", "surrogatepass"))]
-            n = at
-        ids.reverse()
-        return ids
+        return self._trace(text, self._best(text)[1], len(text))[1]
 
-    def _best(self, text: str) -> tuple[list[int], list[tuple[int, int]]]:
-        best: list = [0] + [None] * len(text)
-        back: list = [None] * (len(text) + 1)
-        for at in range(len(text)):
+    def _best(self, text: str, start: tuple | list = (0,), size: int | None = None) -> tuple[list, list]:
+        """Scores of all positions, None where no path leads, and their back pointers.
+
+        ``start`` has what it costs to begin that many characters into the text. No piece begins at ``size`` or beyond, one may end there.
+        """
+        best = [*start, *[None] * (len(text) + 1 - len(start))]
+        back: list = [None] * len(best)
+        for at in range(len(text) if size is None else size):
             here = best[at]
+            if here is None:
+                continue
             for end, k, score in self.steps(text, at):
                 if best[end] is None or here + score > best[end]:
                     best[end], back[end] = here + score, (at, k)
         return best, back
 
+    def _trace(self, text: str, back: list, end: int) -> tuple[int, list[int]]:
+        """Where the best path to ``end`` begins, and its ids."""
+        ids: list[int] = []
+        while back[end] is not None:
+            at, k = back[end]
+            ids += [k] if k >= 0 else [self.byte_ids[b] for b in reversed(text[at:end].encode("utf-8", "surrogatepass"))]
+            end = at
+        ids.reverse()
+        return end, ids
+
     def _kernel(self):
         """The library's Viterbi over the same pieces and scores, for short words that are not yet in memory."""
         if self.kernel is None:
@@ -165,125 +174,133 @@ class Pieces:
             return "".join([text[k] for k in listed])[1:]
         return self.decode_plain(ids).decode("utf-8", "surrogatepass")[1:]
 
-    def _lattice(self, text: str, start: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Scores of all positions up to ``size`` + longest for each row of ``start``, back pointers and ids.
-
-        ``start`` (rows x states) has what it costs to begin at each state, that many characters into the text.
-        ``text`` reaches beyond ``size``: a piece may end there, but none begins there.
+    def cuts(self, text: str, size: int) -> tuple[int, int] | None:
+        """The first and last forced cut of a chunk that lie after all its begin states and before its end, if there is one."""
+        found = self.cut.search(text, self.longest, size) if self.cut else None
+        if found is None:
+            return None
+        first, reach = found.start(), 256
+        while not (late := [m.start() for m in self.cut.finditer(text, max(first, size - reach), size)]):
+            reach *= 4
+        return first, late[-1]
+
+    def summary(self, text: str, size: int) -> dict:
+        """What the scan needs to know of a chunk of ``size`` characters, and the ids that do not depend on its neighbours.
+
+        State s: the piece over an edge ends s characters into what follows. All paths through a chunk with a forced cut meet there, so
+        its matrix from begin to end states has rank one: ``m`` has the best scores from each begin state to the first cut, ``w`` those
+        from there to each end state, with what lies between, whose ids are final. A chunk without a cut has its whole matrix in ``m``
+        and its text in ``tail``. In ``tail`` pieces begin at the first ``rest`` characters.
         """
-        width = size + self.longest
-        best = np.full((len(start), width), NEVER)
-        best[:, : start.shape[1]] = start
-        back = np.full((len(start), width), -1, dtype=np.int32)
-        ids = np.zeros((len(start), width), dtype=np.int32)
-        for at in range(size):
-            here = best[:, at]
-            if (here == NEVER).all():
-                continue
-            for end, k, score in self.steps(text, at):
-                new = np.where(here == NEVER, NEVER, here + score)
-                better = new > best[:, end]
-                best[better, end], back[better, end], ids[better, end] = new[better], at, k
-        return best, back, ids
+        found = self.cuts(text, size)
+        if found is None:
+            m = np.stack([self._ends(text, size, [None] * s + [0]) for s in range(self.longest)])
+            return {"m": m.tobytes(), "w": None, "head": None, "tail": text, "rest": size, "ids": np.zeros(0, dtype=np.int32), "exact": True}
+        head, tail = found
+        to = [0] * (head + 1)
+        for at in range(head - 1, -1, -1):
+            to[at] = max(score + to[end] for end, _, score in self.steps(text[:head], at))
+        ids = self.encode_plain(text[head:tail])
+        w = plus(self._ends(text[tail:], size - tail, [0]), self.worth[ids].sum())
+        exact = self.decode_plain(ids).decode("utf-8", "surrogatepass") == text[head:tail]
+        return {"m": np.array(to[: self.longest], dtype=np.int64).tobytes(), "w": w.tobytes(), "head": text[:head], "tail": text[tail:], "rest": size - tail, "ids": ids, "exact": exact}
+
+    def _ends(self, text: str, size: int, start: list) -> np.ndarray:
+        """Best scores of the states behind ``size`` characters."""
+        best = self._best(text, start, size)[0][size : size + self.longest]
+        return np.array([NEVER if x is None else x for x in best] + [NEVER] * (self.longest - len(best)), dtype=np.int64)
+
+    def entries(self, head: str | None, tail: str, rest: int, v: np.ndarray, w: np.ndarray | None) -> tuple[np.ndarray, np.ndarray | None]:
+        """Backwards, from each end state of a chunk to the begin state of its best path: a step of the scan, 0 where the path leads.
+
+        ``v``: scores of the begin states.
+        """
+        start = [None if x == NEVER else int(x) for x in v]
+        if head is not None:
+            entry = np.full(self.longest, NEVER)
+            entry[self._trace(head, self._best(head, start)[1], len(head))[0]] = 0
+            return np.where(w == NEVER, NEVER, 0), entry
+        best, back = self._best(tail, start, rest)
+        m = np.full((self.longest, self.longest), NEVER)
+        for e, x in enumerate(best[rest : rest + self.longest]):
+            if x is not None:
+                m[e, self._trace(tail, back, rest + e)[0]] = 0
+        return m, None
 
-    def transfer(self, text: str, size: int) -> np.ndarray:
-        """Best score from each state at a chunk's begin to each state at its end, ``size`` characters on.
+    def path(self, head: str | None, tail: str, rest: int, v: np.ndarray, exit: int, middle: np.ndarray) -> tuple[np.ndarray, bool]:
+        """The ids of a chunk's path to an end state, and whether those about its cuts decode to their text."""
+        start = [None if x == NEVER else int(x) for x in v]
+        first, same = [], True
+        if head is not None:
+            entry, first = self._trace(head, self._best(head, start)[1], len(head))
+            same, start = self._decodes(first, head[entry:]), [0]
+        entry, last = self._trace(tail, self._best(tail, start, rest)[1], rest + exit)
+        ids = np.concatenate([np.array(first, dtype=np.int32), np.asarray(middle, dtype=np.int32), np.array(last, dtype=np.int32)])
+        return ids, same and self._decodes(last, tail[entry : rest + exit])
 
-        State s: the piece over the edge ends s characters into what follows.
-        """
-        states = self.longest
-        head, middle, tail = self._split(text, size)
-        if head is None:
-            start = np.full((states, states), NEVER)
-            np.fill_diagonal(start, 0)
-            return self._lattice(text, start, size)[0][:, size : size + states]
-        start = np.full((states, states), NEVER)
-        np.fill_diagonal(start, 0)
-        first = self._lattice(text[:head], start, head)[0][:, head]
-        inner = int(self.worth[self.encode_plain(text[head:tail])].sum())
-        last = self._lattice(text[tail:], np.zeros((1, 1), dtype=np.int64), size - tail)[0][0, size - tail : size - tail + states]
-        both = first[:, None] + last[None, :]
-        return np.where((first[:, None] == NEVER) | (last[None, :] == NEVER), NEVER, both + inner)
-
-    def _split(self, text: str, size: int) -> tuple[int | None, int, int]:
-        """The first and last forced cut of a chunk, after all begin states and before its end, if there are two."""
-        cuts = [m.start() for m in self.unit.finditer(text, 0, size)]
-        # A unit found at the very begin may belong to one that began before; cuts inside the chunk are real.
-        inner = [c for c in cuts if c >= self.longest and _real(text, c)]
-        if len(inner) < 2:
-            return None, 0, 0
-        return inner[0], 0, inner[-1]
-
-    def paths(self, text: str, size: int, start: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
-        """(exit state, entry state, ids) of the best path to each exit, given the scores of the entry states."""
-        head, _, tail = self._split(text, size)
-        out = []
-        if head is None:
-            best, back, ids = self._lattice(text, start[None, :], size)
-            for e in range(self.longest):
-                if best[0, size + e] != NEVER:
-                    s, got = self._trace(text, back[0], ids[0], size + e, start)
-                    out.append((e, s, got))
-            return out
-        best, back, ids = self._lattice(text[:head], start[None, :], head)
-        s, first = self._trace(text, back[0], ids[0], head, start)
-        middle = self.encode_plain(text[head:tail])
-        best, back, ids = self._lattice(text[tail:], np.zeros((1, 1), dtype=np.int64), size - tail)
-        for e in range(self.longest):
-            if best[0, size - tail + e] != NEVER:
-                _, last = self._trace(text[tail:], back[0], ids[0], size - tail + e, np.zeros(1, dtype=np.int64))
-                out.append((e, s, np.concatenate([first, middle, last])))
-        return out
-
-    def _trace(self, text: str, back: np.ndarray, ids: np.ndarray, end: int, start: np.ndarray) -> tuple[int, np.ndarray]:
-        out: list[int] = []
-        while back[end] >= 0:
-            at, k = int(back[end]), int(ids[end])
-            out += [k] if k >= 0 else [self.byte_ids[b] for b in reversed(text[at:end].encode("utf-8", "surrogatepass"))]
-            end = at
-        out.reverse()
-        return end, np.array(out, dtype=np.int32)
+    def _decodes(self, ids: list[int], text: str) -> bool:
+        return self.decode_plain(np.array(ids, dtype=np.int32)).decode("utf-8", "surrogatepass") == text
+
+
+#: A step between states: a matrix and None, or the two vectors whose sums are a matrix of rank one.
+Step = tuple[np.ndarray, np.ndarray | None]
+
+
+def plus(a: np.ndarray, b: np.ndarray | np.int64) -> np.ndarray:
+    """Sum of scores, none of which is above 0; without a path it stays without."""
+    return np.maximum(a + b, NEVER)
+
+
+def through(v: np.ndarray, step: Step) -> np.ndarray:
+    """Scores of the states behind a step, from those before it."""
+    m, w = step
+    return plus(v[:, None], m).max(axis=0) if w is None else plus(plus(v, m).max(), w)
 
 
-def _real(text: str, c: int) -> bool:
-    return text[c] == "\n" or text[c - 1] == "\n" or (text[c] == " " and text[c - 1] != " ")
+def product(a: Step, b: Step) -> Step:
+    """Max-plus product, of rank one where either is; associative."""
+    if a[1] is not None:
+        return a[0], through(a[1], b)
+    if b[1] is not None:
+        return plus(a[0], b[0][None, :]).max(axis=1), b[1]
+    return plus(a[0][:, :, None], b[0][None, :, :]).max(axis=1), None
 
 
-def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Max-plus product; associative."""
-    total = a[:, :, None] + b[None, :, :]
-    total[(a == NEVER)[:, :, None] | (b == NEVER)[None, :, :]] = NEVER
-    return total.max(axis=1)
+def _read(m: bytes, w: bytes | None, states: int) -> Step:
+    m = np.frombuffer(m, dtype=np.int64)
+    return (m.reshape(states, states), None) if w is None else (m, np.frombuffer(w, dtype=np.int64))
+
+
+def _written(steps: list[Step]) -> dict[str, list[bytes | None]]:
+    return {"m": [m.tobytes() for m, _ in steps], "w": [None if w is None else w.tobytes() for _, w in steps]}
 
 
 def scan(steps: DataFrame, states: int, block: int = 64) -> DataFrame:
-    """(page, k, v): what the product of a text's matrices before step k makes of state 0.
+    """(page, k, v): what the product of a text's steps before step k makes of state 0.
 
-    ``steps`` has page, the text's hash, k (from 0 without gaps) and m, a matrix of ``states`` rows as bytes. Matrices are multiplied
+    ``steps`` has page, the text's hash, k (from 0 without gaps) and m and w, a step as bytes. Steps are multiplied
     in blocks, the blocks' products likewise, until a document has one; the scores then go down again. No task
-    holds more than ``block`` matrices of a document.
+    holds more than ``block`` steps of a document.
     """
     key = "page long"
     at = (F.col("k") / block).cast("long")
 
     def multiply(rows: pd.DataFrame) -> pd.DataFrame:
-        total = None
-        for m in rows.sort_values("k")["m"]:
-            m = np.frombuffer(m, dtype=np.int64).reshape(states, states)
-            total = m if total is None else product(total, m)
-        return rows.iloc[:1][["page"]].assign(k=rows["k"].iloc[0] // block, m=[total.tobytes()])
+        rows = rows.sort_values("k")
+        total = reduce(product, [_read(m, w, states) for m, w in zip(rows["m"], rows["w"], strict=True)])
+        return rows.iloc[:1][["page"]].assign(k=rows["k"].iloc[0] // block, **_written([total]))
 
     def go(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("k")
         v, out = np.frombuffer(rows["v"].iloc[0], dtype=np.int64), []
-        for m in rows["m"]:
+        for m, w in zip(rows["m"], rows["w"], strict=True):
             out.append(v.tobytes())
-            v = product(v[None, :], np.frombuffer(m, dtype=np.int64).reshape(states, states))[0]
+            v = through(v, _read(m, w, states))
         return rows[["page", "k"]].assign(v=out)
 
-    levels = [steps]
+    levels = [steps.select("page", "k", "m", "w")]
     while (levels[-1].agg(F.max("k")).first()[0] or 0) >= block:
-        up = levels[-1].groupBy("page", at.alias("b")).applyInPandas(multiply, f"{key}, k long, m binary")
+        up = levels[-1].groupBy("page", at.alias("b")).applyInPandas(multiply, f"{key}, k long, m binary, w binary")
         levels.append(cut(up, "scan"))
     start = np.full(states, NEVER)
     start[0] = 0
@@ -294,15 +311,15 @@ def scan(steps: DataFrame, states: int, block: int = 64) -> DataFrame:
     return v
 
 
-def encode(docs: DataFrame, vocabulary: Pieces, id: str = "doc_id", text: str = "text", chunk: int = 1 << 15) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: Pieces, id: str = "doc_id", text: str = "text", chunk: int = 1 << 13) -> DataFrame:
     """(id, part, ids, n_chars, exact, n_ids, sum_ids, dot_ids): the ids of every document, one longer than a chunk in parts in order.
 
     Parts of a document put one after the other are the ids of the whole text, whatever the chunks. exact tells
     that the ids decode to what was encoded; dot_ids is the sum of (place in the part + 1) * id. Null texts and empty ones have one part; null has null ids, an
     empty text the ids of the space before it. A text of one chunk, up to ``chunk`` characters, is encoded where it is read.
-    All longer ones are cut into chunks; each yields a matrix of best scores between its boundary states, the
-    matrices are combined by an associative scan, each chunk then traces its own path back from its exit states,
-    and a second scan, backwards, tells the exit state of each. Repeated rows give repeated results. An empty table gives an empty one; other columns are
+    All longer ones are cut into chunks; each yields a matrix of best scores between its boundary states (two vectors, where a cut is
+    forced inside it), the matrices are combined by an associative scan, a second scan, backwards, tells the exit state of each chunk,
+    and each then traces its own path back from there. Repeated rows give repeated results. An empty table gives an empty one; other columns are
     ignored, whatever their names.
     """
     spark = docs.sparkSession
@@ -333,44 +350,45 @@ def encode(docs: DataFrame, vocabulary: Pieces, id: str = "doc_id", text: str =
         for batch in batches:
             for page, t in zip(batch["page"], batch["text"], strict=True):
                 t = " " + t
-                for k, a in enumerate(range(0, len(t), chunk)):
-                    # What a piece over the end may reach, and the character before, which tells forced cuts.
-                    yield pd.DataFrame({"page": [page], "k": [k], "text": [t[a : a + chunk + states]], "size": [min(chunk, len(t) - a)], "last": [a + chunk >= len(t)]})
+                places = list(enumerate(range(0, len(t), chunk)))
+                for i in range(0, len(places), 64):
+                    # With what a piece over the end may reach.
+                    made = [{"page": page, "k": k, "text": t[a : a + chunk + states], "size": min(chunk, len(t) - a), "last": a + chunk >= len(t)} for k, a in places[i : i + 64]]
+                    yield pd.DataFrame(made)
 
-    def matrices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def summaries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = shared.value
         for batch in batches:
-            out = [known.transfer(t, s) for t, s in zip(batch["text"], batch["size"], strict=True)]
-            yield batch[["page", "k"]].assign(m=[m.tobytes() for m in out])
+            for at in range(0, len(batch), 64):
+                rows = batch.iloc[at : at + 64]
+                found = pd.DataFrame([known.summary(t, s) for t, s in zip(rows["text"], rows["size"], strict=True)])
+                yield pd.concat([rows[["page", "k", "size", "last"]].reset_index(drop=True), found], axis=1)
 
-    def traces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def backwards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = shared.value
         for batch in batches:
-            for r in batch.itertuples():
-                found = known.paths(r.text, r.size, np.frombuffer(r.v, dtype=np.int64))
-                exact = [known.decode_plain(ids).decode("utf-8", "surrogatepass") == r.text[s : r.size + e] for e, s, ids in found]
-                yield pd.DataFrame({"page": r.page, "k": r.k, "last": r.last, "size": r.size, "exit": [np.int32(f[0]) for f in found], "entry": [np.int32(f[1]) for f in found], "ids": [f[2] for f in found], "exact": exact}).pipe(_sums)
+            steps = [known.entries(r.head, r.tail, r.rest, np.frombuffer(r.v, dtype=np.int64), None if r.w is None else np.frombuffer(r.w, dtype=np.int64)) for r in batch.itertuples()]
+            yield batch[["page", "k"]].assign(**_written(steps))
 
-    def maps(rows: pd.DataFrame) -> pd.DataFrame:
-        m = np.full((states, states), NEVER)
-        m[rows["exit"], rows["entry"]] = 0
-        return rows.iloc[:1][["page", "k"]].assign(m=[m.tobytes()])
+    def traces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = shared.value
+        for batch in batches:
+            for at in range(0, len(batch), 64):
+                rows = batch.iloc[at : at + 64]
+                found = [known.path(r.head, r.tail, r.rest, np.frombuffer(r.v, dtype=np.int64), int(np.frombuffer(r.exit, dtype=np.int64).argmax()), r.ids) for r in rows.itertuples()]
+                yield _sums(rows[["page", "k", "size"]].assign(ids=[x for x, _ in found], exact=rows["exact"].to_numpy() & np.array([same for _, same in found])))
 
-    chunks = cut(giants.select("page", "text").mapInPandas(split, "page long, k long, text string, size int, last boolean"), "pieces-chunks")
+    chunks = giants.select("page", "text").mapInPandas(split, "page long, k long, text string, size int, last boolean").dropDuplicates(["page", "k"])
     times = giants.groupBy("doc", "page").agg(F.count("*").cast("int").alias("times"))
-    chunks = chunks.dropDuplicates(["page", "k"])
-    before = scan(cut(chunks.mapInPandas(matrices, "page long, k long, m binary"), "pieces-matrices"), states)
-    traced = cut(chunks.join(before, ["page", "k"]).mapInPandas(traces, "page long, k long, last boolean, size int, exit int, entry int, ids array<int>, exact boolean, n_ids long, sum_ids long, dot_ids long"), "pieces-traces")
-    ends = traced.where("last").groupBy("page").agg(F.max("k").alias("end"))
-    turned = traced.select("page", "k", "exit", "entry").join(ends, "page").select("page", (F.col("end") - F.col("k")).alias("k"), "exit", "entry")
-    turned = cut(turned.groupBy("page", "k").applyInPandas(maps, "page long, k long, m binary"), "pieces-exits")
-
-    @F.pandas_udf("int")
-    def state(v: pd.Series) -> pd.Series:
-        return pd.Series([int(np.frombuffer(x, dtype=np.int64).argmax()) for x in v], dtype="int32")
-
-    exits = scan(turned, states).join(ends, "page").select("page", (F.col("end") - F.col("k")).alias("k"), state("v").alias("exit"))
-    parts = traced.join(exits, ["page", "k", "exit"]).join(times, "page")
+    whole = cut(chunks.mapInPandas(summaries, "page long, k long, size int, last boolean, m binary, w binary, head string, tail string, rest int, ids array<int>, exact boolean"), "pieces-chunks")
+    before = cut(scan(whole, states), "pieces-before")
+    ends = whole.where("last").select("page", F.col("k").alias("end"))
+    turned = whole.select("page", "k", "w", "head", "tail", "rest").join(before, ["page", "k"]).mapInPandas(backwards, "page long, k long, m binary, w binary")
+    turned = cut(turned.join(ends, "page").select("page", (F.col("end") - F.col("k")).alias("k"), "m", "w"), "pieces-exits")
+    exits = scan(turned, states).join(ends, "page").select("page", (F.col("end") - F.col("k")).alias("k"), F.col("v").alias("exit"))
+    traced = whole.select("page", "k", "size", "head", "tail", "rest", "ids", "exact").join(before.join(exits, ["page", "k"]), ["page", "k"])
+    traced = traced.mapInPandas(traces, "page long, k long, size int, ids array<int>, exact boolean, n_ids long, sum_ids long, dot_ids long")
+    parts = traced.join(times, "page")
     n = F.col("size") - F.when(F.col("k") == 0, 1).otherwise(0)
     parts = parts.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select("doc", F.col("k").alias("part"), "ids", n.cast("long").alias("n_chars"), "exact", "n_ids", "sum_ids", "dot_ids", "page", "copy")
     return plain.withColumns({"page": F.lit(0).cast("long"), "copy": F.lit(1)}).unionByName(parts).withColumnRenamed("doc", id)

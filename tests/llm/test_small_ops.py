@@ -237,3 +237,31 @@ def test_giant_documents_without_an_id_keep_their_rows(spark, known):
     parts = pieces.encode(spark.createDataFrame(rows, "doc_id long, text string"), known, chunk=130)
     got = sorted(((x["doc_id"], x["n_chars"], x["n_ids"], x["exact"]) for x in pieces.digests(parts).collect()), key=str)
     assert got == sorted(((i, len(t), len(known.encode(t)), True) for i, t in rows), key=str)
+
+
+def test_steps_of_rank_one_are_their_matrices_and_combine_alike(known):
+    r = random.Random(4)
+    t = "".join(r.choice([" alpha", " beta", "\n", "  ", "ßé", "longword" * 9, " 中文", "q" * 40]) for _ in range(60))
+    L, size = known.longest, 50
+    chunks = [(t[a : a + size + L], min(size, len(t) - a)) for a in range(0, len(t), size)]
+    steps, ranks = [], set()
+    for text, n in chunks:
+        s = known.summary(text, n)
+        m, w = pieces._read(s["m"], s["w"], L)
+        ranks.add(w is None)
+        plain = np.stack([known._ends(text, n, [None] * k + [0]) for k in range(L)])
+        assert ((pieces.plus(m[:, None], w[None, :]) if w is not None else m) == plain).all()
+        steps.append(((m, w), plain))
+    assert ranks == {True, False}
+    start = np.full(L, pieces.NEVER)
+    start[0] = 0
+    v, left, right = start, steps[0][0], steps[-1][0]
+    for step, plain in steps:
+        assert (pieces.through(v, step) == pieces.plus(v[:, None], plain).max(axis=0)).all()
+        v = pieces.through(v, step)
+    for step, _ in steps[1:]:
+        left = pieces.product(left, step)
+    for step, _ in reversed(steps[:-1]):
+        right = pieces.product(step, right)
+    assert (pieces.through(start, left) == v).all() and (pieces.through(start, right) == v).all()
+    assert v[0] == known._best(t)[0][-1]
