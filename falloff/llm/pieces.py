@@ -275,38 +275,59 @@ def _written(steps: list[Step]) -> dict[str, list[bytes | None]]:
     return {"m": [m.tobytes() for m, _ in steps], "w": [None if w is None else w.tobytes() for _, w in steps]}
 
 
+def _blocks(done: list[tuple[tuple[int, int], Step]]) -> pd.DataFrame:
+    return pd.DataFrame({"page": [p for (p, _), _ in done], "k": [b for (_, b), _ in done], **_written([step for _, step in done])})
+
+
+def _ordered(blocks: DataFrame) -> DataFrame:
+    return blocks.repartition("page", "b").sortWithinPartitions("page", "b", "k")
+
+
 def scan(steps: DataFrame, states: int, block: int = 64) -> DataFrame:
     """(page, k, v): what the product of a text's steps before step k makes of state 0.
 
     ``steps`` has page, the text's hash, k (from 0 without gaps) and m and w, a step as bytes. Steps are multiplied
-    in blocks, the blocks' products likewise, until a document has one; the scores then go down again. No task
-    holds more than ``block`` steps of a document.
+    in blocks, the blocks' products likewise, until a document has one; the scores then go down again. A task reads its blocks in order,
+    a batch at a time, and holds one step; blocks are many rows to a task and none is a group of its own.
     """
-    key = "page long"
     at = (F.col("k") / block).cast("long")
 
-    def multiply(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("k")
-        total = reduce(product, [_read(m, w, states) for m, w in zip(rows["m"], rows["w"], strict=True)])
-        return rows.iloc[:1][["page"]].assign(k=rows["k"].iloc[0] // block, **_written([total]))
-
-    def go(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("k")
-        v, out = np.frombuffer(rows["v"].iloc[0], dtype=np.int64), []
-        for m, w in zip(rows["m"], rows["w"], strict=True):
-            out.append(v.tobytes())
-            v = through(v, _read(m, w, states))
-        return rows[["page", "k"]].assign(v=out)
+    def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, total = None, None
+        for rows in batches:
+            done = []
+            for page, b, m, w in zip(rows["page"], rows["b"], rows["m"], rows["w"], strict=True):
+                step = _read(m, w, states)
+                if (page, b) != now:
+                    if now is not None:
+                        done.append((now, total))
+                    now, total = (page, b), step
+                else:
+                    total = product(total, step)
+            yield _blocks(done)
+        if now is not None:
+            yield _blocks([(now, total)])
+
+    def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, v = None, None
+        for rows in batches:
+            out = []
+            for page, b, m, w, first in zip(rows["page"], rows["b"], rows["m"], rows["w"], rows["v"], strict=True):
+                if (page, b) != now:
+                    now, v = (page, b), np.frombuffer(first, dtype=np.int64)
+                out.append(v.tobytes())
+                v = through(v, _read(m, w, states))
+            yield rows[["page", "k"]].assign(v=out)
 
     levels = [steps.select("page", "k", "m", "w")]
     while (levels[-1].agg(F.max("k")).first()[0] or 0) >= block:
-        up = levels[-1].groupBy("page", at.alias("b")).applyInPandas(multiply, f"{key}, k long, m binary, w binary")
+        up = _ordered(levels[-1].withColumn("b", at)).mapInPandas(multiply, "page long, k long, m binary, w binary")
         levels.append(cut(up, "scan"))
     start = np.full(states, NEVER)
     start[0] = 0
     v = levels[-1].where("k = 0").select("page", F.lit(0).cast("long").alias("b"), F.lit(bytearray(start.tobytes())).alias("v"))
     for level in reversed(levels):
-        v = level.withColumn("b", at).join(v, ["page", "b"]).groupBy("page", "b").applyInPandas(go, f"{key}, k long, v binary")
+        v = _ordered(level.withColumn("b", at).join(v, ["page", "b"])).mapInPandas(go, "page long, k long, v binary")
         v = v.withColumnRenamed("k", "b") if level is not levels[0] else v
     return v
 

@@ -265,3 +265,19 @@ def test_steps_of_rank_one_are_their_matrices_and_combine_alike(known):
         right = pieces.product(step, right)
     assert (pieces.through(start, left) == v).all() and (pieces.through(start, right) == v).all()
     assert v[0] == known._best(t)[0][-1]
+
+
+def test_scan_in_blocks_as_one_product_after_the_other(spark, known):
+    r = random.Random(5)
+    L, rows, want = known.longest, [], {}
+    for page, n in ((7, 1), (8, 30), (-9, 95)):
+        t = "".join(r.choice([" alpha", " beta", "\n", "ßé", "longword" * 9, "q" * 40]) for _ in range(n * 12))
+        v = np.full(L, pieces.NEVER)
+        v[0] = 0
+        for k in range(n):
+            s = known.summary(t[k * 40 : k * 40 + 40 + L], 40)
+            want[page, k] = v.tobytes()
+            v = pieces.through(v, pieces._read(s["m"], s["w"], L))
+            rows.append((page, k, bytearray(s["m"]), s["w"] and bytearray(s["w"])))
+    steps = spark.createDataFrame(rows, "page long, k long, m binary, w binary")
+    assert {(x["page"], x["k"]): bytes(x["v"]) for x in pieces.scan(steps, L, block=4).collect()} == want
