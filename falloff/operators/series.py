@@ -182,14 +182,24 @@ def interpolate_at(rows: DataFrame, targets: DataFrame, x: str, ys: list[str], a
     return out.groupBy(KEY).agg(*columns)
 
 
-def min_dpdg(diag: DataFrame, g_min: float = 1.0) -> DataFrame:
-    """(test_id, min_i, min_G, min_dPdG): the deepest dip of dP/dG beyond ``g_min``, or its least value there."""
+def dips(diag: DataFrame, g_min: float = 1.0) -> DataFrame:
+    """``diag`` with ``_ok``, rows that count for the minimum of dP/dG, and ``_dip``, those of them that are a dip."""
     w = along("i")
     y = F.col("dPdG")
     late = F.max(F.when(F.col("G") >= g_min, 1).otherwise(0)).over(whole()) == 1
-    out = diag.withColumn("_ok", y.isNotNull() & (~late | (F.col("G") >= g_min))).withColumn("_dip", F.col("_ok") & (y < F.lag("dPdG").over(w)) & (y <= F.lead("dPdG").over(w)))
+    return diag.withColumn("_ok", y.isNotNull() & (~late | (F.col("G") >= g_min))).withColumn("_dip", F.col("_ok") & (y < F.lag("dPdG").over(w)) & (y <= F.lead("dPdG").over(w)))
+
+
+def deepest(over: WindowSpec | None = None) -> Column:
+    """(i, G, dPdG) of the deepest of a test's ``dips``, or of its least row: an aggregate, or a window over the test."""
     best = lambda flag: F.min_by(F.when(F.col(flag), F.struct("i", "G", "dPdG")), F.when(F.col(flag), F.struct("dPdG", "i")))
-    out = out.groupBy(KEY).agg(F.coalesce(best("_dip"), best("_ok")).alias("b"))
+    found = [best("_dip"), best("_ok")]
+    return F.coalesce(*found if over is None else [c.over(over) for c in found])
+
+
+def min_dpdg(diag: DataFrame, g_min: float = 1.0) -> DataFrame:
+    """(test_id, min_i, min_G, min_dPdG): the deepest dip of dP/dG beyond ``g_min``, or its least value there."""
+    out = dips(diag, g_min).groupBy(KEY).agg(deepest().alias("b"))
     return out.where(F.col("b").isNotNull()).select(KEY, F.col("b.i").alias("min_i"), F.col("b.G").alias("min_G"), F.col("b.dPdG").alias("min_dPdG"))
 
 
@@ -199,18 +209,23 @@ def contact_clear(diag: DataFrame, least: DataFrame, rise: float = 0.10) -> Data
     return later.groupBy(KEY).agg(F.min("i").alias("contact_i"), F.min_by("G", "i").alias("contact_G"))
 
 
-def contact_inflection(diag: DataFrame, seeds: DataFrame | None = None, g_min: float = 1.0) -> DataFrame:
-    """(test_id, contact_i, contact_G): the flattest point of the decline, the one nearest ``seed_G`` or else the tallest."""
+def peaks(diag: DataFrame, g_min: float = 1.0) -> DataFrame:
+    """``diag`` with ``_peak``: rows where d2PdG2 peaks, beyond ``g_min`` where a test gets there."""
     w = along("i")
     d2 = F.col("d2PdG2")
     late = F.max(F.when(F.col("G") >= g_min, 1).otherwise(0)).over(whole()) == 1
-    peaks = diag.withColumn("_late", late).withColumn("_peak", (d2 > F.lag("d2PdG2").over(w)) & (d2 >= F.lead("d2PdG2").over(w))).where(F.col("_peak") & (~F.col("_late") | (F.col("G") >= g_min)))
+    return diag.withColumn("_peak", F.coalesce((d2 > F.lag("d2PdG2").over(w)) & (d2 >= F.lead("d2PdG2").over(w)) & (~late | (F.col("G") >= g_min)), F.lit(False)))
+
+
+def contact_inflection(diag: DataFrame, seeds: DataFrame | None = None, g_min: float = 1.0) -> DataFrame:
+    """(test_id, contact_i, contact_G): the flattest point of the decline, the one nearest ``seed_G`` or else the tallest."""
+    found = peaks(diag, g_min).where("_peak")
     if seeds is None:
-        key = F.struct(-d2, "i")
+        key = F.struct(-F.col("d2PdG2"), "i")
     else:
-        peaks = peaks.join(seeds.select(KEY, "seed_G"), KEY)
+        found = found.join(seeds.select(KEY, "seed_G"), KEY)
         key = F.struct(F.abs(F.col("G") - F.col("seed_G")), "i")
-    return peaks.groupBy(KEY).agg(F.min_by(F.struct(F.col("i").alias("contact_i"), F.col("G").alias("contact_G")), key).alias("b")).select(KEY, "b.*")
+    return found.groupBy(KEY).agg(F.min_by(F.struct(F.col("i").alias("contact_i"), F.col("G").alias("contact_G")), key).alias("b")).select(KEY, "b.*")
 
 
 def closure_departure(diag: DataFrame, tolerance: float = 0.10) -> DataFrame:

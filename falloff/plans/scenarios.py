@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from falloff.operators import series as s
@@ -10,6 +10,39 @@ from falloff.operators import series as s
 KEY = s.KEY
 
 
+def _is(*heads: str) -> Column:
+    return F.coalesce(F.substring("closure_scenario", 1, 3).isin(*heads), F.lit(False))
+
+
+def _found(diag: DataFrame, picks: DataFrame, refresh: bool, rise: float = 0.10) -> DataFrame:
+    """``picks`` after their scenario, as ``scenario_contacts`` has them, with ``_n``, ``_low`` and ``_hump`` of their tests.
+
+    Rows of ``diag`` are sorted once and meet their pick in one join; what each rule looks up are windows over the test, so
+    that a task holds one copy of its tests, whatever the number of rules.
+    """
+    rows = s.peaks(s.dips(diag.select(KEY, "i", "G", "dPdG", "d2PdG2"))).withColumn("_n", F.count("*").over(s.whole())).withColumn("_low", s.deepest(s.whole())["G"])
+    ruled = _is("C-A", "C-B") & F.coalesce(F.col("_n") >= 3, F.lit(False))
+    anew = F.col("_low") if refresh else F.lit(None)
+    picked = F.when(_is("C-A"), F.coalesce(anew, "min_dpdg_G", "_low")).otherwise(F.coalesce("min_dpdg_G", "_low"))
+
+    rows = rows.join(picks.select(KEY, "closure_scenario", "min_dpdg_G"), KEY).withColumn("_at", picked)
+    apart = F.abs(F.col("G") - F.col("_at"))
+    rows = rows.withColumn("_from", F.min_by(F.struct("i", "dPdG"), F.when(ruled & _is("C-A"), F.struct(F.round(apart, 9), "i"))).over(s.whole()))
+    risen = ruled & _is("C-A") & (F.col("i") > F.col("_from.i")) & (F.col("dPdG") >= F.col("_from.dPdG") * (1 + rise))
+    per = rows.groupBy(KEY).agg(
+        F.first("_n").alias("_n"), F.first("_low").alias("_low"),
+        F.max_by("G", F.when(F.col("dPdG").isNotNull(), F.struct(F.col("dPdG"), -F.col("i")))).alias("_hump"),
+        F.min_by("G", F.when(risen, F.col("i"))).alias("_clear"),
+        F.min_by("G", F.when(ruled & _is("C-B") & F.col("_peak"), F.struct(apart, "i"))).alias("_bend"),
+    )
+    out = picks.join(per, KEY, "left").withColumn("_ruled", ruled)
+    out = out.withColumn("min_dpdg_G", F.when(F.col("_ruled"), picked).otherwise(F.col("min_dpdg_G"))).withColumn("_contact", F.when(_is("C-A"), F.col("_clear")).otherwise(F.col("_bend")))
+    missed = F.col("_ruled") & F.col("_contact").isNull()
+    hint = F.when(missed & _is("C-A"), "no rise after the minimum").when(missed, "no inflection")
+    contact = F.when(_is("C-C", "C-D"), F.lit(None)).otherwise(F.coalesce("_contact", "contact_G"))
+    return out.withColumn("contact_G", contact).withColumn("hint", hint).drop("_clear", "_bend", "_ruled", "_contact")
+
+
 def scenario_contacts(diag: DataFrame, picks: DataFrame, refresh: bool = False) -> DataFrame:
     """``picks`` (test_id, closure_scenario, min_dpdg_G, contact_G) after their scenario was chosen, with ``hint``.
 
@@ -18,23 +51,7 @@ def scenario_contacts(diag: DataFrame, picks: DataFrame, refresh: bool = False)
     first; ``refresh`` suggests that of C-A anew. Where a rule finds nothing the contact stays and ``hint`` says so.
     Tests with fewer than three diagnostic rows stay as they are.
     """
-    rows = diag.groupBy(KEY).agg(F.count("*").alias("_n")).where("_n >= 3")
-    out = picks.join(rows, KEY, "left").join(s.min_dpdg(diag).select(KEY, F.col("min_G").alias("_low")), KEY, "left")
-    is_ = lambda *heads: F.coalesce(F.substring("closure_scenario", 1, 3).isin(*heads), F.lit(False))
-    ruled = is_("C-A", "C-B") & F.col("_n").isNotNull()
-    anew = F.col("_low") if refresh else F.lit(None)
-    picked = F.when(is_("C-A"), F.coalesce(anew, "min_dpdg_G", "_low")).otherwise(F.coalesce("min_dpdg_G", "_low"))
-    out = out.withColumn("min_dpdg_G", F.when(ruled, picked).otherwise(F.col("min_dpdg_G"))).withColumn("_ruled", ruled)
-
-    clear = out.where(F.col("_ruled") & is_("C-A")).select(KEY, F.col("min_dpdg_G").alias("_at"))
-    near = diag.join(clear, KEY).groupBy(KEY).agg(F.min_by(F.struct(F.col("i").alias("min_i"), F.col("dPdG").alias("min_dPdG")), F.struct(F.round(F.abs(F.col("G") - F.col("_at")), 9), "i")).alias("b")).select(KEY, "b.*")
-    seeds = out.where(F.col("_ruled") & is_("C-B")).select(KEY, F.col("min_dpdg_G").alias("seed_G"))
-    found = s.contact_clear(diag, near).unionByName(s.contact_inflection(diag, seeds)).select(KEY, F.col("contact_G").alias("_contact"))
-    out = out.join(found, KEY, "left")
-    missed = F.col("_ruled") & F.col("_contact").isNull()
-    hint = F.when(missed & is_("C-A"), "no rise after the minimum").when(missed, "no inflection")
-    contact = F.when(is_("C-C", "C-D"), F.lit(None)).otherwise(F.coalesce("_contact", "contact_G"))
-    return out.withColumn("contact_G", contact).withColumn("hint", hint).drop("_n", "_low", "_ruled", "_contact")
+    return _found(diag, picks, refresh).drop("_n", "_low", "_hump")
 
 
 def reset_contacts(diag: DataFrame, picks: DataFrame) -> DataFrame:
@@ -43,15 +60,11 @@ def reset_contacts(diag: DataFrame, picks: DataFrame) -> DataFrame:
     A blank scenario takes the minimum of dP/dG and its hump again, where a test has more than five diagnostic rows; C-A its
     minimum and contact; C-B its contact, the minimum stays where there is one; C-C and C-D lose the contact.
     """
-    out = scenario_contacts(diag, picks, refresh=True)
-    many = diag.withColumn("_n", F.count("*").over(s.whole())).where("_n > 5").drop("_n")
-    low = s.min_dpdg(many).select(KEY, F.col("min_G").alias("_low"))
-    hump = many.where(F.col("dPdG").isNotNull()).groupBy(KEY).agg(F.max_by("G", F.struct(F.col("dPdG"), -F.col("i"))).alias("_hump"))
-    blank = F.coalesce("closure_scenario", F.lit("")) == ""
-    out = out.join(low, KEY, "left").join(hump, KEY, "left")
+    out = _found(diag, picks, refresh=True)
+    blank = (F.coalesce("closure_scenario", F.lit("")) == "") & F.coalesce(F.col("_n") > 5, F.lit(False))
     for pick, new in (("min_dpdg_G", "_low"), ("contact_G", "_hump")):
         out = out.withColumn(pick, F.when(blank, F.coalesce(new, pick)).otherwise(F.col(pick)))
-    return out.drop("_low", "_hump")
+    return out.drop("_n", "_low", "_hump")
 
 
 def move_isip(samples: DataFrame, picks: DataFrame, edits: DataFrame, half: int = 30) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from falloff.functions import formulas as fx
 from falloff.operators import series as s
 from falloff.plans.scenarios import scenario_contacts
+from falloff.plans.staging import staged
 from falloff.plans.views import PRELUDE, STEP, TE, samples
 
 KEY = s.KEY
@@ -160,7 +161,7 @@ def span_to_seconds(spark, sf_dir):
 
 
 def _scenarios(spark, sf_dir, refresh: bool):
-    diag = _diag(spark, sf_dir)
+    diag = staged(_diag(spark, sf_dir).select(KEY, "i", "G", "dPdG", "d2PdG2"), "scenario-diag")
     scenario = F.element_at(F.array(*map(F.lit, ("", "C-A: clear", "C-B: adequate", "C-C", "C-D"))), (F.col(KEY) % 5 + 1).cast("int"))
     picks = diag.select(KEY).distinct().select(KEY, scenario.alias("closure_scenario"), F.when(F.col(KEY) % 2 == 1, 2.0 + F.col(KEY) % 7).alias("min_dpdg_G"), F.lit(99.0).alias("contact_G"))
     return scenario_contacts(diag, picks, refresh).select(KEY, F.round("min_dpdg_G", 6).alias("min_gt"), F.round("contact_G", 6).alias("contact_gt"), "hint")
