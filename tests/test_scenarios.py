@@ -55,3 +55,22 @@ def test_two_picks_of_one_test_keep_their_own_rule(spark):
     alone = {r.closure_scenario: r.contact_G for k in range(2) for r in scenarios.scenario_contacts(diag, picks.where(F.col("closure_scenario") == ("C-A: clear", "C-B: adequate")[k])).collect()}
     assert scenarios.scenario_contacts(diag, picks).count() == 2
     assert got == alone
+
+
+def test_reset_reads_diagnostics_once(spark):
+    diag, picks = _diag(spark), _picks(spark)
+    assert _plan(scenarios.reset_contacts(diag, picks)).count("Range (") == 1
+    assert _plan(scenarios.scenario_contacts(diag, picks, refresh=True)).count("Range (") == 1
+    assert not [f for f in catalogue.QUERIES["scenario_reset"](spark, SF).inputFiles() if "events.parquet" in f]
+
+
+def test_reset_gives_blank_scenarios_minimum_and_hump(spark):
+    diag = _diag(spark).localCheckpoint()
+    got = {r.test_id: r for r in scenarios.reset_contacts(diag, _picks(spark)).collect()}
+    low = {r.test_id: r.min_G for r in s.min_dpdg(diag).collect()}
+    for k in (3, 4):
+        hump = max((r for r in diag.where(F.col("test_id") == k).collect()), key=lambda r: (r.dPdG, -r.i)).G
+        assert (got[k].min_dpdg_G, got[k].contact_G) == (low[k], hump)
+    assert got[0].min_dpdg_G == low[0]
+    short = {r.test_id: r for r in scenarios.reset_contacts(diag.where("i < 5"), _picks(spark)).collect()}
+    assert (short[3].min_dpdg_G, short[3].contact_G, short[4].contact_G) == (None, 99.0, 99.0)
