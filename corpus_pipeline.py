@@ -1,4 +1,7 @@
-"""The corpus pipeline: language, lines, near duplicates, mixture, pieces; each stage written as Parquet and read again."""
+"""The corpus pipeline: language, lines, near duplicates, mixture, pieces; each stage written as Parquet and read again.
+
+The stages that send text to Python shorten the session's Arrow batches (``short_batches``).
+"""
 
 from __future__ import annotations
 
@@ -6,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from falloff.llm import langid, lines, mixing, ngram_join, pieces
-from falloff.llm.common import cut, drop_cut
+from falloff.llm.common import cut, drop_cut, short_batches
 from falloff.llm.queries import vocabulary
 
 
@@ -22,6 +25,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Whole texts are read, slice by slice; repeated rows stay or go together; other columns are kept, whatever their names.
     """
+    short_batches(spark)
     return langid.keep_known(docs).select(docs.columns)
 
 
@@ -36,6 +40,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, that of the smallest id, and every other document."""
+    short_batches(spark)
     return ngram_join.keep_first(docs).select(docs.columns)
 
 
@@ -54,6 +59,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Repeated rows are encoded each; a null text has one part with null ids; other columns are left out.
     """
+    short_batches(spark)
     return pieces.encode(docs, vocabulary()).select("doc_id", "part", "n_chars", "n_ids", "ids", "exact")
 
 

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast only if its measured size is at most this many bytes.
 BROADCAST_BYTES = 8 << 20
+#: Text goes to Python so many bytes at a time, and a row more; Spark's own 64 MB hold a whole task's texts.
+BATCH_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +30,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Arrow batches of the session have BATCH_BYTES from now on, unless they are shorter already; rows stay whole and all are sent.
+
+    A batch is there several times: in the JVM, in the stream, in Python as Arrow and as objects, for each core of an executor.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.sql(f"SET {name}").first()["value"].lower().rstrip("b")
+    unit = {"k": 10, "m": 20, "g": 30, "t": 40, "p": 50}.get(now[-1], 0)
+    if int(now[:-1] if unit else now) << unit > BATCH_BYTES:
+        spark.conf.set(name, f"{BATCH_BYTES}b")
+
+
 def cut(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage ends, lost executors lose nothing."""
     spark = df.sparkSession
